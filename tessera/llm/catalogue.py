@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup
+from . import byte_bpe, exact_dedup, quality_model, quality_rules
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -14,6 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.score(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")), quality_rules.POLICIES["web-1"])
+    base = F.col("failures").bitwiseAND(F.lit(quality_rules.BASE)) != 0
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & F.col("kept")).alias("kept"), "failures")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"), vocabulary=VOCABULARY).select(
         "doc_id",
@@ -27,9 +38,40 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_byte_bpe": op9_byte_bpe, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {
+    "op7_quality_classifier": op7_quality_classifier,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_byte_bpe": op9_byte_bpe,
+    "op10_exact_dedup": op10_exact_dedup,
+}
+
+_MEASURES_SQL = r"""
+        WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT r, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word, generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) AS i FROM t),
+        g AS (SELECT r, i, word, lead(word) OVER p AS w2, lead(word, 2) OVER p AS w3 FROM w WINDOW p AS (PARTITION BY r ORDER BY i)),
+        d AS (SELECT r, i, count(*) OVER (PARTITION BY r, word, w2, w3) > 1 AND w3 IS NOT NULL AS twice FROM g),
+        c AS (SELECT r, i, twice OR coalesce(lag(twice) OVER p, false) OR coalesce(lag(twice, 2) OVER p, false) AS covered FROM d WINDOW p AS (PARTITION BY r ORDER BY i)),
+        cw AS (SELECT r, count(*) FILTER (WHERE covered) AS n_repeat_words FROM c GROUP BY r),
+        ww AS (SELECT r, count(*) AS n_words, sum(length(word)) AS word_chars, count(DISTINCT word) AS n_distinct_words, count(*) FILTER (WHERE regexp_matches(word, '[#*$%&|<>]')) AS n_symbol_words FROM w GROUP BY r),
+        l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM t),
+        ll AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+        m AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+            coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_distinct_words, 0) AS n_distinct_words, coalesce(n_symbol_words, 0) AS n_symbol_words,
+            length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^a-z]', '', 'g')) AS n_lower, length(regexp_replace(text, '[^0-9]', '', 'g')) AS n_digits,
+            length(regexp_replace(text, '[^|]', '', 'g')) AS n_pipes, length(regexp_replace(text, '[^!]', '', 'g')) AS n_exclaim, length(text) AS n_chars
+            FROM t LEFT JOIN ww USING (r) LEFT JOIN ll USING (r) LEFT JOIN cw USING (r))"""
+
+
+def _rules_sql() -> str:
+    bits = " + ".join(f"CASE WHEN {rule} THEN {quality_rules.BIT[name]} ELSE 0 END" for name, rule in quality_rules.RULES)
+    base, mask = quality_rules.BASE, quality_rules.POLICIES["web-1"].mask
+    return f"""{_MEASURES_SQL},
+        b AS (SELECT *, ({bits})::BIGINT AS failures FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & {base}) <> 0 AS base_failed, (failures & {mask}) = 0 AS kept, failures FROM b"""
+
 
 ORACLES = {
+    "op8_quality_rules": _rules_sql(),
     "op10_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
         g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)

@@ -34,10 +34,12 @@ def mix(h: np.ndarray) -> np.ndarray:
 @lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(_BASE, -1, 1 << 64)
-    with np.errstate(over="ignore"):
-        up = np.cumprod(np.concatenate([[1], np.full(n, _BASE, dtype=np.uint64)]).astype(np.uint64))
-        down = np.cumprod(np.concatenate([[1], np.full(n, inverse, dtype=np.uint64)]).astype(np.uint64))
-    return up, down
+    out = []
+    for base in (_BASE, inverse):
+        steps = np.full(n + 1, base, dtype=np.uint64)
+        steps[0] = 1
+        out.append(np.cumprod(steps, dtype=np.uint64))
+    return out[0], out[1]
 
 
 class Block:
