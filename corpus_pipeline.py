@@ -1,15 +1,67 @@
-"""A corpus pipeline of five stages over ``documents``."""
+"""A corpus pipeline over ``documents``: toxicity, exact and near duplicates, mixing, tokens.
+
+Each stage is a function (spark, docs, sf_dir) -> DataFrame that applies one operator to all rows
+that its predecessor kept; all but the last return the columns of ``documents``. Between the
+stages ``run`` writes Parquet into the shared folder, so no stage is computed twice and a lost
+executor costs no more than its tasks.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import byte_bpe, exact_dedup, mixing, shared, simhash, toxicity
+from tessera.llm.catalogue import VOCABULARY, table
 
+#: Byte-level BPE and iterated near-duplicate classes have no SQL.
 ORACLE_SQL = None
-STAGES: list = []
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below one half stay."""
+    lexicon = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.with_scores(docs, lexicon, name="__toxicity")
+    return scored.filter(F.col("__toxicity") < 0.5).drop("__toxicity")
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the smallest id stays."""
+    return exact_dedup.exact_dedup(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the document with the smallest id stays."""
+    return simhash.near_dedup(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mixed_rows(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and whether they decode to its text."""
+    tokens = byte_bpe.encode(docs, vocabulary=VOCABULARY)
+    return tokens.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("near dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("byte-level BPE", tokenize),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows, over the whole of ``documents``."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        path = shared.write(stage(spark, docs, sf_dir))
+        docs = spark.read.parquet(path)
+        if before:
+            shared.delete(spark, before)
+        before = path
     return docs

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,3 +41,17 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return labels
+
+
+def write(df: DataFrame) -> str:
+    """The path of ``df`` as Parquet in a new folder of the shared store."""
+    spark = df.sparkSession
+    path = f"{spark.sparkContext.getCheckpointDir() or checkpoint_dir(spark)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared store that nothing reads any longer."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
