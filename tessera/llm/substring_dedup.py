@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .words import Block, blocks, mix, ngrams, texts
+from .words import Block, blocks, mix, ngrams, ngrams_at, texts
 
 _LAST = (1 << 63) - 1
 _SALT = np.uint64(0x9E3779B97F4A7C15)
@@ -66,12 +66,12 @@ class Windows:
         new[1:] = (self.anchor[1:] != self.anchor[:-1]) | (self.text[1:] != self.text[:-1])
         return self.text[new], self.anchor[new]
 
-    def keys(self) -> np.ndarray:
-        return ngrams(self.h, self.length)
+    def keys(self, at: np.ndarray) -> np.ndarray:
+        return ngrams_at(self.h, self.length, at)
 
-    def second_keys(self) -> np.ndarray:
+    def second_keys(self, at: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return (ngrams(mix(self.h + _SALT), self.length) >> np.uint64(33)).astype(np.int32)
+            return (ngrams_at(mix(self.h + _SALT), self.length, at) >> np.uint64(33)).astype(np.int32)
 
 
 def tagged(value: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -80,11 +80,30 @@ def tagged(value: np.ndarray, text: np.ndarray) -> np.ndarray:
         return mix(value.astype(np.uint64) + text.astype(np.uint64) * _SALT)
 
 
-def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The values of a list column and the row of each."""
-    offsets = np.asarray(column.offsets).astype(np.int64)
-    values = np.asarray(column.values)[offsets[0] : offsets[-1]]
-    return values, np.repeat(np.arange(len(column)), np.diff(offsets))
+class Tags:
+    """Looks up (value, row) pairs of a list column, for one block of rows at a time."""
+
+    def __init__(self, column: pa.Array):
+        column = column.fill_null([]) if column.null_count else column
+        self.offsets = np.asarray(column.offsets).astype(np.int64)
+        self.values = np.asarray(column.values).view(np.uint64)
+
+    def hits(self, first: int, last: int, value: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Whether row ``first + text`` has ``value`` in its list."""
+        own = self.values[self.offsets[first] : self.offsets[last]]
+        out = np.zeros(len(value), dtype=bool)
+        if not len(own):
+            return out
+        row = np.repeat(np.arange(last - first), np.diff(self.offsets[first : last + 1]))
+        known = np.sort(tagged(own, row))
+        sieve = np.zeros(1 << 20, dtype=bool)
+        low = np.uint64((1 << 20) - 1)
+        sieve[known & low] = True
+        asked = tagged(value, text)
+        at = np.flatnonzero(sieve[asked & low])
+        found = known[np.minimum(np.searchsorted(known, asked[at]), len(known) - 1)] == asked[at]
+        out[at[found]] = True
+        return out
 
 
 def _seeds(length: int, anchor: int, sure: bool, hold: int = 1_500_000):
@@ -153,7 +172,7 @@ def runs(starts: np.ndarray) -> np.ndarray:
 
 
 def _extend(length: int, anchor: int, local: bool, hold: int = 1_500_000):
-    """Rows (d, text, seeding anchors) to the extended windows of a chunk: those of its smallest document are
+    """Rows (d, text, id, seeding anchors) to the extended windows of a chunk: those of its smallest document are
     to be checked with other chunks, windows of further documents are repeats already."""
     names = ["d", "known"] if local else ["key", "key2", "d"]
 
@@ -181,14 +200,13 @@ def _extend(length: int, anchor: int, local: bool, hold: int = 1_500_000):
         parts, prints, n = [], [], 0
         for batch in batches:
             d = np.asarray(batch.column(0))
-            seeds, seed_row = lists(batch.column(2))
-            seeds = np.unique(tagged(seeds.view(np.uint64), seed_row))
+            seeds = Tags(batch.column(3))
             raw = texts(batch.column(1)) if local else []
             for first, last, block in blocks(batch.column(1)):
                 w = Windows(block, length, anchor)
-                hit = np.isin(tagged(w.anchor, w.text + first), seeds)
+                hit = seeds.hits(first, last, w.anchor, w.text)
                 at, text = w.at[hit], w.text[hit]
-                parts.append((w.keys()[at], w.second_keys()[at], d[first:last][text], text + len(prints), (at - block.bounds[text]).astype(np.int64)))
+                parts.append((w.keys(at), w.second_keys(at), d[first:last][text], text + len(prints), (at - block.bounds[text]).astype(np.int64)))
                 prints += [xxh64_intdigest(t).to_bytes(8, "little") for t in raw[first:last]] if local else [b""] * (last - first)
                 n += len(at)
                 if n > hold:
@@ -217,16 +235,17 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(d[again]), pa.array(k[again])], names=["d", "key"])
 
 
-def _removed(block: Block, first: int, raw: list[bytes], repeated: np.ndarray, known: list, length: int) -> np.ndarray:
+def _removed(block: Block, first: int, raw: list[bytes], repeated: Tags, known: list, length: int) -> np.ndarray:
     """Marks of the words of a block that repeats cover."""
     marks = np.zeros(len(block.starts) + 1, dtype=np.int32)
-    if len(repeated):
-        key = ngrams(block.hashes(), length)
+    if repeated.offsets[first + len(raw)] > repeated.offsets[first]:
+        h = block.hashes()
         text_of = np.repeat(np.arange(len(raw)), np.diff(block.bounds))
-        at = np.flatnonzero(text_of[: len(key)] == text_of[length - 1 :][: len(key)])
-        at = at[np.isin(tagged(key[at], text_of[at] + first), repeated)]
-        np.add.at(marks, at, 1)
-        np.add.at(marks, at + length, -1)
+        asked = np.diff(repeated.offsets[first : first + len(raw) + 1]) > 0  # only texts with any are looked at
+        at = np.flatnonzero((text_of[: 1 - length] == text_of[length - 1 :]) & asked[text_of[: 1 - length]]) if len(h) >= length else np.zeros(0, np.int64)
+        at = at[repeated.hits(first, first + len(raw), ngrams_at(h, length, at), text_of[at])]
+        marks += np.bincount(at, minlength=len(marks)).astype(np.int32)
+        marks -= np.bincount(at + length, minlength=len(marks)).astype(np.int32)
     for k, own in enumerate(known):
         if own:
             mark = xxh64_intdigest(raw[k]).to_bytes(8, "little")
@@ -245,9 +264,8 @@ def _result(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = texts(batch.column(1))
-            keys, key_row = lists(batch.column(2).fill_null([]))
-            repeated = np.unique(tagged(keys.view(np.uint64), key_row))
-            known = batch.column(3).to_pylist()
+            repeated = Tags(batch.column(3))
+            known = batch.column(4).to_pylist()
             for first, last, block in blocks(batch.column(1)):
                 gone = _removed(block, first, raw[first:last], repeated, known[first:last], length)
                 n_words, n_removed, spans, kept = np.diff(block.bounds), [], [], []
@@ -263,7 +281,7 @@ def _result(length: int):
                         spans.append([])
                     n_removed.append(int(own.sum()))
                     kept.append(b" ".join(words).decode())
-                yield pa.record_batch([batch.column(0)[first:last], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, spans_type), pa.array(kept, pa.string())], schema=schema)
+                yield pa.record_batch([batch.column(2)[first:last], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, spans_type), pa.array(kept, pa.string())], schema=schema)
 
     return run
 
@@ -271,7 +289,7 @@ def _result(length: int):
 def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 13, anchor: int = 5) -> DataFrame:
     """doc_id, n_words, n_removed, spans (removed runs of words, start and stop), kept_text: one row for each row."""
     d = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
-    docs = df.select(d.alias("d"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    docs = df.select(d.alias("d"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(id_col).cast("long").alias("doc_id"))
     texts_of = docs.select("d", "text")
 
     to_check = texts_of.mapInArrow(_seeds(length, anchor, False), "anchor long, d long, many boolean")
@@ -279,12 +297,13 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     sure = texts_of.mapInArrow(_seeds(length, anchor, True), "d long, anchor long")
     seeds = shared.union(sure).groupBy("d").agg(F.collect_list("anchor").alias("anchors"))
 
-    seeded = docs.join(seeds, "d").select("d", "text", "anchors")
+    # The same columns in both joins, so that they share one exchange of the texts.
+    seeded = docs.join(seeds, "d").select("d", "text", "doc_id", "anchors")
     windows = seeded.mapInArrow(_extend(length, anchor, False), "key long, key2 int, d long")
     across = windows.repartition("key").sortWithinPartitions("key", "key2", "d").mapInArrow(_repeats, "d long, key long")
     within = seeded.mapInArrow(_extend(length, anchor, True), "d long, known binary")
     repeats = across.select("d", "key", F.lit(None).cast("binary").alias("known")).union(within.select("d", F.lit(None).cast("long").alias("key"), "known"))
     repeats = repeats.groupBy("d").agg(F.collect_list("key").alias("keys"), F.collect_list("known").alias("known"))
 
-    out = docs.join(repeats, "d", "left").select("doc_id", "text", "keys", "known")
+    out = docs.join(repeats, "d", "left").select("d", "text", "doc_id", "keys", "known")
     return out.mapInArrow(_result(length), "doc_id long, n_words long, n_removed long, spans array<array<int>>, kept_text string")

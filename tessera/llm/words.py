@@ -31,7 +31,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(_BASE, -1, 1 << 64)
     out = []
@@ -42,6 +42,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+_known = 1 << 18
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of the base and of its inverse; the longest asked for so far are kept."""
+    global _known
+    while _known < n:
+        _known *= 2
+    return _powers(_known)
+
+
 class Block:
     """The words of consecutive texts: byte spans, and where each text's words begin."""
 
@@ -66,8 +77,7 @@ class Block:
         data = self.data if data is None else data
         if not len(self.starts):
             return np.zeros(0, dtype=np.uint64)
-        size = 1 << max(16, int(len(data)).bit_length())
-        up, down = _powers(size)
+        up, down = powers(len(data))
         with np.errstate(over="ignore"):
             total = np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)
             before = np.where(self.starts > 0, total[self.starts - 1], np.uint64(0))
@@ -88,7 +98,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def pieces(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` bytes of text; one longer text makes a range of its own."""
     _, offsets = utf8(column)
     first = 0
@@ -99,7 +109,7 @@ def pieces(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
         first = last
 
 
-def blocks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, Block]]:
+def blocks(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, int, Block]]:
     """The column's rows ``first:last`` with their words, a bounded number of bytes at a time."""
     data, offsets = utf8(column)
     for first, last in pieces(column, most):
@@ -126,6 +136,16 @@ def ngrams(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def ngrams_at(h: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
+    """The same hashes as ``ngrams``, only for the starts ``at``."""
+    with np.errstate(over="ignore"):
+        out = h[at]
+        for k in range(1, n):
+            out *= np.uint64(0xD1342543DE82EF95)
+            out += h[at + k]
+    return mix(out)
+
+
 def crc_fold(column: str = "doc_id", folds: int = 5):
     """crc32 of the id as text, modulo ``folds``: 0 is held out."""
     from pyspark.sql import functions as F
