@@ -12,9 +12,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-CHUNKS = "array<struct<start_line:int,end_line:int,text:string>>"
-IMPORTS = "struct<error:string,imports:array<struct<module:string,level:int>>>"
+CHUNKS = T.ArrayType(T.StructType([T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType()), T.StructField("text", T.StringType())]))
+_IMPORT = T.StructType([T.StructField("module", T.StringType()), T.StructField("level", T.IntegerType())])
+IMPORTS = T.StructType([T.StructField("error", T.StringType()), T.StructField("imports", T.ArrayType(_IMPORT))])
 
 
 def _tree(source: str) -> ast.Module:
