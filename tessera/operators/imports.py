@@ -105,21 +105,37 @@ def _names(rule: Rule) -> Column:
     return F.zip_with(by_group[0], by_group[1], lambda a, b: F.when(F.coalesce(a, F.lit("")) != "", a).otherwise(b))
 
 
-def wanted(files: DataFrame) -> DataFrame:
-    """(src, pos, raw, label, candidates) of files (rel_path, suffix, importer, text); Python apart."""
-    out = None
-    folder = P.parent(F.col("rel_path"))
-    for k, rule in enumerate(RULES):
-        rows = files.filter((F.col("importer") == rule.importer) & F.col("text").isNotNull()).select("rel_path", "suffix", F.posexplode(_names(rule)).alias("at", "found"))
-        rows = rows.withColumn("raw", rule.clean(F.col("found")))
-        if rule.keep is not None:
-            rows = rows.filter(rule.keep(F.col("raw")))
-        options = rule.candidates(F.col("raw"), folder, F.col("suffix"))
+_WANTED = "array<struct<pos:bigint,raw:string,label:string,candidates:array<string>>>"
+
+
+def _rule_column(k: int, rule: Rule) -> Column:
+    """The names that one rule finds in a text, with their candidates."""
+    folder, suffix = P.parent(F.col("rel_path")), F.col("suffix")
+
+    def entry(found: Column, at: Column) -> Column:
+        raw = rule.clean(found)
+        options = rule.candidates(raw, folder, suffix)
         options = F.array(*options) if isinstance(options, list) else options
-        slash = lambda c: F.when(c.endswith("/"), F.concat(P.normalise(c), F.lit("/"))).otherwise(P.normalise(c))
-        rows = rows.select(F.col("rel_path").alias("src"), (F.lit(k).cast("long") * 1_000_000_000 + F.col("at")).alias("pos"), "raw", F.lit(rule.label).cast("string").alias("label"), F.transform(options, slash).alias("candidates"))
-        out = rows if out is None else out.unionByName(rows)
-    return out.unionByName(_python_wanted(files))
+        paths = F.transform(options, lambda c: F.when(c.endswith("/"), F.concat(P.normalise(c), F.lit("/"))).otherwise(P.normalise(c)))
+        return F.struct((at + k * 1_000_000_000).cast("long").alias("pos"), raw.alias("raw"), F.lit(rule.label).cast("string").alias("label"), paths.alias("candidates"))
+
+    found = F.transform(_names(rule), entry)
+    return (F.filter(found, lambda x: rule.keep(x["raw"])) if rule.keep is not None else found).cast(_WANTED)
+
+
+def wanted(files: DataFrame) -> DataFrame:
+    """(src, pos, raw, label, candidates) of files (rel_path, suffix, importer, text).
+
+    One projection holds the rules of every importer, so a file's text is read once; only Python
+    files go through the parser.
+    """
+    column = F.array().cast(_WANTED)
+    for importer in dict.fromkeys(rule.importer for rule in RULES):
+        own = [_rule_column(k, rule) for k, rule in enumerate(RULES) if rule.importer == importer]
+        column = F.when(F.col("importer") == importer, F.concat(*own) if len(own) > 1 else own[0]).otherwise(column)
+    readable = files.filter(F.col("text").isNotNull() & ~F.col("importer").isin("python", "none"))
+    rows = readable.select(F.col("rel_path").alias("src"), F.explode(column).alias("w")).select("src", "w.pos", "w.raw", "w.label", "w.candidates")
+    return rows.unionByName(_python_wanted(files))
 
 
 def _python_wanted(files: DataFrame) -> DataFrame:
