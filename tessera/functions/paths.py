@@ -59,8 +59,10 @@ def normalise(path: Column) -> Column:
             (inside & ~((part == "..") & (F.size(kept) == 0))).alias("inside"),
         )
 
-    found = F.aggregate(parts(path), start, step)
-    return F.when(found["inside"] & ~path.startswith("/"), F.when(F.size(found["kept"]) == 0, ".").otherwise(F.array_join(found["kept"], "/")))
+    def finish(found: Column) -> Column:
+        return F.when(found["inside"], F.when(F.size(found["kept"]) == 0, ".").otherwise(F.array_join(found["kept"], "/")))
+
+    return F.when(~path.startswith("/"), F.aggregate(parts(path), start, step, finish))
 
 
 def absolute(path: Column, root: str) -> Column:

@@ -49,7 +49,7 @@ _JVM = (".java", ".kt", ".scala")
 
 
 def _js(raw: Column, folder: Column, suffix: Column) -> list[Column]:
-    base = P.normalise(_near(raw, folder))
+    base = _near(raw, folder)
     return [base, *(P.with_suffix(base, s) for s in _JS), *(P.join(base, F.lit(f"index{s}")) for s in _JS)]
 
 
@@ -116,7 +116,7 @@ def _rule_column(k: int, rule: Rule) -> Column:
         raw = rule.clean(found)
         options = rule.candidates(raw, folder, suffix)
         options = F.array(*options) if isinstance(options, list) else options
-        paths = F.transform(options, lambda c: F.when(c.endswith("/"), F.concat(P.normalise(c), F.lit("/"))).otherwise(P.normalise(c)))
+        paths = F.transform(options, lambda c: F.concat(P.normalise(c), F.when(c.endswith("/"), "/").otherwise("")))
         return F.struct((at + k * 1_000_000_000).cast("long").alias("pos"), raw.alias("raw"), F.lit(rule.label).cast("string").alias("label"), paths.alias("candidates"))
 
     found = F.transform(_names(rule), entry)

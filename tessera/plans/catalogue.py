@@ -399,3 +399,74 @@ def find_markers_pipeline(spark, sf_dir):
     log = logs.recent(events, "file_id", [F.desc("ts"), F.desc("event_id")], 5).groupBy("file_id").agg(F.count(F.lit(1)).alias("n_log"), F.min("event_id").alias("oldest"))
     zero = F.lit(0).cast("long")
     return hits.join(found, "file_id", "left").join(log, "file_id", "left").select("file_id", F.coalesce("n_markers", zero).alias("n_markers"), F.coalesce("n_log", zero).alias("n_log"), "oldest")
+
+
+# --- source texts made from documents -------------------------------------------------------------
+
+
+@query(f"""WITH {_NOTED_SQL}
+    SELECT doc_id, pos, dst FROM (SELECT doc_id, unnest(CASE WHEN doc_id % 3 = 0 THEN []::VARCHAR[] ELSE ['a/' || source, 'b/' || lang] END) AS dst, unnest(CASE WHEN doc_id % 3 = 0 THEN []::BIGINT[] ELSE [0::BIGINT, 1::BIGINT] END) AS pos FROM n)""")
+def note_links(spark, sf_dir):
+    from ..operators import notes
+
+    rows = _noted(spark, sf_dir).select(F.col("doc_id").cast("string").alias("node_path"), F.col("note").alias("content"))
+    return notes.links_of(rows).select(F.col("src").cast("long").alias("doc_id"), "pos", "dst")
+
+
+@query("""
+    SELECT doc_id, 1::INT AS start_line, (length(text) - length(replace(text, chr(10), '')) + 3)::INT AS end_line,
+        md5('function d' || doc_id || '() {' || chr(10) || translate(text, '{}', '') || chr(10) || '}') AS text_md5 FROM documents""")
+def brace_chunks(spark, sf_dir):
+    """Each document as the body of one function."""
+    from ..operators import chunks
+
+    source = F.concat(F.lit("function d"), F.col("doc_id").cast("string"), F.lit("() {\n"), F.translate("text", "{}", ""), F.lit("\n}\n"))
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("rel_path"), F.lit("braces_js").alias("chunker"), source.alias("text"))
+    return chunks.chunks(files).select(F.col("rel_path").cast("long").alias("doc_id"), "start_line", "end_line", F.md5("text").alias("text_md5"))
+
+
+@query("""
+    SELECT doc_id, chunk_no, start_line, end_line, (CASE chunk_no WHEN 0 THEN length('def f' || doc_id || '():') + length('    return ' || n_chars) + 13 WHEN 1 THEN 38 ELSE 29 END)::INT AS n_chars
+    FROM documents, (VALUES (0, 1, 3), (1, 4, 6), (2, 5, 6)) AS c(chunk_no, start_line, end_line)""")
+def python_chunks(spark, sf_dir):
+    """A module for each document, read by the Python parser."""
+    from ..operators import chunks
+
+    number = F.col("doc_id").cast("string")
+    source = F.concat(F.lit("def f"), number, F.lit("():\n    '''x'''\n    return "), F.col("n_chars").cast("string"), F.lit("\nclass C:\n    def m(self):\n        pass\n"))
+    files = table(spark, sf_dir, "documents").select(number.alias("rel_path"), F.lit("python").alias("chunker"), source.alias("text"))
+    return chunks.chunks(files).select(F.col("rel_path").cast("long").alias("doc_id"), "chunk_no", "start_line", "end_line", F.length("text").alias("n_chars"))
+
+
+@query("""
+    WITH f AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'pkg/d' || doc_id || '.py' ELSE 'web/d' || doc_id || '.js' END AS src, source FROM documents),
+    e AS (SELECT src, CASE WHEN doc_id % 2 = 0 THEN source || '.py' ELSE 'lib/' || source || '.js' END AS dst, 0 AS k FROM f
+        UNION ALL SELECT a.src, b.src, 1 FROM f a JOIN f b ON b.doc_id = a.doc_id + 2)
+    SELECT src, dst, k AS ord FROM e""")
+def import_edges(spark, sf_dir):
+    """Even documents as Python modules and odd ones as JavaScript; each imports its source and its neighbour."""
+    from pyspark.sql import Window
+
+    from ..operators import imports, languages
+
+    number, other = F.col("doc_id").cast("string"), (F.col("doc_id") + 2).cast("string")
+    even = F.col("doc_id") % 2 == 0
+    path = F.when(even, F.concat(F.lit("pkg/d"), number, F.lit(".py"))).otherwise(F.concat(F.lit("web/d"), number, F.lit(".js")))
+    python = F.concat(F.lit("import os, "), "source", F.lit("\nfrom .d"), other, F.lit(" import x\n"))
+    script = F.concat(F.lit("import a from '../lib/"), "source", F.lit("'\nimport 'react'\nconst b = require('./d"), other, F.lit("')\n"))
+    docs = table(spark, sf_dir, "documents").select("source", path.alias("rel_path"), F.when(even, python).otherwise(script).alias("text"))
+    sources = docs.select("source").distinct()
+    everything = docs.select("rel_path").union(sources.select(F.concat("source", F.lit(".py")))).union(sources.select(F.concat(F.lit("lib/"), "source", F.lit(".js"))))
+    edges = imports.resolve(imports.wanted(languages.supported(docs)), imports.listing(everything))
+    order = Window.partitionBy("src").orderBy("pos")
+    return edges.select("src", "dst", (F.row_number().over(order) - 1).alias("ord"))
+
+
+@query()
+def tree_scan(spark, sf_dir):
+    """This package's own source tree through the data source; the tables play no part."""
+    from ..operators.languages import supported
+    from ..scope import PACKAGE
+    from ..sources.tree import source_files
+
+    return supported(source_files(spark, str(PACKAGE))).select("rel_path", "language", "is_utf8", T.line_count(F.col("text")).alias("n_lines"))
