@@ -233,7 +233,8 @@ def exact_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         .repartition("digest")
         .mapInArrow(_merge(budget), "digest binary, keep_id long, group_size long")
     )
-    out = rows.mapInArrow(_digests, "doc_id long, digest binary").join(groups, "digest")
+    # Dealt by id after the join, so that Spark may split a hot digest's rows among join tasks.
+    out = rows.mapInArrow(_digests, "doc_id long, digest binary").join(groups, "digest").repartition("doc_id")
     same = Window.partitionBy("doc_id", "digest").orderBy("keep_id")
     return out.select(
         "doc_id",
