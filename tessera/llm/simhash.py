@@ -197,7 +197,8 @@ def classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bi
     linked = roots.join(first, roots["node"] == first["fp"]).select("node", "root", "first_id")
     smallest = linked.groupBy("root").agg(F.min("first_id").alias("class_id"))
     of_linked = linked.join(smallest, "root").select(F.col("node").alias("fp"), "class_id")
-    ids = first.join(of_linked, "fp", "left").select("fp", F.coalesce("class_id", "first_id").alias("component_id"))
+    # Cut off here, so that both sides of the last join are plain exchanges and Spark may split a hot fingerprint's rows.
+    ids = checkpoint(first.join(of_linked, "fp", "left").select("fp", F.coalesce("class_id", "first_id").alias("component_id")))
     return docs.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
