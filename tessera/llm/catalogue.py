@@ -97,6 +97,14 @@ def _rules_sql() -> str:
 
 
 ORACLES = {
+    "op1_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS word, generate_subscripts(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), 1) AS i FROM documents),
+        k AS (SELECT doc_id, i, word, string_agg(word, ' ') OVER p AS key, count(*) OVER p AS n FROM w WINDOW p AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+        m AS (SELECT key, min(doc_id) AS low FROM k WHERE n = 13 GROUP BY key),
+        r AS (SELECT doc_id, i, word, coalesce(n = 13 AND low < doc_id, false) AS again FROM k LEFT JOIN m USING (key)),
+        c AS (SELECT doc_id, i, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM r),
+        s AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM c GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN s USING (doc_id)""",
     "op8_quality_rules": _rules_sql(),
     "op10_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
