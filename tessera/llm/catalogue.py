@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, mixing, pii, quality_model, quality_rules, simhash, substring_dedup, toxicity
+from . import byte_bpe, exact_dedup, mixing, pii, quality_model, quality_rules, secret_scan, simhash, substring_dedup, toxicity
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -27,6 +27,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secret_scan.train(secret_scan.labelled_findings(spark))
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), model)
+    return found.select("doc_id", "at", "nth", F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"))
 
@@ -63,6 +69,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mixing": op2_mixing,
     "op3_toxicity": op3_toxicity,
+    "op4_secret_scan": op4_secret_scan,
     "op5_simhash": op5_simhash,
     "op6_pii": op6_pii,
     "op7_quality_classifier": op7_quality_classifier,
