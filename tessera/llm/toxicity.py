@@ -187,7 +187,7 @@ def choose(found: list[tuple[str, int, int]], n_pos: int, n_neg: int, entries: i
     for gain, _, entry, pos, neg in ranked:
         if gain < least_gain or len(chosen) >= entries:
             break
-        if neg / n_neg > 0.05 * pos / n_pos:
+        if neg / n_neg > 0.12 * pos / n_pos:
             continue
         if entry in begun or any(entry[:n] in chosen for n in range(4, len(entry))):
             continue
@@ -244,7 +244,7 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return beta
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", most: int = 6_000, entries: int = 2_000, least_gain: float = 24.0, exceptions: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", most: int = 6_000, entries: int = 2_000, least_gain: float = 28.0, exceptions: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
     """A lexicon from at most ``most`` rows of each class; a bounded list of ids is broadcast, texts aren't shuffled."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_fold() != 0))
     totals = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
@@ -256,8 +256,9 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", most: int
 
     summed = "entry string, pos long, neg long"
     counts = sample.mapInArrow(_count, summed).groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    found = counts.filter("pos >= 3 AND pos > 4 * neg").orderBy(F.desc(F.col("pos") - 4 * F.col("neg")), "entry").limit(20_000).collect()
     n_pos, n_neg = max(1, min(most, totals.get(1, 0))), max(1, min(most, totals.get(0, 0)))
+    lead = F.col("pos") / n_pos - F.col("neg") / n_neg
+    found = counts.filter((F.col("pos") >= 3) & (F.col("pos") * n_neg > 8 * F.col("neg") * n_pos)).orderBy(F.desc(lead), "entry").limit(20_000).collect()
     lexicon = Lexicon(choose([(r.entry, r.pos, r.neg) for r in found], n_pos, n_neg, entries, least_gain))
 
     own = [fold(p).strip() for p in exceptions]
