@@ -14,7 +14,7 @@ SNIPPET = 120
 OVERVIEW = 200
 LEAST_QUESTION = 10
 MARKERS = ("TODO", "FIXME", "HACK")
-SYNC_LOG_HEADING = "## Sync Log"
+SYNC_LOG_HEADING = "## 🔄 Sync Log"
 _WHITE = r"(?U)\s"
 
 

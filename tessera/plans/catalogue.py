@@ -110,10 +110,10 @@ def overview_line(spark, sf_dir):
 
 @query(f"""WITH {_NOTED_SQL}
     SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0
-        THEN note || '## Sync Log' || chr(10) || '- 2024-01-02 — commit abcdef12: new' || chr(10) || '- old' || chr(10)
-        ELSE note || chr(10) || '## Sync Log' || chr(10) || '- 2024-01-02 — commit abcdef12: new' || chr(10) END) AS note_md5 FROM n""")
+        THEN note || '## 🔄 Sync Log' || chr(10) || '- 2024-01-02 — commit abcdef12: new' || chr(10) || '- old' || chr(10)
+        ELSE note || chr(10) || '## 🔄 Sync Log' || chr(10) || '- 2024-01-02 — commit abcdef12: new' || chr(10) END) AS note_md5 FROM n""")
 def sync_log_append(spark, sf_dir):
-    note = F.concat("note", F.when(F.col("doc_id") % 2 == 0, F.lit("## Sync Log\n- old\n")).otherwise(""))
+    note = F.concat("note", F.when(F.col("doc_id") % 2 == 0, F.lit("## 🔄 Sync Log\n- old\n")).otherwise(""))
     logged = T.append_sync_log(note, F.lit("2024-01-02"), F.lit("abcdef1234567890"), F.lit("new"))
     return _noted(spark, sf_dir).select("doc_id", F.md5(logged).alias("note_md5"))
 

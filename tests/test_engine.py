@@ -67,7 +67,7 @@ def test_ingest_questions_and_upkeep(engine):
     assert own.sync() == "New: 2\n  - app/new.py\n  - tools.py\nModified: 1\n  - app/billing.py\nDeleted: 2\n  - utils.py\n  - web/index.js"
     assert own.sync(dry_run=False).startswith("1 modified (1 rewritten), 2 new, 2 deleted; now at ")
     note = (tmp_path / "vault/app/billing.md").read_text()
-    assert "Refunds customers" in note and "## Sync Log\n- 2024-05-06 — commit " in note
+    assert "Refunds customers" in note and "## 🔄 Sync Log\n- 2024-05-06 — commit " in note
     assert "new file added" in (tmp_path / "vault/app/new.md").read_text() and not (tmp_path / "vault/web/index.md").exists()
     files = {r.file_path for r in own.index().rows().collect()}
     assert "web/index.js" not in files and "app/new.py" in files and "team: core" not in (tmp_path / "vault/app/new.md").read_text()

@@ -157,9 +157,9 @@ def test_text_functions(spark):
         assert one(spark, F.struct(T.conflict(note), T.reason(note)), n=reply) == expected
     log = lambda n: one(spark, T.append_sync_log(note, F.lit("2024-05-06"), F.lit("0123456789ab"), F.lit("ok")), n=n)
     entry = "- 2024-05-06 — commit 01234567: ok"
-    assert log("body") == f"body\n\n## Sync Log\n{entry}\n" and log("body\n") == f"body\n\n## Sync Log\n{entry}\n"
-    assert log("x\n## Sync Log\n- old\n") == f"x\n## Sync Log\n{entry}\n- old\n" and log("x\n## Sync Log") == f"x\n## Sync Log\n{entry}"
-    assert log("see ## Sync Log here").endswith(f"here\n\n## Sync Log\n{entry}\n")
+    assert log("body") == f"body\n\n## 🔄 Sync Log\n{entry}\n" and log("body\n") == f"body\n\n## 🔄 Sync Log\n{entry}\n"
+    assert log("x\n## 🔄 Sync Log\n- old\n") == f"x\n## 🔄 Sync Log\n{entry}\n- old\n" and log("x\n## 🔄 Sync Log") == f"x\n## 🔄 Sync Log\n{entry}"
+    assert log("see ## 🔄 Sync Log here").endswith(f"here\n\n## 🔄 Sync Log\n{entry}\n")
     fm = "---\nkind: a\nkind: b: c\nlist:\n  - x\n  - y\nempty:\n  []\n---\nbody"
     assert one(spark, F.struct(T.scalar_field(note, "kind"), T.list_field(note, "list"), T.list_field(note, "empty"), T.scalar_field(note, "none")), n=fm) == ("b: c", ["x", "y"], [], None)
     assert one(spark, T.scalar_field(note, "kind"), n="---\nkind: a\n") is None
