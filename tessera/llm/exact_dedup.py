@@ -251,7 +251,7 @@ def exact_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     Rows beyond the first of a group in a chunk are dropped before the shuffle.
     """
     schema = to_arrow_schema(df.schema)
-    others = [F.col(f"`{c}`") for c in df.columns if c not in (id_col, text_col)]
+    others = [F.col(f"`{c}`").alias(f"other{k}") for k, c in enumerate(c for c in df.columns if c not in (id_col, text_col))]
     return (
         df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).cast("string").alias("content"), *others)
         .mapInArrow(_local(chunk_bytes, True), "digest binary, content binary, row_id long, n long, payload binary")

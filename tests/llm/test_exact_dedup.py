@@ -46,7 +46,7 @@ def test_equal_digests_with_other_contents_stay_apart():
 
 def test_rows_that_stay_keep_their_columns(spark):
     rows = [(i, t, (i or 0) * 1.5, "digest", [i or 0]) for i, t in ROWS]
-    df = spark.createDataFrame(rows, "doc_id long, text string, n double, digest string, payload array<int>").repartition(2)
+    df = spark.createDataFrame(rows, "doc_id long, text string, n double, content string, row_id array<int>").repartition(2)
     kept = X.exact_dedup(df, budget=2000, chunk_bytes=1000)
     assert kept.schema == df.schema
     assert sorted([(r.doc_id, r.text, r.n) for r in kept.collect()], key=repr)[:2] == sorted([(1, "a  b", 1.5), (10, "x", 15.0)], key=repr)
