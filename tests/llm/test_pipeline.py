@@ -77,3 +77,14 @@ def test_each_stage_by_brute_force(spark, tables):
     ran = P.run(spark, folder).collect()
     assert Counter((r.doc_id, r.n_tokens) for r in ran) == Counter((r.doc_id, r.n_tokens) for r in outputs[4])
 
+
+
+def test_stages_with_no_rows_and_with_nulls(spark, tables):
+    _, folder = tables
+    odd = [(None, None, None, None, None), (1, None, None, None, None), (1, "a b", "en", None, 3), (1, "a b", "en", None, 3), (2, "x" * 200_000, None, "s", None), (3, " \n ", "en", "s", 3)]
+    for rows in ([], odd):
+        docs = spark.createDataFrame(rows, COLUMNS)
+        for name, stage in P.STAGES[:-1]:
+            out = stage(spark, docs, folder)
+            assert out.columns == docs.columns and out.count() <= 3 * len(rows), name
+        assert P.STAGES[-1][1](spark, docs, folder).count() == len(rows)
