@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, exact_dedup, mixing, shared, simhash, toxicity
+from tessera.llm import byte_bpe, exact_dedup, mixing, near_copies, shared, toxicity
 from tessera.llm.catalogue import VOCABULARY, table
 
 #: Byte-level BPE and iterated near-duplicate classes have no SQL.
@@ -32,7 +32,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document with the smallest id stays."""
-    return simhash.near_dedup(docs)
+    return near_copies.near_dedup(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
