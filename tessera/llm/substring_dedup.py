@@ -106,9 +106,23 @@ class Tags:
         return out
 
 
-def _seeds(length: int, anchor: int, sure: bool, hold: int = 1_500_000):
+def lists(d: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The documents, each once, and each one's values as a list."""
+    order = np.argsort(d, kind="stable")
+    d, values = d[order], values[order]
+    first = np.flatnonzero(np.append(True, d[1:] != d[:-1])) if len(d) else np.zeros(0, np.int64)
+    return d[first], pa.ListArray.from_arrays(pa.array(np.append(first, len(d)).astype(np.int32)), pa.array(values.view(np.int64)))
+
+
+def spread(d: np.ndarray) -> np.ndarray:
+    """Numbers by which rows that are settled already are dealt to all tasks."""
+    return mix(d.astype(np.uint64) + _SALT).view(np.int64)
+
+
+def _seeds(length: int, anchor: int, hold: int = 1_500_000):
     """Folds the anchors of a chunk: its smallest document for each anchor is to be checked with other
-    chunks, every further document is sure to share it."""
+    chunks, every further document is sure to share it. Both come from one pass over one chunk, since
+    another run of the plan may cut other chunks."""
 
     def fold(a: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((d, a))
@@ -118,11 +132,13 @@ def _seeds(length: int, anchor: int, sure: bool, hold: int = 1_500_000):
         a, d = a[new], d[new]
         first = np.ones(len(a), dtype=bool)
         first[1:] = a[1:] != a[:-1]
-        if sure:
-            return pa.record_batch([pa.array(d[~first]), pa.array(a[~first].view(np.int64))], names=["d", "anchor"])
         many = np.zeros(len(a), dtype=bool)
         many[:-1] = a[1:] == a[:-1]
-        return pa.record_batch([pa.array(a[first].view(np.int64)), pa.array(d[first]), pa.array(many[first])], names=["anchor", "d", "many"])
+        own, sure = lists(d[~first], a[~first])
+        n, m = int(first.sum()), len(own)
+        key = np.concatenate([a[first].view(np.int64), spread(own)])
+        none = pa.nulls(n, sure.type)
+        return pa.record_batch([pa.array(key), pa.array(np.concatenate([d[first], own])), pa.array(np.append(many[first], np.zeros(m, dtype=bool))), pa.concat_arrays([none, sure])], names=["anchor", "d", "many", "sure"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, n = [], 0
@@ -171,10 +187,33 @@ def runs(starts: np.ndarray) -> np.ndarray:
     return np.stack([starts[first], np.diff(np.concatenate([first, [len(starts)]]))], axis=1).astype(np.int32)
 
 
-def _extend(length: int, anchor: int, local: bool, hold: int = 1_500_000):
+def _with_settled(stream):
+    """Runs ``stream`` over the rows whose last column is null and hands (d, that column) of the others on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settled, kind = [], None
+
+        def rest() -> Iterator[pa.RecordBatch]:
+            nonlocal kind
+            for batch in batches:
+                kind = batch.schema.field(batch.num_columns - 1)
+                known = batch.column(batch.num_columns - 1)
+                own = batch.filter(known.is_valid())
+                settled.append(pa.record_batch([own.column("d"), pa.nulls(own.num_rows, pa.int64()), own.column(kind.name)], names=["d", "key", kind.name]))
+                yield batch.filter(known.is_null()).select(batch.schema.names[:-1])
+
+        for out in stream(rest()):
+            yield from settled
+            settled.clear()
+            yield pa.record_batch([*out.columns, pa.nulls(out.num_rows, kind.type)], names=["d", "key", kind.name])
+        yield from settled
+
+    return run
+
+
+def _extend(length: int, anchor: int, hold: int = 1_500_000):
     """Rows (d, text, id, seeding anchors) to the extended windows of a chunk: those of its smallest document are
-    to be checked with other chunks, windows of further documents are repeats already."""
-    names = ["d", "known"] if local else ["key", "key2", "d"]
+    to be checked with other chunks, windows of further documents are repeats already. Both come from one pass."""
 
     def fold(key, key2, d, row, start, prints) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((d, key2, key))
@@ -182,9 +221,7 @@ def _extend(length: int, anchor: int, local: bool, hold: int = 1_500_000):
         first = np.ones(len(key), dtype=bool)
         first[1:] = (key[1:] != key[:-1]) | (key2[1:] != key2[:-1])
         smallest = d[np.flatnonzero(first)][np.cumsum(first) - 1]
-        if not local:
-            yield pa.record_batch([pa.array(key[first].view(np.int64)), pa.array(key2[first]), pa.array(d[first])], names=names)
-            return
+        yield pa.record_batch([pa.array(key[first].view(np.int64)), pa.array(key2[first]), pa.array(d[first]), pa.nulls(int(first.sum()), pa.binary())], names=["key", "key2", "d", "known"])
         again = d > smallest
         order = np.lexsort((start[again], row[again]))
         row, start, d = row[again][order], start[again][order], d[again][order]
@@ -194,20 +231,21 @@ def _extend(length: int, anchor: int, local: bool, hold: int = 1_500_000):
             if b > a:
                 ids.append(int(d[a]))
                 known.append(prints[row[a]] + runs(start[a:b]).tobytes())
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(known, pa.binary())], names=names)
+        own = np.array(ids, dtype=np.int64)
+        yield pa.record_batch([pa.array(spread(own)), pa.array(np.zeros(len(own), np.int32)), pa.array(own), pa.array(known, pa.binary())], names=["key", "key2", "d", "known"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, prints, n = [], [], 0
         for batch in batches:
             d = np.asarray(batch.column(0))
             seeds = Tags(batch.column(3))
-            raw = texts(batch.column(1)) if local else []
+            raw = texts(batch.column(1))
             for first, last, block in blocks(batch.column(1)):
                 w = Windows(block, length, anchor)
                 hit = seeds.hits(first, last, w.anchor, w.text)
                 at, text = w.at[hit], w.text[hit]
                 parts.append((w.keys(at), w.second_keys(at), d[first:last][text], text + len(prints), (at - block.bounds[text]).astype(np.int64)))
-                prints += [xxh64_intdigest(t).to_bytes(8, "little") for t in raw[first:last]] if local else [b""] * (last - first)
+                prints += [xxh64_intdigest(t).to_bytes(8, "little") for t in raw[first:last]]
                 n += len(at)
                 if n > hold:
                     yield from fold(*map(np.concatenate, zip(*parts, strict=True)), prints)
@@ -292,17 +330,14 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     docs = df.select(d.alias("d"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(id_col).cast("long").alias("doc_id"))
     texts_of = docs.select("d", "text")
 
-    to_check = texts_of.mapInArrow(_seeds(length, anchor, False), "anchor long, d long, many boolean")
-    shared = to_check.repartition("anchor").sortWithinPartitions("anchor", "d").mapInArrow(_shared_seeds, "d long, anchor long")
-    sure = texts_of.mapInArrow(_seeds(length, anchor, True), "d long, anchor long")
-    seeds = shared.union(sure).groupBy("d").agg(F.collect_list("anchor").alias("anchors"))
+    found = texts_of.mapInArrow(_seeds(length, anchor), "anchor long, d long, many boolean, sure array<long>")
+    found = found.repartition("anchor").sortWithinPartitions("anchor", "d").mapInArrow(_with_settled(_shared_seeds), "d long, key long, sure array<long>")
+    seeds = found.groupBy("d").agg(F.concat(F.collect_list("key"), F.flatten(F.collect_list("sure"))).alias("anchors"))
 
     # The same columns in both joins, so that they share one exchange of the texts.
     seeded = docs.join(seeds, "d").select("d", "text", "doc_id", "anchors")
-    windows = seeded.mapInArrow(_extend(length, anchor, False), "key long, key2 int, d long")
-    across = windows.repartition("key").sortWithinPartitions("key", "key2", "d").mapInArrow(_repeats, "d long, key long")
-    within = seeded.mapInArrow(_extend(length, anchor, True), "d long, known binary")
-    repeats = across.select("d", "key", F.lit(None).cast("binary").alias("known")).union(within.select("d", F.lit(None).cast("long").alias("key"), "known"))
+    windows = seeded.mapInArrow(_extend(length, anchor), "key long, key2 int, d long, known binary")
+    repeats = windows.repartition("key").sortWithinPartitions("key", "key2", "d").mapInArrow(_with_settled(_repeats), "d long, key long, known binary")
     repeats = repeats.groupBy("d").agg(F.collect_list("key").alias("keys"), F.collect_list("known").alias("known"))
 
     out = docs.join(repeats, "d", "left").select("d", "text", "doc_id", "keys", "known")

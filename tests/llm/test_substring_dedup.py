@@ -1,5 +1,6 @@
 import random
 import re
+from functools import partial
 
 import numpy as np
 import pytest
@@ -83,3 +84,19 @@ def test_streams_carry_over_batches():
         batches = [pa.record_batch([pa.array(k[a : a + size]), pa.array(d[a : a + size]), pa.array(d[a : a + size] == 100)], names=["anchor", "d", "many"]) for a in range(0, 300, size)]
         found = sorted((x, y) for b in X._shared_seeds(iter(batches)) for x, y in zip(*(c.to_pylist() for c in b.columns), strict=True))
         assert found == sorted((int(y), int(x)) for x, y in zip(k, d, strict=True) if (k == x).sum() > 1)
+
+
+def test_chunks_that_differ_from_run_to_run(spark, monkeypatch):
+    """Each run of the input gives another row order, so each chunk of few anchors holds other documents."""
+
+    def reorder(batches):
+        import pyarrow as pa
+
+        table = pa.Table.from_batches(batches)
+        yield from table.take(np.random.default_rng().permutation(table.num_rows)).to_batches()
+
+    for name in ("_seeds", "_extend"):
+        monkeypatch.setattr(X, name, partial(getattr(X, name), hold=200))
+    rows = corpus(3)
+    df = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string").coalesce(2).mapInArrow(reorder, "doc_id long, text string")
+    assert run(df) == brute(rows)
