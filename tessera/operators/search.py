@@ -2,19 +2,22 @@
 
 Each Arrow batch of vectors is scored against the queries by one matrix product and cut to its
 best k before anything is shuffled, so what is shuffled is at most k rows for each query and
-batch. Queries must be few: their number is checked against ``MOST_QUERIES`` before they are
-collected for the tasks.
+batch. Queries are taken from the driver in blocks of ``MOST_QUERIES``; where there is more than
+one block, each one's hits are cut off in the checkpoint folder before the next is read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import checkpoint
+
 MOST_QUERIES = 10_000
 #: A distance up to this counts as confident.
 MAX_DISTANCE = 1.35
@@ -22,9 +25,21 @@ MAX_DISTANCE = 1.35
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, *, query_id: str = "query_id", vector_id: str = "vec_id", column: str = "embedding") -> DataFrame:
     """(query_id, vec_id, distance, rank): ties in distance go by id; fewer than k vectors give fewer rows."""
-    found = queries.select(F.col(query_id).cast("long"), F.col(column).cast("array<double>")).limit(MOST_QUERIES + 1).toArrow()
-    if found.num_rows > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries at once; search in blocks")
+    wanted = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(column).cast("array<double>").alias("embedding"))
+    own = vectors.select(F.col(vector_id).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("embedding")).filter(F.col("embedding").isNotNull())
+    found = wanted.limit(MOST_QUERIES + 1).toArrow()
+    if found.num_rows <= MOST_QUERIES:
+        return _ranked(_near(found, own, k), k)
+    hits, rows = None, wanted.toLocalIterator()
+    while block := list(islice(rows, MOST_QUERIES)):
+        some = pa.table({"query_id": pa.array([r.query_id for r in block], pa.int64()), "embedding": pa.array([r.embedding for r in block], pa.list_(pa.float64()))})
+        near = checkpoint(_ranked(_near(some, own, k), k))
+        hits = near if hits is None else hits.union(near)
+    return hits
+
+
+def _near(found: pa.Table, own: DataFrame, k: int) -> DataFrame:
+    """The best k of each batch of vectors for each query of ``found``."""
     ids = found.column(0).to_pylist()
     wanted = np.array(found.column(1).to_pylist(), dtype=np.float64).reshape(len(ids), -1)
     wanted /= np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-300)
@@ -45,7 +60,10 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, *, query_id: str =
             q, v = np.concatenate(rows), np.concatenate(cols)
             yield pa.record_batch([pa.array(np.array(ids)[q]), pa.array(vec[v]), pa.array(distance[q, v])], names=["query_id", "vec_id", "distance"])
 
-    near = vectors.select(F.col(vector_id).cast("long"), F.col(column).cast("array<double>")).filter(F.col(column).isNotNull()).mapInArrow(run, "query_id long, vec_id long, distance double")
+    return own.mapInArrow(run, "query_id long, vec_id long, distance double")
+
+
+def _ranked(near: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

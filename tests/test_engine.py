@@ -135,3 +135,12 @@ def test_scope_and_command_line(tmp_path, monkeypatch, capsys):
     with pytest.raises(ValueError):
         cli.json_object("[1]")
     assert cli.main(["init"]) == 0 and "REPO_ROOT" in capsys.readouterr().out
+
+
+def test_search_goes_on_in_blocks(spark, monkeypatch):
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(np.random.default_rng(4).normal(size=(60, 8)))], "vec_id long, embedding array<float>").repartition(3)
+    queries = df.filter("vec_id < 25").selectExpr("vec_id as query_id", "embedding")
+    rows = lambda: sorted((r.query_id, r.rank, r.vec_id, round(r.distance, 9)) for r in search.top_k(queries, df, 4).collect())
+    whole = rows()
+    monkeypatch.setattr(search, "MOST_QUERIES", 10)
+    assert len(whole) == 100 and rows() == whole
