@@ -204,7 +204,7 @@ def _phrases(lexicon: Lexicon):
         for batch in batches:
             for label, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 folded, seen = fold(text or ""), set()
-                for start, end, _ in lexicon.matches(own, folded)[:1000]:
+                for start, end, _ in lexicon.matches(own, folded):
                     stop = folded.find(" ", max(start + 1, end - 1))
                     word = folded[start + 1 : stop]
                     before, after = folded[max(0, start - 30) : start].split(), folded[stop : stop + 30].split()

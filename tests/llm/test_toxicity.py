@@ -47,3 +47,12 @@ def test_held_out_accuracy_and_edge_cases(spark):
     assert X.score(docs.limit(0), lexicon).count() == 0
     clash = docs.selectExpr("doc_id", "text", "1 as score", "'x' as held_out")
     assert X.score(clash, lexicon).columns == ["doc_id", "held_out", "score", "predicted"]
+
+
+def test_phrases_are_learned_to_the_end_of_a_long_text():
+    import pyarrow as pa
+
+    text = "trash here " * 1500 + "trash can"
+    batch = pa.record_batch([pa.array([1]), pa.array([0]), pa.array([text])], names=["doc_id", "label", "text"])
+    (found,) = X._phrases(X.Lexicon({" trash ": 5.0}))(iter([batch]))
+    assert "trash can" in found.column(0).to_pylist()
