@@ -47,9 +47,7 @@ _START = ~_set(bytes(range(128, 192)))  # a byte that begins a code point
 
 
 def _sums(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(mask) + 1, dtype=np.int64)
-    np.cumsum(mask, out=total[1:])
-    return total[offsets[1:]] - total[offsets[:-1]]
+    return np.diff(np.searchsorted(np.flatnonzero(mask), offsets))
 
 
 def repeat_words(h: np.ndarray, text_of: np.ndarray, n: int = 3) -> np.ndarray:
@@ -94,17 +92,17 @@ def measure(block: Block, raw: list[bytes]) -> dict[str, np.ndarray]:
     data, offsets, bounds, n = block.data, block.offsets, block.bounds, len(raw)
     text_of = np.repeat(np.arange(n), np.diff(bounds))
     h = block.hashes()
-    begins = np.zeros(len(data) + 1, dtype=np.int64)
-    np.cumsum(_START[data], out=begins[1:])
-    symbols = np.zeros(len(data) + 1, dtype=np.int64)
-    np.cumsum(_SYMBOL[data], out=symbols[1:])
-    length = begins[block.ends] - begins[block.starts]
+    inner = np.flatnonzero(~_START[data])  # bytes that don't begin a code point
+    points = lambda at: at - np.searchsorted(inner, at)
+    symbols = np.flatnonzero(_SYMBOL[data])
+    signs = np.searchsorted(symbols, block.ends) - np.searchsorted(symbols, block.starts)
+    length = points(block.ends) - points(block.starts)
     by_text = lambda x: np.bincount(text_of, weights=x, minlength=n).astype(np.int64)
     lines = [duplicate_lines(t) for t in raw]
     return {
         "n_words": np.diff(bounds),
         "word_chars": by_text(length),
-        "n_symbols": symbols[offsets[1:]] - symbols[offsets[:-1]],
+        "n_symbols": np.diff(np.searchsorted(symbols, offsets)),
         "n_dup_lines": np.array([d for _, d in lines], dtype=np.int64),
         "n_repeat_words": by_text(repeat_words(h, text_of)),
         "n_lines": np.array([m for m, _ in lines], dtype=np.int64),
@@ -114,10 +112,10 @@ def measure(block: Block, raw: list[bytes]) -> dict[str, np.ndarray]:
         "n_digits": _sums(_DIGIT[data], offsets),
         "n_pipes": _sums(data == ord("|"), offsets),
         "n_exclaim": _sums(data == ord("!"), offsets),
-        "n_symbol_words": by_text(symbols[block.ends] > symbols[block.starts]),
+        "n_symbol_words": by_text(signs > 0),
         "n_short_words": by_text(length <= 3),
         "n_long_words": by_text(length >= 14),
-        "n_chars": begins[offsets[1:]] - begins[offsets[:-1]],
+        "n_chars": np.diff(points(offsets)),
     }
 
 

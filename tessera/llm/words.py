@@ -11,6 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from xxhash import xxh64_intdigest
 
 SPACES = b" \t\n\x0b\x0c\r"
 IS_SPACE = np.zeros(256, dtype=bool)
@@ -31,28 +32,21 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Words are hashed within so many bytes at a time; a longer word is hashed by xxhash.
+_SEGMENT = 1 << 18
+
+
 @lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(_BASE, -1, 1 << 64)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the base and of its inverse that one segment needs."""
     out = []
-    for base in (_BASE, inverse):
-        steps = np.full(n + 1, base, dtype=np.uint64)
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(_SEGMENT + 1, base, dtype=np.uint64)
         steps[0] = 1
         out.append(np.cumprod(steps, dtype=np.uint64))
     return out[0], out[1]
 
 
-_known = 1 << 18
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """At least n powers of the base and of its inverse; the longest asked for so far are kept."""
-    global _known
-    while _known < n:
-        _known *= 2
-    return _powers(_known)
-
-
 class Block:
     """The words of consecutive texts: byte spans, and where each text's words begin."""
 
@@ -75,13 +69,27 @@ class Block:
     def hashes(self, data: np.ndarray | None = None) -> np.ndarray:
         """A 64-bit hash of each word's bytes (of ``data`` in their place, if given)."""
         data = self.data if data is None else data
-        if not len(self.starts):
-            return np.zeros(0, dtype=np.uint64)
-        up, down = powers(len(data))
+        out = np.empty(len(self.starts), dtype=np.uint64)
+        up, down = _powers()
+        first = 0
         with np.errstate(over="ignore"):
-            total = np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)
-            before = np.where(self.starts > 0, total[self.starts - 1], np.uint64(0))
-            return mix((total[self.ends - 1] - before) * down[self.starts])
+            while first < len(out):
+                base = self.starts[first]
+                last = max(first + 1, int(np.searchsorted(self.ends, base + _SEGMENT, side="right")))
+                part = data[base : self.ends[last - 1]]
+                if len(part) > _SEGMENT:  # a single word
+                    out[first] = xxh64_intdigest(part.tobytes())
+                else:
+                    starts, ends = self.starts[first:last] - base, self.ends[first:last] - base
+                    total = np.zeros(len(part) + 1, dtype=np.uint64)
+                    np.cumsum(_BYTE[part] * up[: len(part)], dtype=np.uint64, out=total[1:])
+                    out[first:last] = mix((total[ends] - total[starts]) * down[starts])
+                first = last
+        return out
+
+    def text(self, k: int) -> bytes:
+        """The bytes of text k."""
+        return self.data[self.offsets[k] : self.offsets[k + 1]].tobytes()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -123,6 +131,21 @@ def texts(column: pa.Array) -> list[bytes]:
     return [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
+def strings(column: pa.Array, errors: str = "replace") -> list[str | None]:
+    """Each value as a string; bytes that aren't UTF-8 are treated as ``errors`` says."""
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        wide = pa.types.is_large_string(column.type)
+        raw = column.cast(pa.large_binary() if wide else pa.binary()).to_pylist()
+        return [None if t is None else t.decode("utf-8", errors) for t in raw]
+
+
+def as_strings(values: list[bytes]) -> pa.Array:
+    """A string column of these bytes as they are, even where they aren't UTF-8."""
+    return pa.array(values, pa.binary()).view(pa.string())
+
+
 def ngrams(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n-grams of a sequence of word hashes, one for each start."""
     m = len(h) - n + 1
