@@ -17,6 +17,8 @@ two fingerprints are linked exactly if they share such a word, and those that sh
 linked, so a star to the smallest is enough. A group has at most 65 members. Both ways are
 exact; no pair is lost and none is listed twice over.
 
+``near_copies`` removes copies by the same codes at a similarity of 0.8.
+
 Components of the links then give the classes; the class id is its smallest doc_id.
 
 Defined cases: a null or empty text, or one of separators only, has fingerprint zero, linked
@@ -201,8 +203,3 @@ def classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bi
     ids = checkpoint(first.join(of_linked, "fp", "left").select("fp", F.coalesce("class_id", "first_id").alias("component_id")))
     return docs.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
-
-def near_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bits: int = 2) -> DataFrame:
-    """The rows of ``df`` whose id is their class's id, with all their columns."""
-    kept = classes(df, id_col=id_col, text_col=text_col, bits=bits).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return df.join(kept, df[id_col].cast("long").eqNullSafe(kept["__kept"]), "left_semi")

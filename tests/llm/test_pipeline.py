@@ -8,7 +8,7 @@ from tessera.llm import byte_bpe
 from tessera.llm.catalogue import VOCABULARY
 
 from .test_mixing import brute_targets
-from .test_simhash import brute_components, brute_fingerprint
+from .test_near_copies import brute as brute_near_copies
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -53,8 +53,7 @@ def test_each_stage_by_brute_force(spark, tables):
     assert sorted(r.doc_id for r in outputs[1]) == sorted(first.values())
 
     ids = sorted(first.values())
-    roots = brute_components([brute_fingerprint(text_of[i]) for i in ids])
-    alone = [ids[k] for k in range(len(ids)) if roots[k] == k]
+    alone = brute_near_copies([(i, text_of[i]) for i in ids])
     assert sorted(r.doc_id for r in outputs[2]) == alone
 
     source_of, size = {i: s for i, _, _, s, _ in rows}, {i: len((text_of[i] or "").split()) for i in alone}
@@ -87,4 +86,8 @@ def test_stages_with_no_rows_and_with_nulls(spark, tables):
         for name, stage in P.STAGES[:-1]:
             out = stage(spark, docs, folder)
             assert out.columns == docs.columns and out.count() <= 3 * len(rows), name
+        wide = docs.selectExpr("*", "1 AS row", "'x' AS id", "2 AS score", "3 AS node", "4 AS copy", "5 AS `in_map`", "6 AS `key`")
+        for name, stage in P.STAGES[:-1]:
+            out = stage(spark, wide, folder)
+            assert out.columns == wide.columns and {(r.id, r.row) for r in out.collect()} <= {("x", 1)}, name
         assert P.STAGES[-1][1](spark, docs, folder).count() == len(rows)
