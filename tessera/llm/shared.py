@@ -43,6 +43,21 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     return labels
 
 
+def bounded_sample(rows: DataFrame, most: int, *keys: str) -> DataFrame:
+    """``rows`` if they are at most ``most``, else those whose hash of ``keys`` lies below a threshold that leaves at most so many.
+
+    Counts only come to the driver, and no task gets more than its own rows. Reruns agree.
+    """
+    n = rows.count()
+    if n <= most:
+        return rows
+    share = most / n * max(0.1, 1 - 4 / most**0.5)
+    place = F.shiftrightunsigned(F.xxhash64(*keys), 11).cast("double") / float(1 << 53)
+    while (part := rows.filter(place < share)).count() > most:
+        share *= 0.9
+    return part
+
+
 def write(df: DataFrame) -> str:
     """The path of ``df`` as Parquet in a new folder of the shared store."""
     spark = df.sparkSession

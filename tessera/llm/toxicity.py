@@ -1,42 +1,49 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick on folded text.
 
-Folding maps every code point to one of a-z, a placeholder letter for other scripts, or a
-space: case and diacritics go, homoglyphs and full-width forms become their Latin letter,
-digits and signs used as letters become that letter (signs only inside a word), zero-width
-characters are removed, and i, l, 1, ! and | fall together. An entry is a whole word
-(space on both sides) or the beginning of a word (space before it); its weight is a smoothed
-log-odds. Longer exception phrases switch off the entries inside them.
+Folding maps every code point to a letter or a space: case and diacritics go, homoglyphs and
+full-width forms become their Latin letter, digits and signs used as letters become that letter
+(signs only inside a word), zero-width characters are removed, i, l, 1, ! and | fall
+together, and letters of other scripts stay as they are. An entry is a whole word (space on both
+sides) or the beginning of a word (space before it); its weight is a smoothed log-odds. Longer
+exception phrases switch off the entries inside them.
 
 The lexicon, its exceptions and the calibration are learned from at most ``most`` labelled
-rows of each class (a documented bound; the smallest by a hash of the id), held-out rows left
-out. The lexicon has at most ``entries`` entries, so what is broadcast has a fixed bound.
-Scoring covers every row and whole texts. Labels, lang, source and doc_id are never inputs.
+rows of each class (documented bounds, as are ``entries`` and ``CANDIDATES``: the model is chosen
+from the strongest candidates and has a fixed size, which is what is broadcast); they are the rows
+with the smallest hashes of the id, held-out rows left out, and their whole texts are read.
+Scoring covers every row and whole texts in time linear in the text. Labels, lang, source and
+doc_id are never inputs.
 
 Score: a logistic function of the summed weights and of their rate by length.
 
 Defined cases: null and empty texts are scored like a text without matches; without labels
-the score is the same for every text; repeated rows get equal scores; an empty table gives an
-empty result; extra columns are ignored.
+the score is the same for every text; an id with two labels counts as toxic; of rows with equal ids
+one is learned from; repeated rows get equal scores; bytes that aren't UTF-8 count as spaces; an empty
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import lru_cache, reduce
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import crc_fold
+from .shared import bounded_sample, checkpoint
+from .words import crc_fold, pieces, strings
 
-_SPACE, _OTHER, _GONE = 32, ord("_"), 0
+_SPACE, _GONE = 32, 0
+#: Candidate entries that the lexicon is chosen from.
+CANDIDATES = 20_000
 #: Letters of other scripts that look like a Latin one.
 HOMOGLYPHS = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ї": "i", "ј": "j", "ѕ": "s", "к": "k", "м": "m", "т": "t", "н": "h", "в": "b", "ԁ": "d", "ԛ": "q", "ѡ": "w", "ɡ": "g",
@@ -52,7 +59,7 @@ _INVISIBLE = [0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF]
 @lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """What each code point folds to, and what it folds to between letters only (0: nothing)."""
-    fold = np.full(0x110000, _SPACE, dtype=np.uint8)
+    fold = np.full(0x110000, _SPACE, dtype=np.uint32)
     for point in range(0x110000):
         if 0xD800 <= point < 0xE000 or (0x3400 <= point < 0xF900):
             continue
@@ -62,19 +69,19 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
         base = unicodedata.normalize("NFKD", character)[:1].lower()[:1]
         base = HOMOGLYPHS.get(base, HOMOGLYPHS.get(character.lower()[:1], base))
         base = DIGITS.get(base, base)
-        fold[point] = ord(SAME.get(base, base)) if "a" <= base <= "z" else _OTHER
+        fold[point] = ord(SAME.get(base, base))
         if unicodedata.category(character) == "Mn":
             fold[point] = _GONE
-    fold[0x3400:0xD800] = _OTHER
+    fold[0x3400:0xD800] = np.arange(0x3400, 0xD800)
     fold[_INVISIBLE] = _GONE
-    inside = np.zeros(0x110000, dtype=np.uint8)
+    inside = np.zeros(0x110000, dtype=np.uint32)
     for sign, letter in SIGNS.items():
         inside[ord(sign)] = ord(letter)
     return fold, inside
 
 
 def fold(text: str) -> str:
-    """ASCII letters, ``_`` for other letters and spaces; starts and ends with a space."""
+    """Letters and spaces; starts and ends with a space."""
     table, inside = _tables()
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     out = table[points]
@@ -87,7 +94,7 @@ def fold(text: str) -> str:
         out[at] = signs[at]
     if not out.all():
         out = out[out != _GONE]
-    return " " + out.tobytes().decode("ascii") + " "
+    return " " + out.tobytes().decode("utf-32-le") + " "
 
 
 @dataclass
@@ -118,7 +125,9 @@ class Lexicon:
         for end, (n, weight, _) in automaton.iter(folded):
             (off if weight is None else hits).append((end + 1 - n, end + 1, weight))
         if off:
-            hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in off)]
+            off.sort()
+            begins, reach = [a for a, _, _ in off], list(accumulate((b for _, b, _ in off), max))
+            hits = [h for h in hits if not (k := bisect_right(begins, h[0])) or reach[k - 1] < h[1]]
         best: dict[int, tuple[int, int, float]] = {}
         for hit in hits:
             if hit[0] not in best or abs(hit[2]) > abs(best[hit[0]][2]):
@@ -142,13 +151,19 @@ def _candidates(folded: str) -> set[str]:
     """The whole words of a text, and the beginnings of its words of 4 to 8 letters."""
     out = set()
     for word in set(folded.split()):
-        if len(word) >= 3 and "_" not in word and len(word) <= 24:
+        if len(word) >= 3:
             out.add(f" {word} ")
             for n in range(4, min(8, len(word)) + 1):
                 out.add(f" {word[:n]}")
     return out
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, str | None]]:
+    """(label, text) of each row, a bounded number of bytes at a time."""
+    for first, last in pieces(batch.column(2), 2 << 20):
+        yield from zip(batch.column(1)[first:last].to_pylist(), strings(batch.column(2)[first:last]), strict=True)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of a partition with each candidate, by label; summed before the shuffle, a bounded number at a time."""
     counts: tuple[Counter, Counter] = (Counter(), Counter())
@@ -158,9 +173,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch([pa.array(keys, pa.string()), pa.array([counts[1][k] for k in keys], pa.int64()), pa.array([counts[0][k] for k in keys], pa.int64())], names=["entry", "pos", "neg"])
 
     for batch in batches:
-        for label, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for label, text in _rows(batch):
             counts[label].update(_candidates(fold(text or "")))
-            if len(counts[0]) + len(counts[1]) > 1_000_000:
+            if len(counts[0]) + len(counts[1]) > 200_000:
                 yield flush()
                 counts[0].clear(), counts[1].clear()
     if counts[0] or counts[1]:
@@ -202,14 +217,15 @@ def _phrases(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, counts = lexicon.automaton(), (Counter(), Counter())
         for batch in batches:
-            for label, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for label, text in _rows(batch):
                 folded, seen = fold(text or ""), set()
                 for start, end, _ in lexicon.matches(own, folded):
                     stop = folded.find(" ", max(start + 1, end - 1))
                     word = folded[start + 1 : stop]
-                    before, after = folded[max(0, start - 30) : start].split(), folded[stop : stop + 30].split()
-                    seen.update([f"{before[-1]} {word}"] if before and start and folded[start - 1] != " " else [])
-                    seen.update([f"{word} {after[0]}"] if after and folded[stop + 1 : stop + 2] != " " else [])
+                    before = folded[folded.rfind(" ", 0, start) + 1 : start] if start else ""
+                    after = folded[stop + 1 : folded.find(" ", stop + 1)] if stop + 1 < len(folded) else ""
+                    seen.update([f"{before} {word}"] if before else [])
+                    seen.update([f"{word} {after}"] if after else [])
                 counts[label].update(seen)
         keys = list(counts[0])  # only phrases of clean texts can be exceptions
         yield pa.record_batch([pa.array(keys, pa.string()), pa.array([counts[1][k] for k in keys], pa.int64()), pa.array([counts[0][k] for k in keys], pa.int64())], names=["entry", "pos", "neg"])
@@ -221,7 +237,7 @@ def _strengths(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lexicon.automaton()
         for batch in batches:
-            found = np.array([lexicon.strength(own, t or "") for t in batch.column(2).to_pylist()]).reshape(-1, 2)
+            found = np.array([lexicon.strength(own, t or "") for _, t in _rows(batch)]).reshape(-1, 2)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found[:, 0]), pa.array(found[:, 1])], names=["doc_id", "label", "total", "rate"])
 
     return run
@@ -245,21 +261,22 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", most: int = 6_000, entries: int = 2_000, least_gain: float = 28.0, exceptions: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
-    """A lexicon from at most ``most`` rows of each class; a bounded list of ids is broadcast, texts aren't shuffled."""
+    """A lexicon from at most ``most`` rows of each class; a bounded list of ids is broadcast, other texts aren't shuffled."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_fold() != 0))
+    usable = usable.groupBy("doc_id").agg(F.max("label").alias("label"))
     totals = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = usable.filter("label = 1").orderBy(*order).limit(most).unionByName(usable.filter("label = 0").orderBy(*order).limit(most))
-    chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label"))
+    chosen = checkpoint(reduce(DataFrame.unionByName, (bounded_sample(usable.filter(F.col("label") == k), most, "doc_id") for k in (0, 1))))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sample = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    found = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = checkpoint(found.select("doc_id", "label", "text"))
 
     summed = "entry string, pos long, neg long"
     counts = sample.mapInArrow(_count, summed).groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    n_pos, n_neg = max(1, min(most, totals.get(1, 0))), max(1, min(most, totals.get(0, 0)))
+    learned = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    n_pos, n_neg = max(1, learned.get(1, 0)), max(1, learned.get(0, 0))
     lead = F.col("pos") / n_pos - F.col("neg") / n_neg
-    found = counts.filter((F.col("pos") >= 3) & (F.col("pos") * n_neg > 8 * F.col("neg") * n_pos)).orderBy(F.desc(lead), "entry").limit(20_000).collect()
-    lexicon = Lexicon(choose([(r.entry, r.pos, r.neg) for r in found], n_pos, n_neg, entries, least_gain))
+    strongest = counts.filter((F.col("pos") >= 3) & (F.col("pos") * n_neg > 8 * F.col("neg") * n_pos)).orderBy(F.desc(lead), "entry").limit(CANDIDATES).collect()
+    lexicon = Lexicon(choose([(r.entry, r.pos, r.neg) for r in strongest], n_pos, n_neg, entries, least_gain))
 
     own = [fold(p).strip() for p in exceptions]
     if lexicon.weights:
@@ -274,24 +291,22 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", most: int
     return lexicon
 
 
-def with_scores(docs: DataFrame, lexicon: Lexicon, *, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with a column of scores. No shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+def score_of(text: Column, lexicon: Lexicon) -> Column:
+    """The scores of a text column. No shuffle."""
 
-    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = shared.value
-        automaton = own.automaton()
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        automaton = lexicon.automaton()
         for part in texts:
-            yield pd.Series(own.score(np.array([own.strength(automaton, t or "") for t in part]).reshape(-1, 2)))
+            found = [lexicon.strength(automaton, t or "") for first, last in pieces(part, 2 << 20) for t in strings(part[first:last])]
+            yield pa.array(lexicon.score(np.array(found).reshape(-1, 2)), pa.float64())
 
-    score = F.pandas_udf(scored, "double")
-    return docs.withColumn(name, score(F.col(f"`{text_col}`").cast("string")))
+    return F.arrow_udf(scored, "double")(text.cast("string"))
 
 
 def score(docs: DataFrame, lexicon: Lexicon, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted: one row for each row of ``docs``."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return with_scores(rows, lexicon).select(
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), score_of(F.col(f"`{text_col}`"), lexicon).alias("score"))
+    return rows.select(
         "doc_id",
         F.coalesce(crc_fold() == 0, F.lit(False)).alias("held_out"),
         "score",
