@@ -4,6 +4,8 @@ Each stage is a function (spark, docs, sf_dir) -> DataFrame that applies one ope
 that its predecessor kept; all but the last return the columns of ``documents``. Between the
 stages ``run`` writes Parquet into the shared folder, so no stage is computed twice and a lost
 executor costs no more than its tasks.
+
+Every stage gives an empty table for an empty table and keeps further columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,29 +21,28 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below one half stay."""
+    """Documents scored below one half stay; null and empty texts do, and repeated rows go or stay together."""
     lexicon = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.with_scores(docs, lexicon, name="__toxicity")
-    return scored.filter(F.col("__toxicity") < 0.5).drop("__toxicity")
+    return docs.filter(toxicity.score_of(F.col("text"), lexicon) < 0.5)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the smallest id stays."""
+    """Of equal texts the document with the smallest id stays (null last, null text as empty); of repeated rows one."""
     return exact_dedup.exact_dedup(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest id stays."""
+    """Of each class of near copies (five-word shingles, similarity 0.8) the smallest id stays, null last, with all its rows."""
     return near_copies.near_dedup(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it; null is a source, empty texts stay once, repeated rows alike."""
     return mixing.mixed_rows(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and whether they decode to its text."""
+    """Token ids of each row, and a digest of what they decode to; null and empty texts have none."""
     tokens = byte_bpe.encode(docs, vocabulary=VOCABULARY)
     return tokens.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
