@@ -6,11 +6,13 @@ documents, and only those found in two documents seed anything.
 
 Extension: around a seeding anchor the match is extended to both sides to every window that the
 anchor represents (up to ``length - anchor`` words either way). Extended windows are joined by a
-96-bit hash of their whole word sequence; one is repeated if it also starts in a document with a
+95-bit hash of their whole word sequence; one is repeated if it also starts in a document with a
 smaller id. Overlapping repeated windows make up the maximal repeats of at least ``length``
-words, and their words are removed.
+words, and their words are removed. Matches aren't walked pair by pair: around a passage that
+a third of the corpus shares that would be quadratic, and a single representative of an anchor
+would miss what only two other documents share. Grouping the extended windows is exact.
 
-Scale: nothing is paired. A task folds the anchors and the windows of a bounded chunk of documents
+Scale: nothing is paired; a worker's buffers hold ``hold`` records of at most 36 bytes. A task folds the anchors and the windows of a bounded chunk of documents
 before they are shuffled, so a passage that a third of the corpus shares sends one record for
 each chunk and is settled inside the chunk otherwise; the shuffled records are sorted and read
 as a stream, never collected by key. What is collected by document is bounded by the document.
@@ -18,8 +20,9 @@ The texts are shuffled once, by id, and that exchange serves both joins.
 
 Defined cases: a null or empty text has no words; texts shorter than ``length`` words keep all;
 rows with equal ids are one document for what counts as smaller, so they don't remove from one
-another; a null id counts as larger than every id and such rows are one document in this sense;
-an empty table gives an empty result; extra columns are ignored.
+another; rows with a null id come after every id (ids are below 2^63 - 2^40), ordered by a hash
+of their text, and those with equal texts are one document; bytes that aren't UTF-8 are kept as
+they are; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .words import Block, blocks, mix, ngrams, ngrams_at, texts
+from .words import Block, as_strings, blocks, lean, mix, ngrams, ngrams_at
 
 _LAST = (1 << 63) - 1
 _SALT = np.uint64(0x9E3779B97F4A7C15)
@@ -119,7 +122,7 @@ def spread(d: np.ndarray) -> np.ndarray:
     return mix(d.astype(np.uint64) + _SALT).view(np.int64)
 
 
-def _seeds(length: int, anchor: int, hold: int = 1_500_000):
+def _seeds(length: int, anchor: int, hold: int = 1_000_000):
     """Folds the anchors of a chunk: its smallest document for each anchor is to be checked with other
     chunks, every further document is sure to share it. Both come from one pass over one chunk, since
     another run of the plan may cut other chunks."""
@@ -211,7 +214,7 @@ def _with_settled(stream):
     return run
 
 
-def _extend(length: int, anchor: int, hold: int = 1_500_000):
+def _extend(length: int, anchor: int, hold: int = 1_000_000):
     """Rows (d, text, id, seeding anchors) to the extended windows of a chunk: those of its smallest document are
     to be checked with other chunks, windows of further documents are repeats already. Both come from one pass."""
 
@@ -239,13 +242,13 @@ def _extend(length: int, anchor: int, hold: int = 1_500_000):
         for batch in batches:
             d = np.asarray(batch.column(0))
             seeds = Tags(batch.column(3))
-            raw = texts(batch.column(1))
             for first, last, block in blocks(batch.column(1)):
                 w = Windows(block, length, anchor)
                 hit = seeds.hits(first, last, w.anchor, w.text)
                 at, text = w.at[hit], w.text[hit]
-                parts.append((w.keys(at), w.second_keys(at), d[first:last][text], text + len(prints), (at - block.bounds[text]).astype(np.int64)))
-                prints += [xxh64_intdigest(t).to_bytes(8, "little") for t in raw[first:last]]
+                own, row = np.unique(text, return_inverse=True)
+                parts.append((w.keys(at), w.second_keys(at), d[first:last][text], (row + len(prints)).astype(np.int32), (at - block.bounds[text]).astype(np.int32)))
+                prints += [_print(block.text(k)) for k in own.tolist()]
                 n += len(at)
                 if n > hold:
                     yield from fold(*map(np.concatenate, zip(*parts, strict=True)), prints)
@@ -273,20 +276,25 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(d[again]), pa.array(k[again])], names=["d", "key"])
 
 
-def _removed(block: Block, first: int, raw: list[bytes], repeated: Tags, known: list, length: int) -> np.ndarray:
+def _print(text: bytes) -> bytes:
+    """What tells the texts of rows with equal ids apart."""
+    return xxh64_intdigest(text).to_bytes(8, "little")
+
+
+def _removed(block: Block, first: int, last: int, repeated: Tags, known: list, length: int) -> np.ndarray:
     """Marks of the words of a block that repeats cover."""
     marks = np.zeros(len(block.starts) + 1, dtype=np.int32)
-    if repeated.offsets[first + len(raw)] > repeated.offsets[first]:
+    if repeated.offsets[last] > repeated.offsets[first]:
         h = block.hashes()
-        text_of = np.repeat(np.arange(len(raw)), np.diff(block.bounds))
-        asked = np.diff(repeated.offsets[first : first + len(raw) + 1]) > 0  # only texts with any are looked at
+        text_of = np.repeat(np.arange(last - first), np.diff(block.bounds))
+        asked = np.diff(repeated.offsets[first : last + 1]) > 0  # only texts with any are looked at
         at = np.flatnonzero((text_of[: 1 - length] == text_of[length - 1 :]) & asked[text_of[: 1 - length]]) if len(h) >= length else np.zeros(0, np.int64)
-        at = at[repeated.hits(first, first + len(raw), ngrams_at(h, length, at), text_of[at])]
+        at = at[repeated.hits(first, last, ngrams_at(h, length, at), text_of[at])]
         marks += np.bincount(at, minlength=len(marks)).astype(np.int32)
         marks -= np.bincount(at + length, minlength=len(marks)).astype(np.int32)
     for k, own in enumerate(known):
         if own:
-            mark = xxh64_intdigest(raw[k]).to_bytes(8, "little")
+            mark = _print(block.text(k))
             for x in own:
                 if x[:8] == mark:
                     for start, n in np.frombuffer(x, dtype=np.int32, offset=8).reshape(-1, 2).tolist():
@@ -301,15 +309,13 @@ def _result(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = texts(batch.column(1))
             repeated = Tags(batch.column(3))
-            known = batch.column(4).to_pylist()
             for first, last, block in blocks(batch.column(1)):
-                gone = _removed(block, first, raw[first:last], repeated, known[first:last], length)
+                gone = _removed(block, first, last, repeated, batch.column(4)[first:last].to_pylist(), length)
                 n_words, n_removed, spans, kept = np.diff(block.bounds), [], [], []
-                for k, text in enumerate(raw[first:last]):
+                for k in range(last - first):
                     own = gone[block.bounds[k] : block.bounds[k + 1]]
-                    words = text.split()
+                    words = block.text(k).split()
                     if own.any():
                         words = compress(words, (~own).tolist())
                         found = runs(np.flatnonzero(own))
@@ -318,27 +324,28 @@ def _result(length: int):
                     else:
                         spans.append([])
                     n_removed.append(int(own.sum()))
-                    kept.append(b" ".join(words).decode())
-                yield pa.record_batch([batch.column(2)[first:last], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, spans_type), pa.array(kept, pa.string())], schema=schema)
+                    kept.append(b" ".join(words))
+                yield pa.record_batch([batch.column(2)[first:last], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, spans_type), as_strings(kept)], schema=schema)
 
     return run
 
 
 def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 13, anchor: int = 5) -> DataFrame:
     """doc_id, n_words, n_removed, spans (removed runs of words, start and stop), kept_text: one row for each row."""
-    d = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
-    docs = df.select(d.alias("d"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(id_col).cast("long").alias("doc_id"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    d = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST) - F.xxhash64(text).bitwiseAND(F.lit((1 << 40) - 1)))
+    docs = df.select(d.alias("d"), text.alias("text"), F.col(id_col).cast("long").alias("doc_id"))
     texts_of = docs.select("d", "text")
 
-    found = texts_of.mapInArrow(_seeds(length, anchor), "anchor long, d long, many boolean, sure array<long>")
-    found = found.repartition("anchor").sortWithinPartitions("anchor", "d").mapInArrow(_with_settled(_shared_seeds), "d long, key long, sure array<long>")
+    found = texts_of.mapInArrow(lean(_seeds(length, anchor)), "anchor long, d long, many boolean, sure array<long>")
+    found = found.repartition("anchor").sortWithinPartitions("anchor", "d").mapInArrow(lean(_with_settled(_shared_seeds)), "d long, key long, sure array<long>")
     seeds = found.groupBy("d").agg(F.concat(F.collect_list("key"), F.flatten(F.collect_list("sure"))).alias("anchors"))
 
     # The same columns in both joins, so that they share one exchange of the texts.
     seeded = docs.join(seeds, "d").select("d", "text", "doc_id", "anchors")
-    windows = seeded.mapInArrow(_extend(length, anchor), "key long, key2 int, d long, known binary")
-    repeats = windows.repartition("key").sortWithinPartitions("key", "key2", "d").mapInArrow(_with_settled(_repeats), "d long, key long, known binary")
+    windows = seeded.mapInArrow(lean(_extend(length, anchor)), "key long, key2 int, d long, known binary")
+    repeats = windows.repartition("key").sortWithinPartitions("key", "key2", "d").mapInArrow(lean(_with_settled(_repeats)), "d long, key long, known binary")
     repeats = repeats.groupBy("d").agg(F.collect_list("key").alias("keys"), F.collect_list("known").alias("known"))
 
     out = docs.join(repeats, "d", "left").select("d", "text", "doc_id", "keys", "known")
-    return out.mapInArrow(_result(length), "doc_id long, n_words long, n_removed long, spans array<array<int>>, kept_text string")
+    return out.mapInArrow(lean(_result(length)), "doc_id long, n_words long, n_removed long, spans array<array<int>>, kept_text string")

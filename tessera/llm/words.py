@@ -6,8 +6,9 @@ working on UTF-8 bytes equals working on code points.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -131,6 +132,26 @@ def texts(column: pa.Array) -> list[bytes]:
     return [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release:
+        release(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over batches; what a task has freed goes back to the system at its end, as workers live on."""
+
+    @wraps(run)
+    def out(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return out
+
+
 def strings(column: pa.Array, errors: str = "replace") -> list[str | None]:
     """Each value as a string; bytes that aren't UTF-8 are treated as ``errors`` says."""
     try:

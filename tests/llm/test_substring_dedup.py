@@ -5,12 +5,14 @@ from functools import partial
 import numpy as np
 import pytest
 from tessera.llm import substring_dedup as X
+from xxhash import xxh64_intdigest
 
 
 def brute(rows, length=13):
     last = float("inf")
     words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
-    ids = [last if i is None else i for i, _ in rows]
+    signed = lambda t: (h := xxh64_intdigest((t or "").encode(), 42)) - (h >> 63 << 64)
+    ids = [(1 << 63) - 1 - signed(t) % (1 << 40) if i is None else i for i, t in rows]
     low = {}
     for d, w in zip(ids, words, strict=True):
         for s in range(len(w) - length + 1):
@@ -58,6 +60,13 @@ def test_equals_brute_force(spark, seed, monkeypatch):
         assert sum(b - a for a, b in r.spans) == r.n_removed and all(b - a >= 13 for a, b in r.spans)
 
 
+def test_bytes_that_are_not_utf8_stay(spark):
+    part = " ".join(f"CAST(X'{b}' AS STRING)," for b in ["FF61"]) + " ' one two three four five six seven eight nine ten eleven twelve thirteen'"
+    df = spark.sql(f"SELECT 1L AS doc_id, concat({part}) AS text UNION ALL SELECT 2L, concat({part}, ' x')")
+    out = {r.doc_id: (r.n_removed, bytes(r.kept)) for r in X.remove_repeats(df).selectExpr("doc_id", "n_removed", "cast(kept_text as binary) AS kept").collect()}
+    assert out[1][0] == 0 and out[1][1].startswith(b"\xffa one") and out[2] == (14, b"x")
+
+
 def test_no_rows(spark):
     assert X.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
