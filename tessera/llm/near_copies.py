@@ -11,8 +11,8 @@ sets of five-word shingles have a Jaccard similarity of 0.8 or more, whose diges
   pairs differ in up to 23 bits always share a key; at similarity 0.8 (about 56 bits) they do with
   probability 0.97, at 0.9 with 0.9996. Copies of copies are linked over one another, too.
 * Nodes of a key whose check bits differ in at most 16 places and whose sizes allow the similarity are
-  candidates. A key of up to 8 nodes gives all its candidates; a larger one links each node to
-  the key's smallest and to the two before it only, and marks its nodes as open.
+  candidates. A key of two nodes gives its pair; a larger one links each node to the key's smallest
+  only, and marks its nodes as open if they have a candidate there.
 * Candidates are verified by the similarity itself, so no pair below it links. Then open nodes
   of different classes are paired exactly: two sets this similar share one of the rarest shingles of
   either (the prefix filter, with sizes and positions). So large keys lose no link to their stars,
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .shared import checkpoint, components, write
 from .simhash import codewords
-from .words import Block, mix, ngrams, pieces, utf8
+from .words import Block, lean, mix, ngrams, pieces, utf8
 
 WORDS, SIMILARITY = 5, 0.8
 SEGMENTS, WIDTH, CHECK = 16, 23, 56
@@ -135,7 +135,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(nodes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["node", "shingles"])
 
 
-def _candidates(most: int = 8, hold: int = 1 << 19, before: int = 2, dense: int = 4096):
+def _candidates(most: int = 2, hold: int = 1 << 19, before: int = 0, dense: int = 4096):
     """Rows (key, node, sum) sorted by key and node: candidate pairs (a, b), and open nodes (a, null)."""
 
     def pairs(key: np.ndarray, node: np.ndarray, sums: np.ndarray, hub: tuple | None) -> pa.RecordBatch:
@@ -217,7 +217,7 @@ def _sets_of(nodes: DataFrame, first: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, shingles) of ``nodes``: only their texts are read for it."""
     ids = checkpoint(first.join(nodes, "node").select(F.col("first_id").alias("id")).distinct())
     some = in_map(texts.select(F.col("doc_id").alias("id"), "text"), checkpoint(bit_map(ids))).filter("in_map")
-    own = some.join(ids.withColumnRenamed("id", "wanted"), F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("text").mapInArrow(_sets, "node long, shingles array<long>")
+    own = some.join(ids.withColumnRenamed("id", "wanted"), F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("text").mapInArrow(lean(_sets), "node long, shingles array<long>")
     # Cut off here, so that the joins have plain exchanges on both sides and Spark may split a node of many pairs.
     return checkpoint(own.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
 
@@ -269,13 +269,13 @@ def _prefixes(frequency: np.ndarray):
 
 def _exact_pairs(sets: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes of ``sets`` with different roots that may be similar enough; none that is gets lost."""
-    counts = sets.select("shingles").mapInArrow(_counters, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()  # at most 2^16 rows
+    counts = sets.select("shingles").mapInArrow(lean(_counters), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()  # at most 2^16 rows
     frequency = np.zeros(_COUNTERS, dtype=np.int64)
     for r in counts:
         frequency[r.place] = r.n
     labelled = sets.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "shingles")
     # Cut off here, so that Spark may split a shingle that very many prefixes have.
-    rows = checkpoint(labelled.mapInArrow(_prefixes(frequency), "token long, node long, root long, at int, n int"))
+    rows = checkpoint(labelled.mapInArrow(lean(_prefixes(frequency)), "token long, node long, root long, at int, n int"))
     one = rows.select("token", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("at").alias("i"), F.col("n").alias("m"))
     two = rows.select("token", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("at").alias("j"), "n")
     needed = F.ceil(SIMILARITY / (1 + SIMILARITY) * (F.col("m") + F.col("n")) - 1e-9)
@@ -286,8 +286,8 @@ def _exact_pairs(sets: DataFrame, roots: DataFrame) -> DataFrame:
 
 def links(first: DataFrame, texts: DataFrame) -> DataFrame:
     """Verified pairs (a, b) that connect every class of the nodes in ``first`` (node, first_id, segments, sum)."""
-    rows = first.select("node", "segments", "sum").mapInArrow(_keys, "key long, node long, sum long")
-    found = checkpoint(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_candidates(), "a long, b long").distinct())
+    rows = first.select("node", "segments", "sum").mapInArrow(lean(_keys), "key long, node long, sum long")
+    found = checkpoint(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lean(_candidates()), "a long, b long").distinct())
     pairs, opened = found.filter("b IS NOT NULL"), found.filter("b IS NULL").select(F.col("a").alias("node"))
     nodes = found.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = _sets_of(nodes, first, texts)
@@ -301,7 +301,7 @@ def links(first: DataFrame, texts: DataFrame) -> DataFrame:
 def near_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` whose id is the smallest of their class, with all their columns."""
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    docs = checkpoint(texts.mapInArrow(_nodes, "doc_id long, node long, segments binary, sum long"))
+    docs = checkpoint(texts.mapInArrow(lean(_nodes), "doc_id long, node long, segments binary, sum long"))
     first = checkpoint(docs.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("segments").alias("segments"), F.first("sum").alias("sum")))
     roots = components(links(first, texts))
     ids = first.select("node", "first_id")
