@@ -7,7 +7,8 @@ identity. Texts are cut into pre-tokens by the public pattern and each is encode
 A pre-token that is a vocabulary entry as a whole is that entry. Decoding maps ids back to
 their bytes.
 
-Defined cases: a null or empty text has no ids; any text round-trips byte by byte; an empty
+Defined cases: a null or empty text has no ids; any text round-trips byte by byte,
+even one that isn't UTF-8; an empty
 table gives an empty result; extra columns are ignored. The model is built once for each
 Python worker from the file that comes with the public tokenizers on every node.
 """
@@ -16,18 +17,20 @@ from __future__ import annotations
 
 import base64
 import struct
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import pieces
+from .words import lean, pieces, strings
 
-_CACHED = 200_000  # pre-tokens that a worker remembers, of 64 characters at most
+_CACHED = 100_000  # pre-tokens that a worker remembers, of 64 characters at most
 _SHIFT = 0x100
 
 
@@ -78,16 +81,16 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         model, self.tokens = serialise(ranks)
-        self.ranks, self.find = ranks, regex.compile(pattern).findall
+        self.ranks, self.find = ranks, regex.compile(pattern).finditer
         self.ids_of = [ranks[t] for t in self.tokens]
         self.bytes_of = {ranks[t]: t for t in self.tokens}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, tuple[int, ...]] = {}
 
-    def pretoken(self, text: str) -> list[int]:
-        raw = text.encode()
+    def pretoken(self, text: str) -> tuple[int, ...]:
+        raw = text.encode("utf-8", "surrogateescape")
         whole = self.ranks.get(raw)
-        ids = [whole] if whole is not None else [self.ids_of[i] for i in self.model.encode(mapped(raw))]
+        ids = (whole,) if whole is not None else tuple(self.ids_of[i] for i in self.model.encode(mapped(raw)))
         if len(text) <= 64:
             if len(self.cache) >= _CACHED:
                 self.cache.clear()
@@ -95,13 +98,18 @@ class Codec:
         return ids
 
     def encode(self, text: str) -> list[int]:
-        cache, out = self.cache, []
-        for pretoken in self.find(text):
+        return self.packed(text).tolist()
+
+    def packed(self, text: str) -> array:
+        """The ids of a text, four bytes each."""
+        cache, out = self.cache, array("i")
+        for m in self.find(text):
+            pretoken = m[0]
             ids = cache.get(pretoken)
-            out += self.pretoken(pretoken) if ids is None else ids
+            out.extend(self.pretoken(pretoken) if ids is None else ids)
         return out
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: Sequence[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
@@ -122,10 +130,12 @@ def encode(df: DataFrame, *, vocabulary: str, pattern: str | None = None, id_col
         own = codec(vocabulary, pattern)
         for batch in batches:
             column = batch.column(1)
-            for first, last in pieces(column, 2 << 20):
-                ids = [own.encode(t or "") for t in column[first:last].to_pylist()]
-                decoded = [own.decode(x) for x in ids]
-                part = batch.column(0)[first:last]
-                yield pa.record_batch([part, pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.binary())], schema=schema)
-
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded binary")
+            for first, last in pieces(column, 1 << 19):
+                ids = [own.packed(t or "") for t in strings(column[first:last], "surrogateescape")]
+                n = np.array([len(x) for x in ids], dtype=np.int64)
+                flat = np.frombuffer(b"".join(x.tobytes() for x in ids), dtype=np.int32)
+                offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                decoded = pa.array([own.decode(x) for x in ids], pa.binary())
+                yield pa.record_batch([batch.column(0)[first:last], pa.array(n), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), decoded], schema=schema)
+
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, n_tokens long, ids array<int>, decoded binary")

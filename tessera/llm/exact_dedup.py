@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .words import SPACES, texts
+from .words import SPACES, lean, texts
 
 NO_ID = (1 << 63) - 1  # stands for a null id: after every other
 
@@ -225,16 +225,16 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), found], names=["doc_id", "digest"])
 
 
-def exact_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", budget: int = 64 << 20, chunk_bytes: int = 32 << 20) -> DataFrame:
+def exact_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", budget: int = 32 << 20, chunk_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row for each row of ``df``."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     groups = (
-        rows.mapInArrow(_local(chunk_bytes, False), "digest binary, content binary, row_id long, n long")
+        rows.mapInArrow(lean(_local(chunk_bytes, False)), "digest binary, content binary, row_id long, n long")
         .repartition("digest")
-        .mapInArrow(_merge(budget), "digest binary, keep_id long, group_size long")
+        .mapInArrow(lean(_merge(budget)), "digest binary, keep_id long, group_size long")
     )
     # Dealt by id after the join, so that Spark may split a hot digest's rows among join tasks.
-    out = rows.mapInArrow(_digests, "doc_id long, digest binary").join(groups, "digest").repartition("doc_id")
+    out = rows.mapInArrow(lean(_digests), "doc_id long, digest binary").join(groups, "digest").repartition("doc_id")
     same = Window.partitionBy("doc_id", "digest").orderBy("keep_id")
     return out.select(
         "doc_id",
@@ -245,7 +245,7 @@ def exact_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def exact_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", budget: int = 64 << 20, chunk_bytes: int = 32 << 20) -> DataFrame:
+def exact_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", budget: int = 32 << 20, chunk_bytes: int = 16 << 20) -> DataFrame:
     """The rows of ``df`` that stay, with all their columns; a text crosses the network once.
 
     Rows beyond the first of a group in a chunk are dropped before the shuffle.
@@ -254,7 +254,7 @@ def exact_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     others = [F.col(f"`{c}`").alias(f"other{k}") for k, c in enumerate(c for c in df.columns if c not in (id_col, text_col))]
     return (
         df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).cast("string").alias("content"), *others)
-        .mapInArrow(_local(chunk_bytes, True), "digest binary, content binary, row_id long, n long, payload binary")
+        .mapInArrow(lean(_local(chunk_bytes, True)), "digest binary, content binary, row_id long, n long, payload binary")
         .repartition("digest")
-        .mapInArrow(_survivors(budget, schema, id_col, text_col), df.schema)
+        .mapInArrow(lean(_survivors(budget, schema, id_col, text_col)), df.schema)
     )

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import checkpoint
-from .words import pieces
+from .words import lean, pieces
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -242,7 +242,7 @@ def written(spans: list[Span]) -> str:
 def candidates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, spans: base and wider candidates with the labelers' votes. No shuffle."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_candidates, f"doc_id long, spans {_SPAN}")
+    return rows.mapInArrow(lean(_candidates), f"doc_id long, spans {_SPAN}")
 
 
 def train(found: DataFrame, *, most: int = 20_000) -> np.ndarray:
@@ -292,7 +292,7 @@ def spans(found: DataFrame, weights: np.ndarray, *, threshold: float = 0.5) -> D
             columns = [pa.array([c[k] for c in counts], pa.int64()) for k in range(4)]
             yield pa.record_batch([batch.column(0), *columns, pa.array(base_out, pa.string()), pa.array(all_out, pa.string())], schema=schema)
 
-    return found.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_spans string, spans string")
+    return found.mapInArrow(lean(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_spans string, spans string")
 
 
 def find(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int = 20_000) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .text_stats import MEASURES, measured
-from .words import Block, crc_fold
+from .words import Block, crc_fold, lean
 
 PLACES = 1 << 16
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -152,7 +152,7 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", most: int = 12_000, rank: int = 4) -> Machine:
-    found = labelled(docs, labels, label, most).mapInArrow(_examples, "doc_id long, label int, places array<int>, x array<float>").toArrow().sort_by("doc_id")
+    found = labelled(docs, labels, label, most).mapInArrow(lean(_examples), "doc_id long, label int, places array<int>, x array<float>").toArrow().sort_by("doc_id")
     columns = found.column("label").to_pylist(), found.column("places"), found.column("x")
     examples = [(y, np.asarray(p.values), np.asarray(x.values)) for y, p, x in zip(columns[0], columns[1], columns[2], strict=True)]
     return fit(examples, rank=rank)
@@ -172,7 +172,7 @@ def score(docs: DataFrame, machine: Machine, *, id_col: str = "doc_id", text_col
                 yield pa.record_batch([batch.column(0), pa.array(np.concatenate(scores))], schema=schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double").select(
+    return rows.mapInArrow(lean(run), "doc_id long, score double").select(
         "doc_id",
         F.coalesce(crc_fold() == 0, F.lit(False)).alias("held_out"),
         "score",

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text_stats import MEASURES, measured
+from .words import lean
 
 #: Rules in the order of their bits; each is a SQL condition on measurements that says "fails".
 RULES = [
@@ -75,7 +76,7 @@ def ledger(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
                 yield pa.record_batch([batch.column(0), *columns], schema=schema)
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = rows.mapInArrow(run, ", ".join(f"{f.name} long" for f in schema))
+    found = rows.mapInArrow(lean(run), ", ".join(f"{f.name} long" for f in schema))
     bits = [F.when(F.expr(rule), F.lit(BIT[name])).otherwise(F.lit(0)).cast("long") for name, rule in RULES]
     total = bits[0]
     for bit in bits[1:]:

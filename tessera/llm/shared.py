@@ -9,6 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Bounds the Arrow batches of the session by ``most`` bytes, unless it has a bound of its own already."""
+    if spark.conf.get(_BATCH) in ("67108864b", "64MB", "64m"):  # the default
+        spark.conf.set(_BATCH, most)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back; survives lost executors."""
     context = df.sparkSession.sparkContext

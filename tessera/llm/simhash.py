@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from .shared import checkpoint, components
-from .words import pieces, texts
+from .words import lean, pieces, texts
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _GENERATOR = 0b101011100011  # of the binary Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
@@ -180,11 +180,11 @@ def links(fps: DataFrame, *, bits: int = 2, bucket: int = 64) -> DataFrame:
     """(a, b) between distinct fingerprints (column fp): enough links to connect every class."""
     if bits != 2:
         raise ValueError("the keys and the stars are made for links of at most two differing bits")
-    all_keys = fps.select("fp").mapInArrow(_keys, "key long, fp long")
+    all_keys = fps.select("fp").mapInArrow(lean(_keys), "key long, fp long")
     shared = all_keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     rows = checkpoint(all_keys.join(shared, "key"))
-    cold = rows.filter(F.col("n") <= bucket).select("key", "fp").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_verify(bits), "a long, b long")
-    near = rows.filter(F.col("n") > bucket).select("fp").distinct().mapInArrow(_within_one, "word long, fp long")
+    cold = rows.filter(F.col("n") <= bucket).select("key", "fp").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(lean(_verify(bits)), "a long, b long")
+    near = rows.filter(F.col("n") > bucket).select("fp").distinct().mapInArrow(lean(_within_one), "word long, fp long")
     stars = near.groupBy("word").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
     hot = stars.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).filter("a <> b").distinct()
     return cold.union(hot)
@@ -193,7 +193,7 @@ def links(fps: DataFrame, *, bits: int = 2, bucket: int = 64) -> DataFrame:
 def classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bits: int = 2, bucket: int = 64) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id: one row for each row of ``df``."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    docs = checkpoint(rows.mapInArrow(_fingerprints, "doc_id long, fp long"))
+    docs = checkpoint(rows.mapInArrow(lean(_fingerprints), "doc_id long, fp long"))
     first = checkpoint(docs.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(links(first, bits=bits, bucket=bucket))
     linked = roots.join(first, roots["node"] == first["fp"]).select("node", "root", "first_id")

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import bounded_sample, checkpoint
-from .words import crc_fold, pieces, strings
+from .words import crc_fold, lean, pieces, strings
 
 _SPACE, _GONE = 32, 0
 #: Candidate entries that the lexicon is chosen from.
@@ -271,7 +271,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", most: int
     sample = checkpoint(found.select("doc_id", "label", "text"))
 
     summed = "entry string, pos long, neg long"
-    counts = sample.mapInArrow(_count, summed).groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = sample.mapInArrow(lean(_count), summed).groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     learned = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n_pos, n_neg = max(1, learned.get(1, 0)), max(1, learned.get(0, 0))
     lead = F.col("pos") / n_pos - F.col("neg") / n_neg
@@ -280,11 +280,11 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", most: int
 
     own = [fold(p).strip() for p in exceptions]
     if lexicon.weights:
-        counts = sample.mapInArrow(_phrases(lexicon), summed).groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        counts = sample.mapInArrow(lean(_phrases(lexicon)), summed).groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
         own += [r.entry for r in counts.filter("neg >= 3 AND 4 * pos < neg").orderBy(F.desc("neg"), "entry").limit(entries).collect()]
     lexicon.exceptions = tuple(dict.fromkeys(own))
 
-    held = sample.mapInArrow(_strengths(lexicon), "doc_id long, label int, total double, rate double").toPandas().sort_values(["doc_id", "total", "rate"])
+    held = sample.mapInArrow(lean(_strengths(lexicon)), "doc_id long, label int, total double, rate double").toPandas().sort_values(["doc_id", "total", "rate"])
     if len(held):
         weight = np.where(held.label == 1, totals.get(1, 0) / max(1, (held.label == 1).sum()), totals.get(0, 0) / max(1, (held.label == 0).sum()))
         lexicon.bias, lexicon.total_slope, lexicon.rate_slope = map(float, calibrate(held[["total", "rate"]].to_numpy(), held.label.to_numpy(), weight))
@@ -300,7 +300,7 @@ def score_of(text: Column, lexicon: Lexicon) -> Column:
             found = [lexicon.strength(automaton, t or "") for first, last in pieces(part, 2 << 20) for t in strings(part[first:last])]
             yield pa.array(lexicon.score(np.array(found).reshape(-1, 2)), pa.float64())
 
-    return F.arrow_udf(scored, "double")(text.cast("string"))
+    return F.arrow_udf(lean(scored), "double")(text.cast("string"))
 
 
 def score(docs: DataFrame, lexicon: Lexicon, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
