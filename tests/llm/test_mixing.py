@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import defaultdict
@@ -43,16 +44,36 @@ def test_mix_meets_brute_force_targets(spark):
     assert mixed.columns == df.columns and mixed.count() == want
 
 
-def test_rates_tilted_by_size_meet_the_targets(spark):
-    from pyspark.sql import functions as F
+def test_newton_finds_the_optimum_of_the_coupled_dual(spark):
+    """At the optimum every source's words meet its target, and each band's words its own less the ridge."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(12):
+        masses = [rng.choice([0.0, rng.uniform(0, 500) * (1 + (b == k % 8) * 9)]) for b in range(X.BANDS)]
+        rows.append((f"a{k}", masses))
+    rows += [("full", [10.0] * X.BANDS), ("none", [0.0] * X.BANDS)]
+    total = sum(sum(m) for _, m in rows)
+    shares = [rng.uniform(0.3, 2.0) for _ in rows]
+    wanted = [3.0 * sum(m) if k == "full" else min(2.9 * sum(m), w * sum(m)) for (k, m), w in zip(rows, shares, strict=True)]
+    assert total
+    sources = spark.createDataFrame([(k, t, m) for (k, m), t in zip(rows, wanted, strict=True)], "key string, target double, masses array<double>")
+    mu, state = X.balance(sources, 3.0)
+    values = [0.0] * X.BANDS
+    for r in state.collect():
+        rates = [min(3.0, math.exp(min(50.0, r["lambda"] + x))) for x in mu]
+        assert sum(m * x for m, x in zip(r.masses, rates, strict=True)) == pytest.approx(r.target, rel=1e-9, abs=1e-9)
+        values = [v + m * x for v, m, x in zip(values, r.masses, rates, strict=True)]
+    before = [sum(m[b] for _, m in rows) for b in range(X.BANDS)]
+    assert all(abs(v - m + 0.1 * m * x) < 1e-6 * total for v, m, x in zip(values, before, mu, strict=True))
+    assert max(mu) - min(mu) > 0.05  # rates differ within a source
+    with pytest.raises(RuntimeError):
+        X.balance(sources, 3.0, most_iterations=1)
 
-    docs = spark.createDataFrame([(i, "ak" if i % 3 else "am", 1 + i % 50) for i in range(600)], "doc_id long, key string, size long")
-    histogram = docs.groupBy("key", "size").agg(F.count("*").alias("n"))
-    wanted = docs.groupBy("key").agg(F.sum("size").alias("source_size")).withColumn("target", F.col("source_size") * F.when(F.col("key") == "ak", 0.3).otherwise(1.7))
-    tilt = F.col("size") / 25.0
-    state = X.balance(histogram, wanted, 1e9, tilt)
-    sums = histogram.join(state, "key").groupBy("key", "target").agg(F.sum(F.col("n") * F.col("size") * F.exp(F.col("lambda") * tilt)).alias("value")).collect()
-    assert all(r.value == pytest.approx(r.target, rel=1e-6) for r in sums)
+
+def test_ranks_over_partitions(spark):
+    rows = [(f"k{i:04d}",) for i in random.Random(2).sample(range(1000), 300)]
+    found = X.ranked(spark.createDataFrame(rows, "key string").repartition(5), "key").collect()
+    assert [r.key for r in sorted(found, key=lambda r: r["rank"])] == sorted(k for (k,) in rows) and sorted(r["rank"] for r in found) == list(range(300))
 
 
 def test_empty_tables(spark):
