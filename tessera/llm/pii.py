@@ -5,13 +5,13 @@ addresses, national phone numbers, shorter cards, IPv6) are judged: regex, check
 context and shape labelers vote for, against, or abstain; expectation-maximisation over the
 counts of all vote patterns of the whole corpus estimates each labeler's reliability for each
 kind; a logistic span classifier, trained on the posteriors of at most ``most`` candidates (a
-documented bound, the smallest by a hash), gives the final verdict. A candidate that overlaps
+documented bound, those below a threshold of a hash), gives the final verdict. A candidate that overlaps
 a base span or an earlier accepted one is left out.
 
 Every pattern is matched in time linear in the text. Offsets count code points, end exclusive.
 
 Defined cases: a null or empty text has no spans; repeated rows are treated separately; a null
-id is kept; with no candidates the classifier is neutral and adds nothing; an empty table gives
+id is kept; a byte that isn't UTF-8 counts as one code point; with no candidates the classifier is neutral and adds nothing; an empty table gives
 an empty result; extra columns don't matter.
 """
 
@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpoint
-from .words import lean, pieces
+from .shared import bounded_sample, checkpoint
+from .words import lean, pieces, strings
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -225,9 +225,9 @@ def _decode(codes: np.ndarray) -> np.ndarray:
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, last in pieces(batch.column(1), 4 << 20):
+        for first, last in pieces(batch.column(1), 1 << 20):
             out = []
-            for text in batch.column(1)[first:last].to_pylist():
+            for text in strings(batch.column(1)[first:last]):
                 base = base_spans(text or "")
                 spans = [(s, True) for s in base] + ([(s, False) for s in wide_spans(text, base)] if text else [])
                 out.append([{"kind": KINDS.index(s[0]), "start": s[1], "stop": s[2], "base": own, "pattern": _code(votes(text, s, own)), "n_digits": len(_digits(text[s[1] : s[2]]))} for s, own in spans])
@@ -256,7 +256,8 @@ def train(found: DataFrame, *, most: int = 20_000) -> np.ndarray:
     for kind in {r.kind for r in patterns}:
         own = [r for r in patterns if r.kind == kind]
         models[kind] = estimate(_decode(np.array([r.pattern for r in own])), np.array([r.n for r in own], dtype=float))
-    sample = spans.select("kind", "pattern", (F.col("stop") - F.col("start")).alias("length"), "n_digits", F.xxhash64("doc_id", "kind", "start").alias("h")).orderBy("h", "kind", "pattern", "length").limit(most).collect()
+    each = spans.select("doc_id", "kind", "start", "pattern", (F.col("stop") - F.col("start")).alias("length"), "n_digits")
+    sample = sorted(bounded_sample(each, most, "doc_id", "kind", "start").select("kind", "pattern", "length", "n_digits").collect())
     if not sample:
         return np.zeros(N_FEATURES)
     kind, codes, length, n_digits = (np.array([getattr(r, c) for r in sample]) for c in ("kind", "pattern", "length", "n_digits"))

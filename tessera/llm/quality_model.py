@@ -5,13 +5,14 @@ number of distinct places), its structure statistics cut into bins, and its leng
 interact through vectors of rank ``rank``; the score uses the sum-of-squares identity
 ``1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)``, linear in the number of features.
 
-Fitting takes at most ``most`` labelled rows (a documented bound, 12,000 by default, the
-smallest by a hash of the id), held-out rows left out; the model has a fixed size
+Fitting takes at most ``most`` labelled rows (a documented bound, 12,000 by default, those
+below a threshold of a hash of the id) of at most ``MOST_PLACES`` features, held-out rows left out; the model has a fixed size
 (2^16 + bins places, rank + 1 floats each), which is what is broadcast. Scoring covers every
 row and whole texts. Labels, lang, source and doc_id are never inputs.
 
 Defined cases: a null or empty text is scored by its structure alone; with no labels at all
-every score is 0.5, with one class every score is near that class; a null id is never held
+every score is 0.5; an id with two labels has the larger; of rows with equal ids one is learned
+from; with one class every score is near that class; a null id is never held
 out; repeated rows get equal scores; an empty table gives an empty result.
 """
 
@@ -25,10 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded_sample, checkpoint
 from .text_stats import MEASURES, measured
 from .words import Block, crc_fold, lean
 
 PLACES = 1 << 16
+#: Features of the sample that come to the driver (about 160 MB); beyond it a quarter of so many, by a hash.
+MOST_PLACES = 20_000_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -95,9 +99,9 @@ class Machine:
 def fit(examples: list[tuple[int, np.ndarray, np.ndarray]], *, rank: int = 4, epochs: int = 6, rate: float = 0.1, ridge: float = 1e-4, seed: int = 7) -> Machine:
     """Adagrad on the logistic loss, one mini-batch of rows at a time. ``examples``: label, places, values."""
     rng = np.random.default_rng(seed)
-    machine = Machine(0.0, np.zeros(SIZE, np.float32), rng.normal(0, 0.02, (SIZE, rank)).astype(np.float32))
     if not examples:
-        return machine
+        return Machine(0.0, np.zeros(SIZE, np.float32), np.zeros((SIZE, rank), np.float32))
+    machine = Machine(0.0, np.zeros(SIZE, np.float32), rng.normal(0, 0.02, (SIZE, rank)).astype(np.float32))
     share = (sum(y for y, *_ in examples) + 0.5) / (len(examples) + 1)
     machine.bias = float(np.log(share / (1 - share)))
     gw, gv, gb = np.full(SIZE, 1e-3, np.float32), np.full((SIZE, rank), 1e-3, np.float32), 1e-3
@@ -127,17 +131,17 @@ def fit(examples: list[tuple[int, np.ndarray, np.ndarray]], *, rank: int = 4, ep
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, label, text of at most ``most`` labelled rows that aren't held out.
 
-    The bounded list of ids is what is broadcast; the texts aren't shuffled.
+    The bounded list of ids is what is broadcast; only the texts of the sample are shuffled.
     """
-    chosen = (
+    usable = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
         .filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_fold() != 0))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "label")
-        .limit(most)
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id")
+        .agg(F.max("label").alias("label"))
     )
+    chosen = bounded_sample(usable, most, "doc_id")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    return rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "label", "text")
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +156,12 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", most: int = 12_000, rank: int = 4) -> Machine:
-    found = labelled(docs, labels, label, most).mapInArrow(lean(_examples), "doc_id long, label int, places array<int>, x array<float>").toArrow().sort_by("doc_id")
+    found = checkpoint(labelled(docs, labels, label, most).mapInArrow(lean(_examples), "doc_id long, label int, places array<int>, x array<float>"))
+    size = found.agg(F.sum(F.size("places"))).first()[0] or 0
+    if size > MOST_PLACES:  # very long texts: fewer of them
+        place = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(1)), 11).cast("double") / float(1 << 53)
+        found = found.filter(place < MOST_PLACES / 4 / size)
+    found = found.toArrow().sort_by("doc_id")
     columns = found.column("label").to_pylist(), found.column("places"), found.column("x")
     examples = [(y, np.asarray(p.values), np.asarray(x.values)) for y, p, x in zip(columns[0], columns[1], columns[2], strict=True)]
     return fit(examples, rank=rank)

@@ -1,18 +1,20 @@
 """Secret scanning: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of 16 or more of ``[A-Za-z0-9+/_-]`` with a digit. The forest sees its length,
-its character classes and the transitions between them, how much of it common letter pairs and
-dictionary words cover, the path of its document, and the words beside it. All of it is Spark
+A candidate is a run of 16 or more of ``[A-Za-z0-9+/_-]`` with a digit, or any value of 6 or more
+characters, digits or not, that is assigned to a word such as ``password`` or ``token``. The forest sees
+its length, its character classes and the transitions between them, how much of it common letter pairs
+and dictionary words cover, the path of its document, and the words beside it. All of it is Spark
 expressions; the forest is Spark's own, fitted on labelled findings (value, before, after, path,
 label), at most ``MOST`` of them. No labelled findings come with the tables, so
-``labelled_findings`` makes some by rule: keys and tokens of common shapes against commit hashes,
-checksums, identifiers, paths, placeholders and counters. Documents never enter the fit.
+``labelled_findings`` makes some by rule: keys, tokens and passwords of common shapes against commit
+hashes, checksums, identifiers, paths, placeholders, names and counters. Documents never enter the fit.
 
-Nothing is shuffled: texts without a candidate are dropped by one linear pattern, the others are
-split into words once.
+Nothing is shuffled: texts without a candidate are dropped by two linear patterns, the others are
+split into words once; only a word that holds a candidate gets its context.
 
-Defined cases: null and empty texts have no candidates; repeated rows give repeated findings; a null
-id or path is kept; an empty table gives an empty result; extra columns don't matter.
+Defined cases: null and empty texts have no candidates; repeated rows give repeated findings, and a value
+found twice in a word is found twice; a null id or path is kept; an empty table gives an empty
+result; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import bounded_sample
+
 MOST = 8_000
 _RUN = "[A-Za-z0-9+/_-]"
 CANDIDATE = rf"(?<!{_RUN})(?=[A-Za-z+/_-]*+[0-9]){_RUN}{{16,}}+"
@@ -36,6 +40,9 @@ PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng
 DICTIONARY = "password|secret|token|example|sample|test|user|name|value|data|file|path|class|function|method|index|string|number|object|array|list|config|default|local|server|client|request|response|message|account|service|manager|handler|controller|python|java|script|image|video|version|release|build|update|create|delete|change|your|here|this|that|with|from|key|api|get|set|lib|usr|bin|src|http|www|com|org"
 FOR_WORDS = "pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|apikey|auth|bearer|credential|private[_-]?key|access[_-]?key|client[_-]?secret"
 AGAINST_WORDS = r"commit|revision|sha-?(?:1|256)|md5|hash|digest|checksum|etag|uuid|guid|version|build|isbn|order|serial|id"
+#: A value given to one of these words, with at most a sign and quotes between.
+ASSIGNED = rf"(?i)(?:{FOR_WORDS})[\"']?[\x20\x09-\x0D]?[=:][\x20\x09-\x0D]?[\"']?([^\x20\x09-\x0D\"'`,;<>(){{}}\[\]=:]{{6,}})"
+ASSIGNED_LAST = ASSIGNED + r"[^\x20\x09-\x0D]*\z"
 PLACEHOLDERS = "xxxx|0000|1234|abcd|your|example|changeme|placeholder|dummy|redacted|sample|here"
 TEST_PATHS = "test|example|sample|mock|fixture|docs?/|readme|vendor"
 KNOWN = "AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abpr]-|AIza[A-Za-z0-9_-]{30,}|sk_live_|eyJ[A-Za-z0-9]"
@@ -44,16 +51,22 @@ KNOWN = "AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abpr]-|AIza[A-Za-z0-9_-
 def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """(doc_id, path, at, nth, value, before, after): at is the word's number from 0, nth the candidate's in it."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
-    words = rows.filter(F.col("text").rlike(CANDIDATE)).select("doc_id", "path", F.split("text", _SPACE).alias("words"))
-    word = F.col("words")
-
-    def around(w: Column, i: Column) -> Column:
-        first = F.greatest(i - 3, F.lit(0))
-        return F.struct(i.alias("at"), w.alias("word"), F.array_join(F.slice(word, first + 1, i - first), " ").alias("before"), F.coalesce(F.get(word, i + 1), F.lit("")).alias("after"))
-
-    found = words.select("doc_id", "path", F.explode(F.filter(F.transform(word, around), lambda x: x["word"].rlike(CANDIDATE))).alias("c"))
-    each = found.select("doc_id", "path", "c.*", F.posexplode(F.regexp_extract_all("c.word", F.lit(f"({CANDIDATE})"), 1)).alias("nth", "value"))
-    before = F.concat("before", F.lit(" "), F.expr("substring_index(word, value, 1)"))
+    some = rows.filter(F.col("text").rlike(CANDIDATE) | F.col("text").rlike(ASSIGNED))
+    words = some.select("doc_id", "path", F.split("text", _SPACE).alias("words"))
+    word = lambda i: F.coalesce(F.get("words", i), F.lit(""))
+    given = lambda i: F.concat(word(i - 2), F.lit(" "), word(i - 1), F.lit(" "), word(i))
+    # Only a word after or with a sign of assignment is looked at with the words before it.
+    assigned = lambda i: (word(i).rlike("[=:]") | word(i - 1).rlike(r"[=:][\"']?\z")) & given(i).rlike(ASSIGNED_LAST)
+    found = words.withColumn("at", F.explode(F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: word(i).rlike(CANDIDATE) | assigned(i))))
+    at = F.col("at")
+    first = F.greatest(at - 3, F.lit(0))
+    context = found.select("doc_id", "path", "at", word(at).alias("word"), F.array_join(F.slice("words", first + 1, at - first), " ").alias("before"), word(at + 1).alias("after"), F.when(assigned(at), F.regexp_extract(given(at), ASSIGNED_LAST, 1)).otherwise("").alias("own"))
+    runs = F.filter(F.regexp_extract_all("word", F.lit(f"({CANDIDATE})"), 1), lambda x: ~F.contains(F.col("own"), x))
+    values = F.concat(F.when(F.col("own") != "", F.array("own")).otherwise(F.array().cast("array<string>")), runs)
+    each = context.withColumn("values", values).select("*", F.posexplode("values").alias("nth", "value"))
+    earlier = F.size(F.filter(F.slice("values", F.lit(1), F.col("nth")), lambda x: x == F.col("value")))
+    each = each.withColumn("count", earlier + 1)
+    before = F.concat("before", F.lit(" "), F.expr("substring_index(word, value, count)"))
     return each.select("doc_id", "path", "at", "nth", "value", before.alias("before"), "after")
 
 
@@ -78,6 +91,7 @@ def features() -> dict[str, Column]:
         "distinct": F.size(F.array_distinct(F.split(v, ""))).cast("double") / n,
         "only_hex": flag(low.rlike(r"\A[0-9a-f-]+\z")),
         "only_digits": flag(v.rlike(r"\A[0-9_/-]+\z")),
+        "only_letters": flag(v.rlike(r"\A[A-Za-z]+\z")),
         "letter_digit": share("[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])"),
         "case_changes": share("[a-z](?=[A-Z])|[A-Z](?=[a-z])"),
         "same_again": share(r"(.)(?=\1)"),
@@ -97,7 +111,7 @@ def features() -> dict[str, Column]:
 
 
 def labelled_findings(spark: SparkSession, n: int = 6_000) -> DataFrame:
-    """(value, before, after, path, label): n findings made by rule, half of them secrets; the same every time."""
+    """(value, before, after, path, label, template): about n findings made by 16 rules, half of them for secrets; the same every time."""
     i = F.col("id")
     h = lambda salt: F.sha2(F.concat(F.lit(salt), i.cast("string")), 256)
     hexed = lambda salt, size: F.substring(h(salt), 1, size)
@@ -108,7 +122,12 @@ def labelled_findings(spark: SparkSession, n: int = 6_000) -> DataFrame:
     prose = pick("p1", "the of and ", "er en die ", "la de que ", "see also ", "", "on this is ")
     later = pick("p2", "and the", "en", "de", "", ".", "was")
     dictionary = F.concat(pick("d1", "get", "user", "config", "default", "manager", "updateRequest"), pick("d2", "Account", "Service", "_handler", "Response", "-message"), pick("d3", "ByName", "_version", "Controller", "Index", "_list"), pick("d4", "2", "10", "3", "v1"))
+    signs = F.translate(F.substring(mixed, F.lit(1), size("p", 7, 14)), "aeiou05", "!@#$%!~")
+    letters = F.substring(F.regexp_replace(mixed, "[^A-Za-z]", ""), F.lit(1), size("l", 10, 30))
     rows = [
+        (1, signs, F.concat(prose, pick("k5", "password=", "passwd: ", "pwd=", 'passphrase = "'))),
+        (1, letters, F.concat(prose, pick("k6", "password=", "token = ", "client_secret: ", 'api_key="'))),
+        (0, pick("x2", "required", "optional", "string", "changeme", "example", "invalid", "expired", "username", "disabled", "undefined"), F.concat(prose, pick("n6", "password: ", "token=", "secret: ", 'auth = "'))),
         (1, F.concat(F.lit("AKIA"), F.substring(capitals, 1, 16)), F.concat(prose, pick("k0", "", "", "aws_access_key_id=", "key: "))),
         (1, hexed("c", 18), F.concat(prose, pick("k1", "password=", "passwd=", "pwd: ", "secret="))),
         (1, F.substring(h("t"), F.lit(1), size("t", 32, 64)), F.concat(prose, pick("k2", 'token = "', "auth_token='", "api_key: ", 'secret = "'))),
@@ -123,7 +142,10 @@ def labelled_findings(spark: SparkSession, n: int = 6_000) -> DataFrame:
         (0, F.lpad(F.pmod(F.xxhash64("id"), F.lit(10**17)).cast("string"), 18, "20240131"), F.concat(prose, pick("n4", "order ", "serial ", "", "version "))),
         (0, hexed("q", 32), F.concat(prose, pick("n5", "md5 ", "checksum: ", "etag=", "digest "))),
     ]
-    tables = [spark.range(n // (12 if label else 14)).select(value.alias("value"), before.alias("before"), later.alias("after"), pick("path", "src0", "src7", "app/main.py", "lib/a.js", "config.yml").alias("path"), F.lit(label).alias("label")) for label, value, before in rows]
+    tables = [
+        spark.range(n // 16).select(value.alias("value"), before.alias("before"), later.alias("after"), pick("path", "src0", "src7", "app/main.py", "lib/a.js", "config.yml").alias("path"), F.lit(label).alias("label"), F.lit(k).alias("template"))
+        for k, (label, value, before) in enumerate(rows)
+    ]
     return reduce(DataFrame.unionByName, tables)
 
 
@@ -131,7 +153,7 @@ def train(findings: DataFrame, *, trees: int = 24, depth: int = 8, seed: int = 1
     """A forest from labelled findings (value, before, after, path, label), at most ``MOST`` of them."""
     own = features()
     order = F.xxhash64("value", "before")
-    sample = findings.orderBy(order, "value").limit(MOST).select(*[c.alias(k) for k, c in own.items()], F.col("label").cast("double").alias("label"))
+    sample = bounded_sample(findings, MOST, "value", "before").orderBy(order, "value").select(*[c.alias(k) for k, c in own.items()], F.col("label").cast("double").alias("label"))
     assembler = VectorAssembler(inputCols=list(own), outputCol="features")
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, minInstancesPerNode=3, featureSubsetStrategy="sqrt", cacheNodeIds=False)
     return PipelineModel([assembler, forest.fit(assembler.transform(sample))])

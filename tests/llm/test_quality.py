@@ -88,5 +88,11 @@ def test_held_out_accuracy(spark):
     assert len(out) == 602 and held and sum(r.predicted == int(r.doc_id % 4 > 0) for r in held) > 0.95 * len(held)
     assert all(0 <= r.score <= 1 for r in out)
     blank = M.score(docs, M.train(docs, labels.limit(0)))
-    assert {r.score for r in blank.collect()} <= {0.5} or all(0 <= r.score <= 1 for r in blank.collect())
+    assert {r.score for r in blank.collect()} == {0.5}
+    odd = spark.createDataFrame([(3, "a b " * 300_000, 1, "x"), (3, "a b", 2, "y"), (3, "a b", 2, "y"), (None, "a b", 3, None)], "doc_id long, text string, score int, label string")
+    scored = M.score(odd, M.train(odd, spark.createDataFrame([(3, 1), (3, 0)], "doc_id long, quality int")))
+    assert scored.columns == ["doc_id", "held_out", "score", "predicted"] and scored.count() == 4
+    assert len({r.score for r in scored.collect()}) == 2
+    same = [M.score(docs, M.train(docs.repartition(n), labels)).collect() for n in (1, 5)]
+    assert {r.doc_id: r.score for r in same[0]} == {r.doc_id: r.score for r in same[1]}
     assert M.score(docs.limit(0), M.fit([])).count() == 0

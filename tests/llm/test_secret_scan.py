@@ -44,3 +44,39 @@ def test_scan(spark, model):
     df = spark.createDataFrame([(i, t, "src1") for i, t in rows], "doc_id long, text string, source string")
     assert {r.doc_id: r.is_secret for r in X.scan(df, model).collect()} == {1: True, 2: False, 3: False, 4: True, 5: True, 6: False}
     assert X.scan(df.limit(0), model).count() == 0
+
+
+def test_assigned_values_of_any_shape_and_repeated_values(spark):
+    rows = [
+        (1, "password=hunter and Token: 's3c!ret~x' end"),
+        (2, 'the secret = "correcthorse" x token ='),
+        (3, "token : abc password=short passwd=toolong"),
+        (4, "a=abcdef1234567890abcd&b=abcdef1234567890abcd"),
+        (5, "api_key=abcdef1234567890abcd"),
+        (6, "we talk of a password here"),
+    ]
+    df = spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, source string")
+    found = sorted((r.doc_id, r.at, r.nth, r.value, r.before.strip()) for r in X.candidates(df).collect())
+    assert found == [
+        (1, 0, 0, "hunter", "password="),
+        (1, 3, 0, "s3c!ret~x", "password=hunter and Token: '"),
+        (2, 3, 0, "correcthorse", 'the secret = "'),
+        (3, 4, 0, "toolong", ": abc password=short passwd="),
+        (4, 0, 0, "abcdef1234567890abcd", "a="),
+        (4, 0, 1, "abcdef1234567890abcd", "a=abcdef1234567890abcd&b="),
+        (5, 0, 0, "abcdef1234567890abcd", "api_key="),
+    ]
+
+
+def test_templates_never_seen_are_told_apart(spark):
+    """Each fold leaves all findings of four rules out of the fit."""
+    findings = X.labelled_findings(spark, 3000).cache()
+    right = n = 0
+    for fold in range(4):
+        model = X.train(findings.filter(F.col("template") % 4 != fold), trees=12)
+        held = findings.filter(F.col("template") % 4 == fold)
+        scored = model.transform(held.select(*[c.alias(k) for k, c in X.features().items()], F.col("label").alias("truth")))
+        r = scored.agg(F.sum((F.col("prediction") == F.col("truth")).cast("int")).alias("a"), F.count("*").alias("n")).first()
+        right, n = right + r.a, n + r.n
+    print(right / n)
+    assert right > 0.7 * n
