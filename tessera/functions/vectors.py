@@ -21,5 +21,5 @@ def unit(a: Column) -> Column:
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
-    """1 - cosine: 0 for the same direction, 1 for unrelated, 2 for opposite."""
-    return F.lit(1.0) - dot(a, b) / (norm(a) * norm(b))
+    """1 - cosine: 0 for the same direction, 1 for unrelated or without a direction, 2 for opposite."""
+    return F.lit(1.0) - F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))

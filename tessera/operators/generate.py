@@ -7,6 +7,8 @@ tests and offline runs want; a real provider only has to implement ``generate``.
 from __future__ import annotations
 
 import re
+import shutil
+import subprocess
 import time
 from collections.abc import Iterator, Sequence
 from typing import Protocol
@@ -56,6 +58,25 @@ class Extractive:
         return f"{first} Defines {', '.join(names)}." if names else first
 
 
+class Process:
+    """Answers of an external program: each prompt goes to its standard input, its standard output is the answer."""
+
+    def __init__(self, command: Sequence[str], concurrency: int = 8, seconds: float = 300.0):
+        self.command, self.concurrency, self.seconds = list(command), concurrency, seconds
+
+    def available(self) -> bool:
+        return shutil.which(self.command[0]) is not None
+
+    def generate(self, prompts: Sequence[str]) -> list[str]:
+        return [self._one(p) for p in prompts]
+
+    def _one(self, prompt: str) -> str:
+        done = subprocess.run(self.command, input=prompt, capture_output=True, text=True, timeout=self.seconds, check=False)
+        if done.returncode:
+            raise RuntimeError(f"{self.command[0]} ended with {done.returncode}: {done.stderr.strip() or done.stdout.strip()}")
+        return done.stdout.strip()
+
+
 def call(generator: TextGenerator, prompts: Sequence[str], sleep=time.sleep) -> list[str]:
     """Stripped answers; up to three attempts, one and two seconds apart, then an error."""
     for attempt in range(ATTEMPTS):

@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from . import search
+from ..functions.vectors import cosine_distance
+from .lineage import checkpoint
 
 SCHEMA = "id string, question string, file_path string, start_line int, end_line int, markdown_path string, embedding array<float>"
 COLLECTION = "code_chunks"
@@ -91,8 +92,8 @@ class VectorIndex:
         self._check(meta)
         return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{meta['version']}") if meta else self.spark.createDataFrame([], SCHEMA)
 
-    def replace(self, rows: DataFrame) -> None:
-        """Writes a new version, then moves the pointer; the version before the last is removed."""
+    def replace(self, rows: DataFrame) -> int:
+        """Writes a new version, then moves the pointer; the version before the last is removed. Gives the number of rows."""
         meta = self.meta()
         self._check(meta)
         number = int(meta["version"].rpartition("-")[2]) + 1 if meta else 0
@@ -104,25 +105,32 @@ class VectorIndex:
         out.write(bytearray(text.encode()))
         out.close()
         pointer, _ = self._fs("index.json")
-        fs.delete(pointer, False)
-        fs.rename(temporary, pointer)
+        hadoop = self.spark._jvm.org.apache.hadoop.fs  # its rename replaces the pointer in one step
+        over = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+        over[0] = hadoop.Options.Rename.OVERWRITE
+        hadoop.FileContext.getFileContext(temporary.toUri(), self.spark._jsc.hadoopConfiguration()).rename(temporary, pointer, over)
         old, _ = self._fs(f"v-{number - 2}")
         if number >= 2 and fs.exists(old):
             fs.delete(old, True)
+        return self.rows().count()
 
-    def upsert(self, rows: DataFrame) -> None:
-        """New rows beside the old; an old row with the same id is replaced."""
+    def upsert(self, rows: DataFrame) -> int:
+        """New rows beside the old; an old row with the same id is replaced. Gives the number of new rows."""
+        rows = checkpoint(rows)  # its questions may be generated, which may answer otherwise a second time
         old = self.rows().join(rows.select("id"), "id", "left_anti")
         self.replace(old.unionByName(rows))
+        return rows.count()
 
     def delete_files(self, paths: DataFrame, also: DataFrame | None = None) -> None:
         """Drops the rows of files (path), and adds ``also`` in the same version."""
+        also = None if also is None else checkpoint(also)
         kept = self.rows().join(paths.select(F.col("path").alias("file_path")).distinct(), "file_path", "left_anti")
         self.replace(kept if also is None else kept.unionByName(also.join(kept.select("id"), "id", "left_anti")))
 
     def search(self, query: str, k: int = 5) -> DataFrame:
         """The k nearest questions with their places; ties by file, line, question; fewer if the index is small."""
-        rows = self.rows().withColumn("vec_id", F.xxhash64("id"))
-        asked = self.spark.createDataFrame([(0, [float(x) for x in self.embedder.embed([query])[0]])], "query_id long, embedding array<double>")
-        near = search.top_k(asked, rows, k)
-        return near.join(rows.drop("embedding"), "vec_id").orderBy(F.round("distance", 9), "file_path", "start_line", "question").select("question", "file_path", "start_line", "end_line", "markdown_path", "distance")
+        asked = np.asarray(self.embedder.embed([query])[0], dtype=np.float64)
+        asked = F.array(*[F.lit(float(x)) for x in asked])
+        near = self.rows().filter(F.size("embedding") == F.size(asked)).withColumn("distance", cosine_distance(F.col("embedding"), asked))
+        top = near.orderBy(F.round("distance", 9), "file_path", "start_line", "question", "id").limit(k)
+        return top.select("question", "file_path", "start_line", "end_line", "markdown_path", "distance")

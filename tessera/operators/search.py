@@ -13,6 +13,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,9 +25,14 @@ MAX_DISTANCE = 1.35
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, *, query_id: str = "query_id", vector_id: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """(query_id, vec_id, distance, rank): ties in distance go by id; fewer than k vectors give fewer rows."""
-    wanted = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(column).cast("array<double>").alias("embedding"))
-    own = vectors.select(F.col(vector_id).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("embedding")).filter(F.col("embedding").isNotNull())
+    """(query_id, vec_id, distance, rank): ties in distance go by id; fewer than k vectors give fewer rows.
+
+    A null vector, a null in a vector, or another length than the query's finds nothing and is not found;
+    no queries give no rows.
+    """
+    whole = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull())
+    wanted = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(column).cast("array<double>").alias("embedding")).filter(whole("embedding"))
+    own = vectors.select(F.col(vector_id).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("embedding")).filter(whole("embedding"))
     found = wanted.limit(MOST_QUERIES + 1).toArrow()
     if found.num_rows <= MOST_QUERIES:
         return _ranked(_near(found, own, k), k)
@@ -38,27 +44,35 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, *, query_id: str =
     return hits
 
 
-def _near(found: pa.Table, own: DataFrame, k: int) -> DataFrame:
-    """The best k of each batch of vectors for each query of ``found``."""
-    ids = found.column(0).to_pylist()
-    wanted = np.array(found.column(1).to_pylist(), dtype=np.float64).reshape(len(ids), -1)
-    wanted /= np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-300)
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+
+
+def _near(found: pa.Table, own: DataFrame, k: int, cells: int = 1 << 22) -> DataFrame:
+    """The best k of each batch of vectors for each query of ``found``; at most ``cells`` distances are held at once."""
+    by_length: dict[int, tuple[list[int], list[list[float]]]] = {}
+    for query, vector in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
+        ids, rows = by_length.setdefault(len(vector), ([], []))
+        ids.append(query)
+        rows.append(vector)
+    wanted = {n: (np.array(ids), _unit(np.array(rows, dtype=np.float64).reshape(len(ids), n))) for n, (ids, rows) in by_length.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows or not len(wanted):
-                continue
-            own = np.asarray(batch.column(1).values, dtype=np.float64).reshape(batch.num_rows, -1)
-            own = own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-300)
-            vec = np.asarray(batch.column(0))
-            distance = 1.0 - wanted @ own.T
-            rows, cols = [], []
-            for q in range(len(wanted)):
-                best = np.lexsort((vec, distance[q]))[:k] if batch.num_rows <= 4 * k else _best(distance[q], vec, k)
-                rows.append(np.full(len(best), q))
-                cols.append(best)
-            q, v = np.concatenate(rows), np.concatenate(cols)
-            yield pa.record_batch([pa.array(np.array(ids)[q]), pa.array(vec[v]), pa.array(distance[q, v])], names=["query_id", "vec_id", "distance"])
+            lengths = np.asarray(pc.list_value_length(batch.column(1)))
+            for n, (ids, queries) in wanted.items():
+                rows = np.flatnonzero(lengths == n)
+                if not len(rows):
+                    continue
+                part = batch.take(pa.array(rows))
+                vec = np.asarray(part.column(0))
+                vectors = _unit(np.asarray(part.column(1).flatten(), dtype=np.float64).reshape(len(rows), n))
+                step = max(1, cells // len(rows))
+                for at in range(0, len(ids), step):
+                    distance = 1.0 - queries[at : at + step] @ vectors.T
+                    best = [_best(d, vec, k) for d in distance]
+                    q, v = np.repeat(np.arange(len(best)), [len(b) for b in best]), np.concatenate(best)
+                    yield pa.record_batch([pa.array(ids[at + q]), pa.array(vec[v]), pa.array(distance[q, v])], names=["query_id", "vec_id", "distance"])
 
     return own.mapInArrow(run, "query_id long, vec_id long, distance double")
 
@@ -69,8 +83,9 @@ def _ranked(near: DataFrame, k: int) -> DataFrame:
 
 
 def _best(distance: np.ndarray, vec: np.ndarray, k: int) -> np.ndarray:
-    edge = np.partition(distance, k - 1)[k - 1]
-    near = np.flatnonzero(distance <= edge)
+    near = np.arange(len(distance))
+    if len(distance) > k:
+        near = np.flatnonzero(distance <= np.partition(distance, k - 1)[k - 1])
     return near[np.lexsort((vec[near], distance[near]))[:k]]
 
 

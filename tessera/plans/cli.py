@@ -4,14 +4,25 @@ from __future__ import annotations
 
 import argparse
 import json
+import shlex
 import sys
 
 from pyspark.sql import SparkSession
 
+from ..operators.generate import Process
 from ..scope import Scope
+from . import render
 from .engine import Engine
 
 
+SETUP = """Set these variables, or pass --vault and --index:
+  VAULT_ROOT       folder of the notes
+  INDEX_PATH       folder of the index
+  REPO_ROOT        the repository
+  GUIDELINES_PATH  the project's conventions (optional)
+Then run: tessera ingest REPO, tessera query QUESTION, or tessera-server for the tools."""
+
+
 def pairs(items: list[str]) -> dict[str, str]:
     """``key=value`` items; one without a sign is named on stderr and left out."""
     found = {}
@@ -42,7 +53,9 @@ def main(args: list[str] | None = None) -> int:
     ingest.add_argument("--dry-run", action="store_true")
     ingest.add_argument("--reuse", action="store_true", help="take stored summaries")
     ingest.add_argument("--no-text", action="store_true", help="notes without generated summaries")
-    ingest.add_argument("--frontmatter", nargs="*", default=[])
+    ingest.add_argument("--frontmatter", nargs="*", default=[], help="key=value pairs")
+    ingest.add_argument("--frontmatter-json", help="a JSON object of further front matter")
+    ingest.add_argument("--command", dest="command_line", help="program that answers prompts from standard input")
     query = commands.add_parser("query")
     query.add_argument("question")
     query.add_argument("--vault", default="vault")
@@ -51,16 +64,19 @@ def main(args: list[str] | None = None) -> int:
     commands.add_parser("init")
     own = parser.parse_args(args)
     if own.command == "init":
+        print(SETUP)
         print(json.dumps({"VAULT_ROOT": "vault", "INDEX_PATH": "index", "REPO_ROOT": "."}, indent=2))
         return 0
     spark = SparkSession.builder.appName("tessera").getOrCreate()
-    engine = Engine(spark, Scope(own.vault, own.index, getattr(own, "repo", None)))
+    command = shlex.split(getattr(own, "command_line", None) or "")
+    engine = Engine(spark, Scope(own.vault, own.index, getattr(own, "repo", None)), Process(command) if command else None)
     if own.command == "query":
-        print(engine.search_code(own.question, own.n))
+        found = engine.search(own.question, own.n).persist()
+        print(render.hits(found.collect(), engine.snippets(found)))
     elif own.dry_run:
         print(engine.dry_run(own.repo))
     else:
-        print(engine.ingest(own.repo, extra=pairs(own.frontmatter), reuse=own.reuse, generate_text=not own.no_text))
+        print(engine.ingest(own.repo, extra=pairs(own.frontmatter) | json_object(own.frontmatter_json), reuse=own.reuse, generate_text=not own.no_text))
     return 0
 
 

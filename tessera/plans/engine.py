@@ -26,7 +26,7 @@ from ..operators.search import MAX_DISTANCE
 from ..operators.urls import REMOTE
 from ..scope import Scope, guard, resolve
 from ..sources import git, summaries
-from ..sources.tree import IGNORED, source_files
+from ..sources.tree import IGNORED, lenient_text, source_files
 from . import render
 
 NOTES = "node_path string, note_path string, content string"
@@ -114,7 +114,7 @@ class Engine:
 
     def dry_run(self, root: str | None = None) -> dict[str, int]:
         """Files that aren't blank, their directories, and the calls at least needed for both."""
-        files = self.files(root).filter(F.col("text").isNotNull() & ~T.is_blank(F.col("text")))
+        files = self.files(root).withColumn("text", lenient_text("content")).filter(~T.is_blank(F.col("text")))
         row = files.agg(F.count(F.lit(1)).alias("files"), F.count_distinct(F.when(F.col("parent") != ".", F.col("parent"))).alias("dirs")).first()
         return {"files": row.files, "directories": row.dirs, "calls": row.files + row.dirs}
 
@@ -164,8 +164,7 @@ class Engine:
         questions = 0
         if index:
             rows = embedded(generate.chunk_questions(self.chunks(root), self.generator), self.embedder)
-            (self.index().replace if clear else self.index().upsert)(rows)
-            questions = self.index().rows().count()
+            questions = (self.index().replace if clear else self.index().upsert)(rows)
         summaries.write(self._summaries_path(), git.head(root), by_file, by_dir)
         return {"notes": self.stored_notes().count(), "warnings": len(warned), "questions": questions}
 
@@ -173,7 +172,8 @@ class Engine:
 
     def search(self, query: str, k: int = 5, most: float = MAX_DISTANCE) -> DataFrame:
         """The k nearest chunks with ``confidence`` and note paths relative to the note folder."""
-        return self.index().search(query, k).withColumn("confidence", F.when(F.col("distance") <= most, "high").otherwise("low"))
+        found = self.index().search(query, k).withColumn("markdown_path", P.relative_if_below(F.col("markdown_path"), self.scope.get("vault_root")))
+        return found.withColumn("confidence", F.when(F.col("distance") <= most, "high").otherwise("low"))
 
     def search_code(self, query: str, k: int = 5, most: float = MAX_DISTANCE) -> str:
         return render.hits(self.search(query, k, most).collect())
@@ -193,14 +193,21 @@ class Engine:
         return row.content if row else f"There is no note {name}."
 
     def find_todos(self, query: str, n_files: int = 5, n_commits: int = 5) -> str:
-        """Markers and recent commits of the files nearest to a question."""
-        hits = [r.file_path for r in self.search(query, n_files).select("file_path", "distance").collect()]
-        names = list(dict.fromkeys(hits))
+        """Markers and recent commits of the files nearest to a question, one section for each in the order of the hits.
+
+        Lines are scanned as bytes, so files that aren't UTF-8 count, too.
+        """
+        names = list(dict.fromkeys(r.file_path for r in self.search(query, n_files).collect()))  # at most n_files
         root = self.scope.get("repo_root")
-        wanted = self.spark.createDataFrame([(x,) for x in names], "rel_path string")
-        texts = source_files(self.spark, root).join(F.broadcast(wanted), "rel_path").select(F.col("rel_path").alias("file_path"), "text")
+        wanted = self.spark.createDataFrame([(x,) for x in names], "file_path string").withColumn("full", P.absolute(F.col("file_path"), root))
+        texts = source_files(self.spark, root).withColumn("full", P.absolute(F.col("rel_path"), root)).join(F.broadcast(wanted), "full").select("file_path", lenient_text("content").alias("text"))
         found = markers.scan(texts).orderBy("file_path", "line_number").collect()
-        return render.todos(found, git.commits(self.spark, root, names, n_commits).orderBy("file_path", "ord").collect())
+        return render.todos(names, found, git.commits(self.spark, root, names, n_commits).orderBy("file_path", "ord").collect())
+
+    def snippets(self, rows: DataFrame) -> dict[str, str]:
+        """The snippet of the note of each hit."""
+        wanted = rows.select(F.col("markdown_path").alias("note_path")).distinct()
+        return {r.note_path: r.snippet for r in self.stored_notes().join(F.broadcast(wanted), "note_path").select("note_path", T.snippet(F.col("content")).alias("snippet")).collect()}
 
     def vault_append(self, query: str) -> str:
         """Which note an annotation belongs to; writes nothing."""

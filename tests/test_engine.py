@@ -1,3 +1,4 @@
+import json
 """Ingest, questions and upkeep end to end, with the built-in generator and embedder."""
 
 import subprocess
@@ -144,3 +145,53 @@ def test_search_goes_on_in_blocks(spark, monkeypatch):
     whole = rows()
     monkeypatch.setattr(search, "MOST_QUERIES", 10)
     assert len(whole) == 100 and rows() == whole
+
+
+def test_process_generator():
+    import sys
+
+    echo = generate.Process([sys.executable, "-c", "import sys; print(' ' + sys.stdin.read().upper())"], 2)
+    assert echo.available() and echo.generate(["a", "b"]) == ["A", "B"]
+    failing = generate.Process([sys.executable, "-c", "import sys; sys.exit('no model')"])
+    with pytest.raises(RuntimeError, match="3 times.*no model"):
+        generate.call(failing, ["a"], lambda _: None)
+    assert not generate.Process(["no-such-program-here"]).available()
+
+
+def test_searches_without_queries_or_with_odd_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [1.0]), (5, [0.0, 0.0]), (6, [1.0, None])], "vec_id long, embedding array<float>")
+    queries = df.selectExpr("vec_id as query_id", "embedding")
+    found = sorted((r.query_id, r.rank, r.vec_id) for r in search.top_k(queries, df, 2).collect())
+    assert found == [(1, 1, 1), (1, 2, 2), (2, 1, 2), (2, 2, 1), (4, 1, 4), (5, 1, 1), (5, 2, 2)]
+    assert search.top_k(queries.limit(0), df, 2).count() == 0 and search.top_k(queries.filter("query_id = 3"), df, 2).count() == 0
+
+
+def test_ties_at_the_last_rank_go_by_place(spark, tmp_path):
+    rows = [("b.py", 1), ("a.py", 9), ("a.py", 1), ("c.py", 1)]
+    questions = spark.createDataFrame([(f, n, n, "Where is it?") for f, n in rows], "rel_path string, start_line int, end_line int, question string")
+    own = index.VectorIndex(spark, str(tmp_path / "i"), index.HashingEmbedder(64))
+    assert own.upsert(index.embedded(questions, own.embedder)) == 4 and own.upsert(index.embedded(questions.limit(1), own.embedder)) == 1
+    assert [(r.file_path, r.start_line) for r in own.search("Where is it?", 2).collect()] == [("a.py", 1), ("a.py", 9)]
+    assert own.search("?!", 9).count() == 4 and not (tmp_path / "i/index.json.new").exists()
+
+
+def test_tool_server(spark, tmp_path):
+    import io
+
+    from tessera.plans import tools
+
+    asked = [{"id": 1, "method": "initialize"}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/list"}, {"id": 3, "method": "tools/call", "params": {"name": "get_active_scope", "arguments": {"vault_root": str(tmp_path)}}}, {"id": 4, "method": "tools/call", "params": {"name": "nothing"}}, {"id": 5, "method": "tools/call", "params": {"name": "estimate_cost", "arguments": {"repo_root": str(tmp_path / "none")}}}]
+    out = io.StringIO()
+    tools.Server(spark).serve(io.StringIO("\n".join(map(json.dumps, asked))), out)
+    replies = {r["id"]: r for r in map(json.loads, out.getvalue().splitlines())}
+    assert len(replies) == 5 and len(replies[2]["result"]["tools"]) == 10
+    assert "[OK]" in replies[3]["result"]["content"][0]["text"] and "error" in replies[4] and replies[5]["result"]["isError"]
+
+
+def test_todos_keep_every_hit_in_order():
+    from types import SimpleNamespace as R
+
+    from tessera.plans import render
+
+    text = render.todos(["b.py", "a.py"], [R(file_path="a.py", line_number=3, tag="TODO", text="x")], [])
+    assert text.index("### b.py") < text.index("### a.py") and "- no markers" in text and "line 3 [TODO] x" in text

@@ -101,11 +101,11 @@ def test_python_definitions():
 
 
 def test_brace_chunks():
-    js = re.compile(chunks.HEADERS["braces_js"])
+    js = chunks.header("braces_js")
     source = "import x\nexport default async function a() {\n  if (x) {\n  }\n}\nconst b = (y) => {\n}\nlet z = 1\nclass C {\n  m() {}\n"
     assert [(a, b) for a, b, _ in chunks.braced(source, js)] == [(2, 5), (6, 7), (9, 11)]
     assert chunks.braced("let z = 1\nz++", js) == [(1, 2, "let z = 1\nz++")]
-    go = re.compile(chunks.HEADERS["braces_go"])
+    go = chunks.header("braces_go")
     assert [(a, b) for a, b, _ in chunks.braced("func (s *T) Run(x int) {\n}\nfunc G[T any](a T) {\n}", go)] == [(1, 2), (3, 4)]
 
 
@@ -176,3 +176,22 @@ def test_stored_summaries_in_every_shape(tmp_path):
     assert summaries.read(path) == ("q", {"a.py": "x"}, {})
     (tmp_path / "s.json").write_text('[{"a.py": "x"}, {"d": "y"}]')
     assert summaries.read(path) == (None, {"a.py": "x"}, {"d": "y"})
+
+
+def test_suffixes_are_tried_in_order(spark):
+    files = spark.createDataFrame([("web/a.js", "import x from './x'\n")], "rel_path string, text string")
+    listing = imports.listing(spark.createDataFrame([("web/a.js",), ("web/x.jsx",), ("web/x.ts",)], "rel_path string"))
+    assert [r.dst for r in imports.resolve(imports.wanted(languages.supported(files)), listing).collect()] == ["web/x.ts"]
+
+
+def test_every_importer_has_chunks_and_newer_suffixes_are_known():
+    known = {row[0]: row for row in languages.LANGUAGES}
+    assert all(row[3] for row in known.values() if row[2] != "none")
+    assert {".cs", ".dart", ".hs", ".ex", ".lua", ".sh", ".r", ".rb", ".rs", ".php", ".c", ".cpp"} <= set(known)
+
+
+def test_braces_that_never_close_and_nested_headers():
+    js = chunks.header("braces_js")
+    source = "function a() {\n  function b() {}\n}\n} stray\nclass C {\n  x() {}\nlet y = 1"
+    assert [(a, b) for a, b, _ in chunks.braced(source, js)] == [(1, 3), (5, 8)]
+    assert [(a, b) for a, b, _ in chunks.braced("const f = async (x) => x\nlet g = 2", js)] == [(1, 3)]
