@@ -14,7 +14,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import checkpoint
@@ -95,22 +95,47 @@ def with_confidence(hits: DataFrame, most: float = MAX_DISTANCE) -> DataFrame:
     return hits.withColumn("confidence", F.when(F.col("distance") <= most, "high").otherwise("low")).withColumn("all_low", F.every(F.col("distance") > most).over(every))
 
 
+_TERM = r"[\p{L}\p{N}]+"
+#: Query terms are broadcast up to so many rows; beyond it they are joined by a shuffle.
+BROADCAST_TERMS = 200_000
+
+
+def terms(text: str) -> Column:
+    """Lower-cased runs of letters and digits."""
+    return F.regexp_extract_all(F.lower(F.col(text)), F.lit(_TERM), 0)
+
+
 def term_frequencies(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, term, tf) over lower-cased runs of letters and digits."""
-    terms = texts.select(F.col(key), F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}]+"), 0)).alias("term"))
-    return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(key, term, tf)."""
+    return texts.select(F.col(key), F.explode(terms(text)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def squares(found: Column) -> Column:
+    """The sum of the squared frequencies in an array of terms: each further occurrence of a term adds 2 n + 1."""
+    start = F.struct(F.lit("").alias("term"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("total"))
+
+    def step(state: Column, term: Column) -> Column:
+        n = F.when(state["term"] == term, state["n"]).otherwise(F.lit(0).cast("long"))
+        return F.struct(term.alias("term"), (n + 1).alias("n"), (state["total"] + 2 * n + 1).alias("total"))
+
+    return F.aggregate(F.array_sort(found), start, step, lambda state: state["total"])
 
 
 def sparse_top_k(queries: DataFrame, texts: DataFrame, k: int = 5, *, query_key: str = "item_id", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Top k texts by term-frequency cosine as a join on terms; query terms bound the join.
+    """Top k texts by term-frequency cosine.
 
-    The query side is joined with the documents' term counts, already summed for each document,
-    so a term that every document has adds one row for each document and query that use it.
+    A text's norm comes from its own row; only its occurrences of query terms are dealt out, by text,
+    so terms are counted, scored and cut to the best of each task without another exchange.
     """
-    q, d = term_frequencies(queries, query_key, text), term_frequencies(texts, key, text)
+    q = checkpoint(term_frequencies(queries, query_key, text))
     q_norm = q.groupBy(query_key).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("q_norm"))
-    d_norm = d.groupBy(key).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("d_norm"))
-    dots = d.join(q.withColumnRenamed("tf", "q_tf"), "term").groupBy(query_key, key).agg(F.sum(F.col("tf") * F.col("q_tf")).alias("dot"))
-    scored = dots.join(q_norm, query_key).join(d_norm, key).withColumn("distance", F.round(1 - F.col("dot") / (F.col("q_norm") * F.col("d_norm")), 6))
+    q = q.withColumnRenamed("tf", "q_tf").join(q_norm, query_key)
+    few = q.count() <= BROADCAST_TERMS
+    asked = q.select("term").distinct()
+    each = texts.select(F.col(key), terms(text).alias("terms")).select(key, F.sqrt(squares(F.col("terms"))).alias("d_norm"), F.explode("terms").alias("term"))
+    matched = each.join(F.broadcast(asked) if few else asked, "term", "left_semi").repartition(key)
+    d = matched.groupBy(key, "d_norm", "term").agg(F.count(F.lit(1)).alias("tf"))
+    scored = d.join(F.broadcast(q) if few else q, "term").groupBy(query_key, key).agg(F.sum(F.col("tf") * F.col("q_tf")).alias("dot"), F.first("d_norm").alias("d_norm"), F.first("q_norm").alias("q_norm"))
+    scored = scored.withColumn("distance", F.round(1 - F.col("dot") / (F.col("q_norm") * F.col("d_norm")), 6))
     order = Window.partitionBy(query_key).orderBy("distance", key)
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(query_key, key, "distance", "rank")

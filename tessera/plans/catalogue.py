@@ -80,14 +80,14 @@ def question_lines(spark, sf_dir):
 def _noted(spark, sf_dir) -> DataFrame:
     head = F.concat(F.lit("---\ntype: file\npath: "), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("\nlang: "), "lang", F.lit("\nlinks:\n"))
     links = F.when(F.col("doc_id") % 3 == 0, F.lit("  []")).otherwise(F.concat(F.lit("  - a/"), "source", F.lit("\n  - b/"), "lang"))
-    note = F.concat(head, links, F.lit("\n---\n\n## d"), F.col("doc_id").cast("string"), F.lit("\n\n"), F.when(F.col("doc_id") % 5 == 0, F.lit("<!-- summary placeholder -->")).otherwise(F.substring("text", 1, 400)), F.lit("\n\n## Connections\n- [[a/"), "source", F.lit("]]\n"))
+    note = F.concat(head, links, F.lit("\n---\n\n## d"), F.col("doc_id").cast("string"), F.lit("\n\n"), F.when(F.col("doc_id") % 5 == 0, F.lit("<!-- summary placeholder -->\n")).otherwise(""), "text", F.lit("\n\n## Connections\n- [[a/"), "source", F.lit("]]\n"))
     return table(spark, sf_dir, "documents").select("doc_id", "source", "lang", note.alias("note"))
 
 
 _NOTED_SQL = """
     n AS (SELECT doc_id, source, lang, '---' || chr(10) || 'type: file' || chr(10) || 'path: ' || source || '/' || doc_id || chr(10) || 'lang: ' || lang || chr(10) || 'links:' || chr(10)
         || CASE WHEN doc_id % 3 = 0 THEN '  []' ELSE '  - a/' || source || chr(10) || '  - b/' || lang END || chr(10) || '---' || chr(10) || chr(10) || '## d' || doc_id || chr(10) || chr(10)
-        || CASE WHEN doc_id % 5 = 0 THEN '<!-- summary placeholder -->' ELSE substring(text, 1, 400) END || chr(10) || chr(10) || '## Connections' || chr(10) || '- [[a/' || source || ']]' || chr(10) AS note FROM documents)"""
+        || CASE WHEN doc_id % 5 = 0 THEN '<!-- summary placeholder -->' || chr(10) ELSE '' END || text || chr(10) || chr(10) || '## Connections' || chr(10) || '- [[a/' || source || ']]' || chr(10) AS note FROM documents)"""
 
 
 @query(f"""WITH {_NOTED_SQL}
@@ -177,11 +177,14 @@ def url_classify(spark, sf_dir):
 
 
 @query(f"""
-    SELECT page_id, suffix, 'markup' AS language FROM (SELECT page_id, regexp_extract(regexp_extract({_URL_PATH_SQL}, '([^/]+)$', 1), '^.+(\\.[^.]+)$', 1) AS suffix FROM pages) WHERE suffix IN ('.html', '.htm')""")
+    SELECT doc_id, suffix, language FROM (SELECT doc_id, (['.py', '.tsx', '.go', '.R', '.hh', '.PY', '.txt', '.gql'])[doc_id % 8 + 1] AS suffix FROM documents)
+    JOIN (VALUES ('.py', 'python'), ('.tsx', 'typescript'), ('.go', 'go'), ('.R', 'r'), ('.hh', 'cpp'), ('.gql', 'graphql')) AS k(suffix, language) USING (suffix)""")
 def ext_dispatch(spark, sf_dir):
-    known = spark.createDataFrame([(".html", "markup"), (".htm", "markup"), (".py", "python")], "suffix string, language string")
-    pages = table(spark, sf_dir, "pages").select("page_id", P.suffix(_url_path()).alias("suffix"))
-    return pages.join(F.broadcast(known), "suffix").select("page_id", "suffix", "language")
+    from ..operators import languages
+
+    suffix = F.get(F.array(*map(F.lit, [".py", ".tsx", ".go", ".R", ".hh", ".PY", ".txt", ".gql"])), (F.col("doc_id") % 8).cast("int"))
+    files = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("/d"), F.col("doc_id").cast("string"), suffix).alias("rel_path"))
+    return languages.supported(files).select("doc_id", "suffix", "language")
 
 
 @query(f"""WITH {_LINKS_SQL},
@@ -350,49 +353,48 @@ def index_note(spark, sf_dir):
 # --- search ------------------------------------------------------------------------------------
 
 
-def _first_vectors(spark, sf_dir, n: int) -> DataFrame:
-    """The searches: a stated set of query vectors, against all vectors."""
-    return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), "embedding")
+def _asked(spark, sf_dir) -> DataFrame:
+    """The searches: every vector whose id is divisible by 50, against all vectors."""
+    return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
 
 
-def _top_sql(n: int, k: int) -> str:
+def _top_sql(k: int) -> str:
     return f"""SELECT q.vec_id AS query_id, e.vec_id, list_cosine_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS d,
         row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), e.vec_id) AS rank
-        FROM embeddings q, embeddings e WHERE q.vec_id < {n} QUALIFY rank <= {k}"""
+        FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 QUALIFY rank <= {k}"""
 
 
-@query(f"SELECT query_id, vec_id, round(d, 6) + 0.0 AS distance, rank::INT AS rank FROM ({_top_sql(20, 5)})")
+@query(f"SELECT query_id, vec_id, round(d, 6) + 0.0 AS distance, rank::INT AS rank FROM ({_top_sql(5)})")
 def vector_topk(spark, sf_dir):
-    hits = search.top_k(_first_vectors(spark, sf_dir, 20), table(spark, sf_dir, "embeddings"), 5)
+    hits = search.top_k(_asked(spark, sf_dir), table(spark, sf_dir, "embeddings"), 5)
     return hits.select("query_id", "vec_id", (F.round("distance", 6) + 0.0).alias("distance"), "rank")
 
 
-@query(f"SELECT query_id, vec_id, rank::INT AS rank, CASE WHEN d <= 0.6 THEN 'high' ELSE 'low' END AS confidence, bool_and(d > 0.6) OVER (PARTITION BY query_id) AS all_low FROM ({_top_sql(10, 5)})")
+@query(f"SELECT query_id, vec_id, rank::INT AS rank, CASE WHEN d <= 0.6 THEN 'high' ELSE 'low' END AS confidence, bool_and(d > 0.6) OVER (PARTITION BY query_id) AS all_low FROM ({_top_sql(5)})")
 def vector_confidence(spark, sf_dir):
-    hits = search.top_k(_first_vectors(spark, sf_dir, 10), table(spark, sf_dir, "embeddings"), 5)
+    hits = search.top_k(_asked(spark, sf_dir), table(spark, sf_dir, "embeddings"), 5)
     return search.with_confidence(hits, 0.6).select("query_id", "vec_id", "rank", "confidence", "all_low")
 
 
 @query("""
-    WITH q AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM benchmark WHERE item_id < 5), qt AS (SELECT item_id, term, count(*) AS tf FROM q GROUP BY ALL),
+    WITH q AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM benchmark), qt AS (SELECT item_id, term, count(*) AS tf FROM q GROUP BY ALL),
     d AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents), dt AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
     qn AS (SELECT item_id, sqrt(sum(tf * tf)) AS qn FROM qt GROUP BY item_id), dn AS (SELECT doc_id, sqrt(sum(tf * tf)) AS dn FROM dt GROUP BY doc_id),
     s AS (SELECT item_id, doc_id, sum(qt.tf * dt.tf) AS dot FROM qt JOIN dt USING (term) GROUP BY ALL),
     r AS (SELECT item_id, doc_id, round(1 - dot / (qn * dn), 6) AS distance FROM s JOIN qn USING (item_id) JOIN dn USING (doc_id))
     SELECT item_id, doc_id, distance, (row_number() OVER (PARTITION BY item_id ORDER BY distance, doc_id))::INT AS rank FROM r QUALIFY rank <= 5""")
 def sparse_cosine_search(spark, sf_dir):
-    queries = table(spark, sf_dir, "benchmark").filter("item_id < 5")
-    return search.sparse_top_k(queries, table(spark, sf_dir, "documents"), 5)
+    return search.sparse_top_k(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), 5)
 
 
 @query(f"""
-    WITH hit AS (SELECT DISTINCT vec_id FROM ({_top_sql(3, 5)})),
+    WITH hit AS (SELECT DISTINCT vec_id FROM ({_top_sql(5)})),
     l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_id IN (SELECT vec_id FROM hit)),
     m AS (SELECT doc_id, count(*) AS n_markers FROM l WHERE regexp_matches(line, 'The|And|De') GROUP BY doc_id),
     g AS (SELECT user_id, count(*) AS n_log, min(event_id) AS oldest FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events QUALIFY r <= 5) GROUP BY user_id)
     SELECT vec_id AS file_id, coalesce(n_markers, 0) AS n_markers, coalesce(n_log, 0) AS n_log, oldest FROM hit LEFT JOIN m ON vec_id = doc_id LEFT JOIN g ON vec_id = user_id""")
 def find_markers_pipeline(spark, sf_dir):
-    hits = search.top_k(_first_vectors(spark, sf_dir, 3), table(spark, sf_dir, "embeddings"), 5).select(F.col("vec_id").alias("file_id")).distinct()
+    hits = search.top_k(_asked(spark, sf_dir), table(spark, sf_dir, "embeddings"), 5).select(F.col("vec_id").alias("file_id")).distinct()
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text").join(hits, "file_id", "left_semi")
     found = markers.scan(docs, key="file_id", markers=("The", "And", "De")).groupBy("file_id").agg(F.count(F.lit(1)).alias("n_markers"))
     events = table(spark, sf_dir, "events").select(F.col("user_id").alias("file_id"), "ts", "event_id").join(hits, "file_id", "left_semi")
@@ -414,13 +416,17 @@ def note_links(spark, sf_dir):
 
 
 @query("""
-    SELECT doc_id, 1::INT AS start_line, (length(text) - length(replace(text, chr(10), '')) + 3)::INT AS end_line,
-        md5('function d' || doc_id || '() {' || chr(10) || translate(text, '{}', '') || chr(10) || '}') AS text_md5 FROM documents""")
+    WITH d AS (SELECT doc_id, '  if (x) {' || chr(10) || translate(text, '{}', '') || chr(10) || '  }' AS body, (length(text) - length(replace(text, chr(10), '')) + 5)::INT AS n FROM documents)
+    SELECT doc_id, 1::INT AS start_line, n AS end_line, md5('function d' || doc_id || '() {' || chr(10) || body || chr(10) || '}') AS text_md5 FROM d
+    UNION ALL SELECT doc_id, n + 2, n + 4, md5('export default class D' || doc_id || ' {' || chr(10) || '  run() { return {} }' || chr(10) || '}') FROM d
+    UNION ALL SELECT doc_id, n + 5, n + 7, md5('const open = () => {' || chr(10) || 'never closed') FROM d""")
 def brace_chunks(spark, sf_dir):
-    """Each document as the body of one function."""
+    """Each document as a block in a function, with a class and a function that never closes after it."""
     from ..operators import chunks
 
-    source = F.concat(F.lit("function d"), F.col("doc_id").cast("string"), F.lit("() {\n"), F.translate("text", "{}", ""), F.lit("\n}\n"))
+    number = F.col("doc_id").cast("string")
+    body = F.concat(F.lit("  if (x) {\n"), F.translate("text", "{}", ""), F.lit("\n  }"))
+    source = F.concat(F.lit("function d"), number, F.lit("() {\n"), body, F.lit("\n}\nlet y = 1\nexport default class D"), number, F.lit(" {\n  run() { return {} }\n}\nconst open = () => {\nnever closed"))
     files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("rel_path"), F.lit("braces_js").alias("chunker"), source.alias("text"))
     return chunks.chunks(files).select(F.col("rel_path").cast("long").alias("doc_id"), "start_line", "end_line", F.md5("text").alias("text_md5"))
 
@@ -462,7 +468,14 @@ def import_edges(spark, sf_dir):
     return edges.select("src", "dst", (F.row_number().over(order) - 1).alias("ord"))
 
 
-@query()
+def _tree_sql() -> str:
+    from ..scope import PACKAGE
+
+    return f"""SELECT replace(filename, '{PACKAGE}/', '') AS rel_path, 'python' AS language, true AS is_utf8, (length(content) - length(replace(content, chr(10), '')) + 1)::INT AS n_lines
+        FROM read_text('{PACKAGE}/**/*.py')"""
+
+
+@query(_tree_sql())
 def tree_scan(spark, sf_dir):
     """This package's own source tree through the data source; the tables play no part."""
     from ..operators.languages import supported
@@ -470,3 +483,6 @@ def tree_scan(spark, sf_dir):
     from ..sources.tree import source_files
 
     return supported(source_files(spark, str(PACKAGE))).select("rel_path", "language", "is_utf8", T.line_count(F.col("text")).alias("n_lines"))
+
+
+from . import repository_queries  # noqa: E402, F401 - registers its queries here
