@@ -226,11 +226,11 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) that are similar enough."""
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("t"))
+    m, n = F.size("s"), F.size("t")
     # A set of less than 0.8 of the other's size can't be similar enough.
-    sizes = sets.select("node", F.size("shingles").alias("n"))
-    fit = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("m")), "a").join(sizes.withColumnRenamed("node", "b"), "b")
-    fit = fit.filter(F.least("m", "n") >= SIMILARITY * F.greatest("m", "n") - 1e-9).select("a", "b", "m", "n")
-    both = fit.join(one, "a").join(two, "b").select("a", "b", "m", "n", F.size(F.array_intersect("s", "t")).alias("common"))
+    fit = (F.col("b") == F.col("other")) & (F.least(m, n) >= SIMILARITY * F.greatest(m, n) - 1e-9)
+    sized = pairs.join(one, "a").join(two.withColumnRenamed("b", "other"), fit)
+    both = sized.select("a", "b", m.alias("m"), n.alias("n"), F.size(F.array_intersect("s", "t")).alias("common"))
     near = both.filter(F.col("common") >= SIMILARITY * (F.col("m") + F.col("n") - F.col("common")) - 1e-9).select("a", "b")
     # Not a checkpoint: that would keep the partitioning of the joins, which doubles in each round of the components.
     return pairs.sparkSession.read.parquet(write(near))
