@@ -12,7 +12,9 @@ sets of five-word shingles have a Jaccard similarity of 0.8 or more, whose diges
   probability 0.97, at 0.9 with 0.9996. Copies of copies are linked over one another, too.
 * Nodes of a key whose check bits differ in at most 16 places and whose sizes allow the similarity are
   candidates. A key of two nodes gives its pair; a larger one links each node to the key's smallest
-  only, and marks its nodes as open if they have a candidate there.
+  only, its hub, and marks its nodes as open if they have a candidate there. An open node is
+  verified with its 12 smallest hubs at first, which its group shares, and then with
+  four nodes in the middle of each hub's class.
 * Candidates are verified by the similarity itself, so no pair below it links. Then open nodes
   of different classes are paired exactly: two sets this similar share one of the rarest shingles of
   either (the prefix filter, with sizes and positions). So large keys lose no link to their stars,
@@ -50,6 +52,8 @@ SEGMENTS, WIDTH, CHECK = 16, 23, 56
 #: Check bits in which candidates may differ: 16 leaves out one pair in 300 at similarity 0.8, 99.9 % of random pairs.
 APART = 16
 _N_HASHES = 7
+#: Hubs that an open node is verified with at first; the prefix filter finds all its other links.
+HUBS = 12
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _ODD = np.random.default_rng(805).integers(1, 2**63, size=_N_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -136,13 +140,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(most: int = 2, hold: int = 1 << 19, before: int = 0, dense: int = 4096):
-    """Rows (key, node, sum) sorted by key and node: candidate pairs (a, b), and open nodes (a, null)."""
+    """Rows (key, node, sum) sorted by key and node: candidate pairs (a, b, false), stars (hub, node, true), open nodes (a, null, true)."""
 
     def pairs(key: np.ndarray, node: np.ndarray, sums: np.ndarray, hub: tuple | None) -> pa.RecordBatch:
         new = np.append(True, key[1:] != key[:-1])
         run = np.cumsum(new) - 1
         length = np.bincount(run)[run]
-        a, b, marked = [], [], np.zeros(len(key), dtype=bool)
+        a, b, hubs, rays, marked = [], [], [], [], np.zeros(len(key), dtype=bool)
         step = 1
         while step < len(key) and (step < most or hub):
             same = key[step:] == key[:-step]
@@ -160,19 +164,21 @@ def _candidates(most: int = 2, hold: int = 1 << 19, before: int = 0, dense: int
             own, sums_of = node[first : first + n], sums[first : first + n]
             low, low_sum = hub or (own[0], sums_of[0])
             near = _may_match(sums_of, low_sum) & (own != low)
-            a.append(np.full(int(near.sum()), low))
-            b.append(own[near])
+            hubs.append(np.full(int(near.sum()), low))
+            rays.append(own[near])
             if n > dense or hub:
                 marked[first : first + n] = True
                 continue
             for at in range(0, n, 256):
                 matches = _may_match(sums_of[at : at + 256, None], sums_of[None, :]).sum(axis=1) > 1
                 marked[first + at : first + at + len(matches)] = matches
-        opened = np.unique(node[marked])
+        opened = np.unique(np.concatenate([node[marked], *hubs, *rays]))
         both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0) if a else np.zeros((0, 2), np.int64)
-        left = np.concatenate([np.minimum(both[:, 0], both[:, 1]), opened])
-        right = np.concatenate([np.maximum(both[:, 0], both[:, 1]), np.zeros(len(opened), np.int64)])
-        return pa.record_batch([pa.array(left), pa.array(right, mask=np.arange(len(right)) >= len(both))], names=["a", "b"])
+        star = np.unique(np.stack([np.concatenate(hubs), np.concatenate(rays)], axis=1), axis=0) if hubs else np.zeros((0, 2), np.int64)
+        left = np.concatenate([np.minimum(both[:, 0], both[:, 1]), star[:, 0], opened])
+        right = np.concatenate([np.maximum(both[:, 0], both[:, 1]), star[:, 1], np.zeros(len(opened), np.int64)])
+        of_star = np.arange(len(left)) >= len(both)
+        return pa.record_batch([pa.array(left), pa.array(right, mask=np.arange(len(left)) >= len(both) + len(star)), pa.array(of_star)], names=["a", "b", "star"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, node, sums, hub = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), None
@@ -284,16 +290,35 @@ def _exact_pairs(sets: DataFrame, roots: DataFrame) -> DataFrame:
     return one.join(two, "token").filter(fits).select("a", "b").distinct()
 
 
+def _best_hubs(stars: DataFrame, near: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): each node that isn't in the class of its hub, with the four nodes of that class that are linked to most of their hubs.
+
+    All nodes of a group are tried with as many hubs, so these four lie in its middle.
+    """
+    tried = near.groupBy(F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    best = tried.join(roots, "node").groupBy("root", F.pmod("node", F.lit(4)).alias("part")).agg(F.max_by("node", F.struct("n", "node")).alias("best"))
+    hubs = roots.join(best.groupBy("root").agg(F.collect_list("best").alias("best")), "root").select(F.col("node").alias("a"), F.col("root").alias("root_a"), "best")
+    own = roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
+    apart = stars.join(hubs, "a").join(own, "b", "left").filter("root_b IS NULL OR root_a <> root_b")
+    return apart.select(F.explode("best").alias("best"), "b").select(F.least("best", "b").alias("a"), F.greatest("best", "b").alias("b")).distinct()
+
+
 def links(first: DataFrame, texts: DataFrame) -> DataFrame:
     """Verified pairs (a, b) that connect every class of the nodes in ``first`` (node, first_id, segments, sum)."""
     rows = first.select("node", "segments", "sum").mapInArrow(lean(_keys), "key long, node long, sum long")
-    found = checkpoint(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lean(_candidates()), "a long, b long").distinct())
-    pairs, opened = found.filter("b IS NOT NULL"), found.filter("b IS NULL").select(F.col("a").alias("node"))
-    nodes = found.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    found = checkpoint(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lean(_candidates()), "a long, b long, star boolean").distinct())
+    opened = found.filter("b IS NULL").select(F.col("a").alias("node"))
+    # Of its hubs a node is verified with the smallest only, which most of its group share; it is open for the rest.
+    stars = found.filter("star AND b IS NOT NULL").groupBy("b").agg(F.slice(F.array_sort(F.collect_set("a")), 1, HUBS).alias("hubs")).select(F.explode("hubs").alias("a"), "b")
+    stars = checkpoint(stars)
+    pairs = checkpoint(found.filter("NOT star").select("a", "b").union(stars).distinct())
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(opened).distinct()
     sets = _sets_of(nodes, first, texts)
     near = _verified(pairs, sets)
     if opened.isEmpty():
         return near
+    more = checkpoint(_best_hubs(stars, near, components(near)).join(pairs, ["a", "b"], "left_anti"))
+    near, pairs = near.union(_verified(more, sets)), pairs.union(more)
     others = checkpoint(_exact_pairs(sets.join(opened, "node", "left_semi"), components(near)).join(pairs, ["a", "b"], "left_anti"))
     return near if others.isEmpty() else near.union(_verified(others, sets))
 

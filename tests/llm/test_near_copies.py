@@ -111,7 +111,7 @@ def test_large_keys_lose_no_link(spark):
     rows = [(7, k, -256 | 58) for k in range(len(sets))]
     for most, hold in ((8, 1 << 19), (200, 1 << 19), (8, 30), (8, 1)):
         df = spark.createDataFrame(rows, "key long, node long, sum long").coalesce(1).sortWithinPartitions("key", "node").mapInArrow(lambda b: (x.slice(i, 7) for x in b for i in range(0, x.num_rows, 7)), "key long, node long, sum long")
-        found = df.mapInArrow(N._candidates(most, hold), "a long, b long").distinct().collect()
+        found = df.mapInArrow(N._candidates(most, hold), "a long, b long, star boolean").distinct().collect()
         pairs = {(r.a, r.b) for r in found if r.b is not None}
         opened = {r.a for r in found if r.b is None}
         assert all(a < b for a, b in pairs) and (len(pairs) < 1000 if most == 8 else len(pairs) == 120 * 119 // 2)
