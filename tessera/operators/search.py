@@ -124,15 +124,17 @@ def squares(found: Column) -> Column:
 def sparse_top_k(queries: DataFrame, texts: DataFrame, k: int = 5, *, query_key: str = "item_id", key: str = "doc_id", text: str = "text") -> DataFrame:
     """Top k texts by term-frequency cosine.
 
-    A text's norm comes from its own row; only its occurrences of query terms are dealt out, by text,
-    so terms are counted, scored and cut to the best of each task without another exchange.
+    A text's norm comes from its own row, in a projection of its own: beside the generator it would be
+    computed again for each word. Only the occurrences of query terms are dealt out, by text, so terms are
+    counted, scored and cut to the best of each task without another exchange.
     """
     q = checkpoint(term_frequencies(queries, query_key, text))
     q_norm = q.groupBy(query_key).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("q_norm"))
     q = q.withColumnRenamed("tf", "q_tf").join(q_norm, query_key)
     few = q.count() <= BROADCAST_TERMS
     asked = q.select("term").distinct()
-    each = texts.select(F.col(key), terms(text).alias("terms")).select(key, F.sqrt(squares(F.col("terms"))).alias("d_norm"), F.explode("terms").alias("term"))
+    normed = texts.select(F.col(key), terms(text).alias("terms")).select(key, "terms", F.sqrt(squares(F.col("terms"))).alias("d_norm"))
+    each = normed.select(key, "d_norm", F.explode("terms").alias("term"))
     matched = each.join(F.broadcast(asked) if few else asked, "term", "left_semi").repartition(key)
     d = matched.groupBy(key, "d_norm", "term").agg(F.count(F.lit(1)).alias("tf"))
     scored = d.join(F.broadcast(q) if few else q, "term").groupBy(query_key, key).agg(F.sum(F.col("tf") * F.col("q_tf")).alias("dot"), F.first("d_norm").alias("d_norm"), F.first("q_norm").alias("q_norm"))

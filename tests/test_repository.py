@@ -195,3 +195,18 @@ def test_braces_that_never_close_and_nested_headers():
     source = "function a() {\n  function b() {}\n}\n} stray\nclass C {\n  x() {}\nlet y = 1"
     assert [(a, b) for a, b, _ in chunks.braced(source, js)] == [(1, 3), (5, 8)]
     assert [(a, b) for a, b, _ in chunks.braced("const f = async (x) => x\nlet g = 2", js)] == [(1, 3)]
+
+
+def test_sparse_search_takes_long_texts_in_linear_time(spark):
+    import time
+
+    from tessera.operators import search
+
+    long = " ".join(f"w{k % 7919}" for k in range(20_000))
+    texts = spark.createDataFrame([(1, long), (2, "w1 w2"), (3, ""), (4, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(9, "w1 w2")], "item_id long, text string")
+    began = time.time()
+    found = [(r.doc_id, r.rank, r.distance) for r in search.sparse_top_k(asked, texts).orderBy("rank").collect()]
+    assert time.time() - began < 20
+    n = [20_000 // 7919 + (k < 20_000 % 7919) for k in range(7919)]
+    assert found == [(2, 1, 0.0), (1, 2, round(1 - (n[1] + n[2]) / (2**0.5 * sum(x * x for x in n) ** 0.5), 6))]
