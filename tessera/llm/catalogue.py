@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, fill_middle, mixing, pii, quality_model, quality_rules, secret_scan, simhash, substring_dedup, toxicity
+from . import byte_bpe, exact_dedup, fill_middle, license_scan, mixing, pii, quality_model, quality_rules, secret_scan, simhash, substring_dedup, toxicity
 from .shared import bound_batches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -73,6 +73,10 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fill_middle.restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mixing": op2_mixing,
@@ -85,6 +89,7 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_fill_middle": op11_fill_middle,
+    "op12_license_scan": op12_license_scan,
 }
 
 _MEASURES_SQL = r"""
@@ -112,6 +117,28 @@ def _rules_sql() -> str:
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & {base}) <> 0 AS base_failed, (failures & {mask}) = 0 AS kept, failures FROM b"""
 
 
+def _licenses_sql() -> str:
+    of = license_scan.templates()
+    listed = ", ".join(f"({n}, '{label}', {base}, {k}, {gap}, {len(words) - k + 1}, {words!r})" for n, label, base, k, gap, words in of)
+    gram = lambda words, at, k: f"array_to_string({words}[{at} + 1:{at} + {k}], ' ')"
+    sizes = ", ".join(f"({k})" for k in sorted({k for _, _, _, k, _, _ in of}))
+    return f"""
+        WITH tp(template, label, base, k, gap, places, words) AS (VALUES {listed}),
+        sd AS (SELECT template, label, base, k, gap, places, pos, {gram("words", "pos", "k")} AS gram FROM (SELECT *, unnest(range(places)) AS pos FROM tp)),
+        t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{license_scan._UPPER}', '{license_scan._LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS words FROM documents),
+        u AS (SELECT r, unnest(words) AS w0, unnest(words[2:] || ['']) AS w1, unnest(words[3:] || ['', '']) AS w2, unnest(range(len(words))) AS i, len(words) AS n FROM t),
+        g AS (SELECT r, i, k, CASE k WHEN 2 THEN w0 || ' ' || w1 ELSE w0 || ' ' || w1 || ' ' || w2 END AS gram FROM u, (VALUES {sizes}) AS s(k) WHERE i + k <= n),
+        h AS (SELECT r, i, i - pos AS diagonal, pos, template, label, base, k, gap, places FROM g JOIN sd USING (k, gram)),
+        d AS (SELECT DISTINCT r, template, gap, diagonal FROM h),
+        b AS (SELECT r, template, diagonal, coalesce((diagonal - lag(diagonal) OVER p > gap)::INT, 1) AS begins FROM d WINDOW p AS (PARTITION BY r, template ORDER BY diagonal)),
+        m AS (SELECT r, template, diagonal, sum(begins) OVER (PARTITION BY r, template ORDER BY diagonal) AS span FROM b),
+        s AS (SELECT r, template, label, base, k, gap, places, span, min(i) AS first, max(i) + k - 1 AS last, count(DISTINCT pos) / places AS share FROM h JOIN m USING (r, template, diagonal) GROUP BY r, template, label, base, k, gap, places, span),
+        v AS (SELECT *, share >= {license_scan.SHARE} AND last - first + 1 <= (places + k - 1) * 1.25 + gap AS good FROM s),
+        f AS (SELECT r, count(*) FILTER (WHERE good AND base) AS n_base, min(first) FILTER (WHERE good AND base) AS first_word, max(first) FILTER (WHERE good AND base) AS last_word,
+            string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE good AND base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE good) AS labels, max(share) AS score FROM v GROUP BY r)
+        SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score FROM t LEFT JOIN f USING (r)"""
+
+
 ORACLES = {
     "op1_substring_dedup": r"""
         WITH w AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS word, generate_subscripts(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), 1) AS i FROM documents),
@@ -135,4 +162,5 @@ ORACLES = {
         p AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix FROM c)
         SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
             sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p""",
+    "op12_license_scan": _licenses_sql(),
 }
