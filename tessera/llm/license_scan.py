@@ -6,8 +6,9 @@ place in the template). Votes are summed by diagonal, neighbouring diagonals (wo
 into one span, and a span is verified by the share of the template's k-grams that it holds and by its length. The
 join compares the words themselves beside the hash, so a hash alone never decides.
 
-The templates are a fixed list, so their side of the join is broadcast and their hashes also thin out a text's k-grams
-in its own row; what is shuffled is one row for each text and each hit, once, by row.
+The templates are a fixed list, so their side of the join is broadcast. Their first and second words and then their hashes
+also thin out a text's k-grams in its own row, before these become rows; what is shuffled is one row for each text and
+each hit, once, by row.
 
 Defined cases: a null or empty text has no words and no findings; each row gives one row, repeated rows and
 null ids too; an empty table gives an empty result; extra columns are left out, whatever their names; bytes that aren't
@@ -73,7 +74,10 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", of
 
     words = F.col("words")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
-    grams = F.transform(words, lambda _, i: F.struct(i.alias("at"), *[_hash(words, i, k).alias(f"h{k}") for k in known]))
+    first, second = ([*{r[5][pos + j] for r in of for pos in range(len(r[5]) - r[3] + 1) if r[3] > j}] for j in range(2))
+    starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i).isin(first) & (F.get(words, i + 1).isin(second) if all(k > 1 for k in known) else F.lit(True)))
+    places = F.when(F.size(words) > 0, starts).otherwise(F.array().cast("array<int>"))
+    grams = F.transform(places, lambda i: F.struct(i.alias("at"), *[_hash(words, i, k).alias(f"h{k}") for k in known]))
     likely = F.filter(grams, lambda g: reduce(Column.__or__, [g[f"h{k}"].isin(hs) for k, hs in known.items()]))
     each = F.flatten(F.transform(likely, lambda g: F.array(*[F.struct(g["at"].alias("at"), g[f"h{k}"].alias("h"), F.array_join(F.slice(words, g["at"] + 1, k), " ").alias("gram")) for k in known])))
     found = rows.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), each.alias("each"))
