@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read back; survives lost executors.
+def folder(spark: SparkSession) -> str:
+    """The shared folder named in spark.checkpoint.dir; a temporary one only where none is named, as in tests."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoints-")
+
 
-    The folder is the one named in spark.checkpoint.dir; a temporary one only where none is named.
-    """
+def checkpoint(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and read back; survives lost executors."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        spark.sparkContext.setCheckpointDir(folder(spark))
     return df.checkpoint(eager=True)

@@ -241,9 +241,9 @@ def _questions(spark, sf_dir, ending: str) -> DataFrame:
 def index_lifecycle(spark, sf_dir):
     """An index that is created, added to twice with rows that it has already, and rid of one language's files."""
     from ..operators.index import HashingEmbedder, VectorIndex, embedded
+    from ..operators.lineage import folder
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp"
-    own = VectorIndex(spark, f"{folder}/index-{uuid.uuid4().hex}", HashingEmbedder(16))
+    own = VectorIndex(spark, f"{folder(spark)}/index-{uuid.uuid4().hex}", HashingEmbedder(16))
     first, second = (embedded(_questions(spark, sf_dir, x), own.embedder) for x in (" do?", " need?"))
     own.replace(first)
     own.upsert(second.unionByName(first))
