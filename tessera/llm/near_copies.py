@@ -17,8 +17,9 @@ sets of five-word shingles have a Jaccard similarity of 0.8 or more, whose diges
   four nodes in the middle of each hub's class.
 * Candidates are verified by the similarity itself, so no pair below it links. Then open nodes
   of different classes are paired exactly: two sets this similar share one of the rarest shingles of
-  either (the prefix filter, with sizes and positions). So large keys lose no link to their stars,
-  and a group of n copies costs pairs in n, not in its square.
+  either (the prefix filter, with sizes and positions), and their parity maps differ in no more bits than the
+  sets may differ in shingles (each shingle flips one bit of its set's map, so the differing bits are a lower
+  bound). So large keys lose no link to their stars, and a group of n copies costs pairs in n, not in its square.
 
 Components of the links are the classes; the row with the class's smallest id stays.
 
@@ -37,13 +38,14 @@ equal ids stay together; equal 64-bit hashes of the words count as equal texts;
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpoint, components, write
+from .shared import checkpoint, components, delete, write
 from .simhash import codewords
 from .words import Block, lean, mix, ngrams, pieces, utf8
 
@@ -61,6 +63,8 @@ _SALT = np.uint64(0x9E3779B97F4A7C15)
 _LOW_BYTE = np.uint64(255)
 _COUNTERS = 1 << 16
 _MAP_BITS = 1 << 23
+#: Words of 64 bits in a set's parity map.
+_PARITY = 4
 
 
 def _texts(column: pa.Array) -> Iterator[tuple[np.uint64, np.ndarray]]:
@@ -228,8 +232,8 @@ def _sets_of(nodes: DataFrame, first: DataFrame, texts: DataFrame) -> DataFrame:
     return checkpoint(own.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) that are similar enough."""
+def _verified(pairs: DataFrame, sets: DataFrame, written: list[str]) -> DataFrame:
+    """Those of ``pairs`` (a, b) that are similar enough; ``written`` gets the folder that holds them."""
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("t"))
     m, n = F.size("s"), F.size("t")
@@ -239,7 +243,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     both = sized.select("a", "b", m.alias("m"), n.alias("n"), F.size(F.array_intersect("s", "t")).alias("common"))
     near = both.filter(F.col("common") >= SIMILARITY * (F.col("m") + F.col("n") - F.col("common")) - 1e-9).select("a", "b")
     # Not a checkpoint: that would keep the partitioning of the joins, which doubles in each round of the components.
-    return pairs.sparkSession.read.parquet(write(near))
+    written.append(write(near))
+    return pairs.sparkSession.read.parquet(written[-1])
 
 
 def _counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,14 +255,22 @@ def _counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(place), pa.array(total[place])], names=["place", "n"])
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """The parity map of a set: bit k tells whether an odd number of its shingles fall on k."""
+    with np.errstate(over="ignore"):
+        place = (mix(shingles.view(np.uint64) * _ODD[0]) % np.uint64(64 * _PARITY)).astype(np.int64)
+    odd = (np.bincount(place, minlength=64 * _PARITY) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def _prefixes(frequency: np.ndarray):
-    """The rarest shingles of a set, of which it must share one with any set similar enough."""
+    """The rarest shingles of a set, of which it must share one with any set similar enough, each with the set's size and map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shingles = batch.column(2)
             values, offsets = np.asarray(shingles.values), np.asarray(shingles.offsets)
-            token, at, row, size = [], [], [], []
+            token, at, row, size, maps = [], [], [], [], []
             for k in range(batch.num_rows):
                 own = values[offsets[k] : offsets[k + 1]]
                 own = own[np.lexsort((own, frequency[own & (_COUNTERS - 1)]))]
@@ -266,9 +279,12 @@ def _prefixes(frequency: np.ndarray):
                 at.append(np.arange(n))
                 row.append(np.full(n, k))
                 size.append(np.full(n, len(own)))
+                maps.append(parity(own))
             if row:
                 rows = pa.array(np.concatenate(row))
-                yield pa.record_batch([pa.array(np.concatenate(token)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(size).astype(np.int32))], names=["token", "node", "root", "at", "n"])
+                of_rows = np.stack(maps)[np.concatenate(row)]
+                columns = [pa.array(np.concatenate(token)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(size).astype(np.int32))]
+                yield pa.record_batch(columns + [pa.array(of_rows[:, k]) for k in range(_PARITY)], names=["token", "node", "root", "at", "n", *(f"map{k}" for k in range(_PARITY))])
 
     return run
 
@@ -281,12 +297,13 @@ def _exact_pairs(sets: DataFrame, roots: DataFrame) -> DataFrame:
         frequency[r.place] = r.n
     labelled = sets.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "shingles")
     # Cut off here, so that Spark may split a shingle that very many prefixes have.
-    rows = checkpoint(labelled.mapInArrow(lean(_prefixes(frequency)), "token long, node long, root long, at int, n int"))
-    one = rows.select("token", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("at").alias("i"), F.col("n").alias("m"))
-    two = rows.select("token", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("at").alias("j"), "n")
+    rows = checkpoint(labelled.mapInArrow(lean(_prefixes(frequency)), "token long, node long, root long, at int, n int, " + ", ".join(f"map{k} long" for k in range(_PARITY))))
+    one = rows.select("token", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("at").alias("i"), F.col("n").alias("m"), *[F.col(f"map{k}").alias(f"one{k}") for k in range(_PARITY)])
+    two = rows.select("token", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("at").alias("j"), "n", *[F.col(f"map{k}").alias(f"two{k}") for k in range(_PARITY)])
     needed = F.ceil(SIMILARITY / (1 + SIMILARITY) * (F.col("m") + F.col("n")) - 1e-9)
     reach = F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j"))
-    fits = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & (F.least("m", "n") >= SIMILARITY * F.greatest("m", "n") - 1e-9) & (reach >= needed)
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"one{k}").bitwiseXOR(F.col(f"two{k}"))) for k in range(_PARITY)])
+    fits = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & (F.least("m", "n") >= SIMILARITY * F.greatest("m", "n") - 1e-9) & (reach >= needed) & (apart <= F.col("m") + F.col("n") - 2 * needed)
     return one.join(two, "token").filter(fits).select("a", "b").distinct()
 
 
@@ -303,8 +320,9 @@ def _best_hubs(stars: DataFrame, near: DataFrame, roots: DataFrame) -> DataFrame
     return apart.select(F.explode("best").alias("best"), "b").select(F.least("best", "b").alias("a"), F.greatest("best", "b").alias("b")).distinct()
 
 
-def links(first: DataFrame, texts: DataFrame) -> DataFrame:
-    """Verified pairs (a, b) that connect every class of the nodes in ``first`` (node, first_id, segments, sum)."""
+def links(first: DataFrame, texts: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Verified pairs (a, b) that connect every class of the nodes in ``first`` (node, first_id, segments, sum), and the folders they lie in."""
+    written: list[str] = []
     rows = first.select("node", "segments", "sum").mapInArrow(lean(_keys), "key long, node long, sum long")
     found = checkpoint(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lean(_candidates()), "a long, b long, star boolean").distinct())
     opened = found.filter("b IS NULL").select(F.col("a").alias("node"))
@@ -314,13 +332,13 @@ def links(first: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = checkpoint(found.filter("NOT star").select("a", "b").union(stars).distinct())
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(opened).distinct()
     sets = _sets_of(nodes, first, texts)
-    near = _verified(pairs, sets)
+    near = _verified(pairs, sets, written)
     if opened.isEmpty():
-        return near
+        return near, written
     more = checkpoint(_best_hubs(stars, near, components(near)).join(pairs, ["a", "b"], "left_anti"))
-    near, pairs = near.union(_verified(more, sets)), pairs.union(more)
+    near, pairs = near.union(_verified(more, sets, written)), pairs.union(more)
     others = checkpoint(_exact_pairs(sets.join(opened, "node", "left_semi"), components(near)).join(pairs, ["a", "b"], "left_anti"))
-    return near if others.isEmpty() else near.union(_verified(others, sets))
+    return near if others.isEmpty() else near.union(_verified(others, sets, written)), written
 
 
 def near_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -328,9 +346,12 @@ def near_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = checkpoint(texts.mapInArrow(lean(_nodes), "doc_id long, node long, segments binary, sum long"))
     first = checkpoint(docs.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("segments").alias("segments"), F.first("sum").alias("sum")))
-    roots = components(links(first, texts))
+    near, written = links(first, texts)
+    roots = components(near)
     ids = first.select("node", "first_id")
     linked = checkpoint(ids.join(roots, "node").select("node", "root", "first_id"))
+    for path in written:  # the classes are known
+        delete(df.sparkSession, path)
     # A node of null ids only has no id of its own; it is kept unless it is linked to one that has.
     smallest = linked.groupBy("root").agg(F.min("first_id").alias("class_id"))
     lost = linked.join(smallest, "root").filter(~F.col("first_id").eqNullSafe(F.col("class_id"))).select("node")

@@ -148,3 +148,23 @@ def test_odd_rows(spark):
     assert N.near_dedup(df.limit(0)).count() == 0
     alone = spark.createDataFrame([(None, base), (None, base + " x")], "doc_id long, text string")
     assert N.near_dedup(alone).count() == 2
+
+
+def test_parity_maps_differ_in_no_more_bits_than_sets_in_shingles():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        every = rng.integers(-(2**63), 2**63, rng.integers(2, 400))
+        one, two = (np.unique(rng.choice(every, rng.integers(1, len(every) + 1))) for _ in range(2))
+        apart = int(np.bitwise_count((N.parity(one) ^ N.parity(two)).view(np.uint64)).sum())
+        assert apart <= len(np.setxor1d(one, two)) and (apart - len(np.setxor1d(one, two))) % 2 == 0
+
+
+def test_folders_of_verified_pairs_are_gone_afterwards(spark):
+    import os
+
+    folder = spark.conf.get("spark.checkpoint.dir")
+    written = lambda: {os.path.join(d, x) for d, names, _ in os.walk(folder) for x in names if x.startswith("written-")}
+    before = written()
+    base = " ".join(f"w{i}" for i in range(100))
+    assert N.near_dedup(spark.createDataFrame([(1, base), (2, base + " x"), (3, "other words")], "doc_id long, text string")).count() == 2
+    assert written() == before
