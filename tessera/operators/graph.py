@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from . import lookups
+from . import lookups, ordering
 
 
 def numbered(rows: DataFrame, group: str | None, order: str) -> DataFrame:
-    """Positions from 1 within a group (or over all rows, for the few nodes of the top level)."""
-    window = (Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))).orderBy(order)
-    return rows.withColumn("pos", F.row_number().over(window).cast("long"))
+    """Positions from 1 within a group, or over all rows."""
+    if group is None:
+        return ordering.numbered(rows, order)
+    return rows.withColumn("pos", F.row_number().over(Window.partitionBy(group).orderBy(order)).cast("long"))
 
 
 def nodes(files: DataFrame, file_summaries: DataFrame, dir_summaries: DataFrame) -> DataFrame:
@@ -31,6 +32,11 @@ def nodes(files: DataFrame, file_summaries: DataFrame, dir_summaries: DataFrame)
     return both.select("node_type", "path", P.name(F.col("path")).alias("name"), P.parent(F.col("path")).alias("parent"), "summary", "ord")
 
 
+def walk(all_nodes: DataFrame) -> DataFrame:
+    """(path, walk): the place of every node in the order of a walk, from 1."""
+    return ordering.numbered(all_nodes.select("path", "node_type", "ord"), "ord", "path", "node_type", name="walk").select("path", "walk")
+
+
 def child_edges(all_nodes: DataFrame) -> DataFrame:
     """(src, pos, dst, dst_type): directories to their children, files before directories, each in node order."""
     rows = all_nodes.filter("parent <> '.'").select(F.col("parent").alias("src"), F.col("path").alias("dst"), F.col("node_type").alias("dst_type"), F.struct(F.when(F.col("node_type") == "file", 0).otherwise(1).alias("k"), "ord").alias("o"))

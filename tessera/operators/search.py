@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .lineage import checkpoint
 
 MOST_QUERIES = 10_000
+#: Distances are rounded before they are ranked, as the last bits of a product depend on the batch's shape.
+DIGITS = 9
 #: A distance up to this counts as confident.
 MAX_DISTANCE = 1.35
 
@@ -27,12 +29,11 @@ MAX_DISTANCE = 1.35
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, *, query_id: str = "query_id", vector_id: str = "vec_id", column: str = "embedding") -> DataFrame:
     """(query_id, vec_id, distance, rank): ties in distance go by id; fewer than k vectors give fewer rows.
 
-    A null vector, a null in a vector, or another length than the query's finds nothing and is not found;
+    A null id or vector, a null in a vector, or another length than the query's finds nothing and is not found;
     no queries give no rows.
     """
-    whole = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull())
-    wanted = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(column).cast("array<double>").alias("embedding")).filter(whole("embedding"))
-    own = vectors.select(F.col(vector_id).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("embedding")).filter(whole("embedding"))
+    wanted = whole(queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(column).cast("array<double>").alias("embedding")))
+    own = whole(vectors.select(F.col(vector_id).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("embedding")))
     found = wanted.limit(MOST_QUERIES + 1).toArrow()
     if found.num_rows <= MOST_QUERIES:
         return _ranked(_near(found, own, k), k)
@@ -44,6 +45,11 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, *, query_id: str =
     return hits
 
 
+def whole(rows: DataFrame) -> DataFrame:
+    """Rows (id, embedding) with an id and a vector that holds no null."""
+    return rows.filter(F.col(rows.columns[0]).isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull()))
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
 
@@ -69,7 +75,7 @@ def _near(found: pa.Table, own: DataFrame, k: int, cells: int = 1 << 22) -> Data
                 vectors = _unit(np.asarray(part.column(1).flatten(), dtype=np.float64).reshape(len(rows), n))
                 step = max(1, cells // len(rows))
                 for at in range(0, len(ids), step):
-                    distance = 1.0 - queries[at : at + step] @ vectors.T
+                    distance = np.round(1.0 - queries[at : at + step] @ vectors.T, DIGITS)
                     best = [_best(d, vec, k) for d in distance]
                     q, v = np.repeat(np.arange(len(best)), [len(b) for b in best]), np.concatenate(best)
                     yield pa.record_batch([pa.array(ids[at + q]), pa.array(vec[v]), pa.array(distance[q, v])], names=["query_id", "vec_id", "distance"])

@@ -7,6 +7,8 @@ as commit log, embeddings as vector index, region/nation/supplier as the note gr
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -376,6 +378,32 @@ def vector_confidence(spark, sf_dir):
     return search.with_confidence(hits, 0.6).select("query_id", "vec_id", "rank", "confidence", "all_low")
 
 
+def _cells(spark, sf_dir):
+    from ..operators.cells import CellIndex
+    from ..operators.lineage import folder
+
+    own = CellIndex(spark, f"{folder(spark)}/cells-{uuid.uuid4().hex}")
+    own.build(table(spark, sf_dir, "embeddings"))
+    return own
+
+
+@query(f"SELECT query_id, vec_id, round(d, 6) + 0.0 AS distance, rank::INT AS rank FROM ({_top_sql(5)})")
+def vector_index_exact(spark, sf_dir):
+    """The cell index with its second pass: the exact neighbours, from the cells that can hold them."""
+    hits = _cells(spark, sf_dir).search(_asked(spark, sf_dir), 5, exact=True)
+    return hits.select("query_id", "vec_id", (F.round("distance", 6) + 0.0).alias("distance"), "rank")
+
+
+@query("SELECT count(*) AS n_queries, true AS recall_reached FROM embeddings WHERE vec_id % 50 = 0")
+def vector_index_recall(spark, sf_dir):
+    """The cell index without it, reading as many cells as its build has measured: whether nine tenths of the exact neighbours are found in the nearest cells."""
+    asked = _asked(spark, sf_dir)
+    near = _cells(spark, sf_dir).search(asked, 5).select("query_id", "vec_id", F.lit(1).alias("found"))
+    exact = search.top_k(asked, table(spark, sf_dir, "embeddings"), 5)
+    sums = exact.join(near, ["query_id", "vec_id"], "left").agg(F.count_distinct("query_id").alias("n_queries"), (F.coalesce(F.sum("found"), F.lit(0)) / F.count(F.lit(1))).alias("recall"))
+    return sums.select("n_queries", (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
 @query("""
     WITH q AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM benchmark), qt AS (SELECT item_id, term, count(*) AS tf FROM q GROUP BY ALL),
     d AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents), dt AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL),

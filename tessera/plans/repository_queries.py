@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
@@ -117,13 +117,9 @@ def graph_nodes(spark, sf_dir):
     SELECT path, row_number() OVER (ORDER BY walk, kind) AS walk FROM every""")
 def node_order(spark, sf_dir):
     """The place of every node in the walk: a file, then its folder if that is new, then the folders above."""
-    from ..operators.lineage import checkpoint
+    from ..operators import graph
 
-    rows = checkpoint(_nodes(spark, sf_dir).repartitionByRange("ord").sortWithinPartitions("ord").select("path", "ord", F.spark_partition_id().alias("part")))
-    before = rows.groupBy("part").count().select(F.col("part").alias("other"), "count")
-    offset = rows.select("part").distinct().join(F.broadcast(before), F.col("other") < F.col("part"), "left").groupBy("part").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("offset"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy("ord"))
-    return rows.withColumn("place", place).join(F.broadcast(offset), "part").select("path", (F.col("place") + F.col("offset")).alias("walk"))
+    return graph.walk(_nodes(spark, sf_dir))
 
 
 @query(f"""WITH {_NODES_SQL}

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from tessera.functions import paths as P
 from tessera.functions import text as T
@@ -210,3 +211,41 @@ def test_sparse_search_takes_long_texts_in_linear_time(spark):
     assert time.time() - began < 20
     n = [20_000 // 7919 + (k < 20_000 % 7919) for k in range(7919)]
     assert found == [(2, 1, 0.0), (1, 2, round(1 - (n[1] + n[2]) / (2**0.5 * sum(x * x for x in n) ** 0.5), 6))]
+
+
+def test_numbering_in_partitions(spark):
+    from tessera.operators import ordering
+
+    rows = spark.range(0, 1_000_000, 1, 16).select(((F.col("id") * 7919) % 1_000_003).alias("x"), F.lit("z").alias("part"))
+    found = ordering.numbered(rows, "x", name="ord")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SinglePartition" not in plan
+    sums = found.agg(F.count_distinct("ord").alias("n"), F.min("ord").alias("low"), F.max("ord").alias("high")).first()
+    assert (sums.n, sums.low, sums.high) == (1_000_000, 1, 1_000_000)
+    falls = found.withColumn("before", F.lag("x").over(Window.partitionBy(F.floor(F.col("ord") / 1000)).orderBy("ord"))).filter("before >= x").count()
+    assert falls == 0 and ordering.numbered(rows.limit(0), "x").count() == 0
+    assert [r.pos for r in ordering.numbered(spark.createDataFrame([(1,)] * 3, "x long"), "x", start=5).orderBy("pos").collect()] == [5, 6, 7]
+
+
+def test_cells_against_all_vectors(spark, tmp_path):
+    import numpy as np
+    from tessera.operators import cells, search
+
+    rng = np.random.default_rng(3)
+    middle = rng.normal(size=(30, 16))
+    rows = [(k, [float(x) for x in middle[k % 30] + 0.4 * rng.normal(size=16)]) for k in range(3000)]
+    rows += [(3001, rows[5][1]), (3002, [0.0] * 16), (3003, None), (3004, [1.0]), (3005, [None] * 16), (None, rows[7][1])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    asked = vectors.filter("vec_id % 50 = 0 OR vec_id > 3000").withColumnRenamed("vec_id", "query_id")
+    own = cells.CellIndex(spark, str(tmp_path / "cells"))
+    assert own.build(vectors, cells=40) == 40 and own.vectors().count() == 3002
+    exact = search.top_k(asked.filter("size(embedding) = 16"), vectors.filter("size(embedding) = 16"), 5)
+    listed = lambda df: sorted((r.query_id, r.rank, r.vec_id if r.query_id != 3002 else None, round(r.distance, 6)) for r in df.collect())
+    assert listed(own.search(asked, 5, exact=True)) == listed(exact)
+    near = {(r.query_id, r.vec_id) for r in own.search(asked, 5).collect()}
+    every = {(r.query_id, r.vec_id) for r in exact.collect()}
+    assert own.cells().first().probes < 20 and len(near & every) >= 0.9 * len(every)
+    one = vectors.filter("vec_id = 50").withColumnRenamed("vec_id", "query_id")
+    plan = own.vectors().filter(F.col("cell").isin([3, 4]))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell" in plan and {r.vec_id for r in own.search(one, 1, probes=1).collect()} == {50}
+    assert own.build(vectors.limit(0)) == 0 and own.search(asked).count() == 0 and own.search(asked, exact=True).count() == 0
