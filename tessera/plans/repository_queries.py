@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as T
-from .catalogue import query, table
+from .catalogue import ORACLES, query, table
 
 
 def number() -> Column:
@@ -249,6 +249,23 @@ def index_lifecycle(spark, sf_dir):
     return own.rows().drop("embedding")
 
 
+@query(ORACLES["index_lifecycle"])
+def index_upkeep(spark, sf_dir):
+    """The same index by another way: files that are removed, added again and compacted between."""
+    from ..operators.index import HashingEmbedder, VectorIndex, embedded
+    from ..operators.lineage import folder
+
+    own = VectorIndex(spark, f"{folder(spark)}/index-{uuid.uuid4().hex}", HashingEmbedder(16), most_versions=2)
+    both = embedded(_questions(spark, sf_dir, " do?"), own.embedder).unionByName(embedded(_questions(spark, sf_dir, " need?"), own.embedder))
+    docs = table(spark, sf_dir, "documents").select("lang", F.concat("source", F.lit("/d"), number(), F.lit(".py")).alias("path"))
+    own.upsert(both)
+    own.delete_files(docs.filter("lang IN ('en', 'fr')"))
+    own.delete_files(docs.filter("lang IN ('es', 'de')"), both)
+    own.delete_files(docs.filter("lang = 'de'"))
+    own.compact(1)
+    return own.rows().drop("embedding")
+
+
 @query("""
     WITH c AS (SELECT doc_id, source || '/d' || doc_id || CASE doc_id % 4 WHEN 3 THEN '.txt' ELSE '.py' END AS path, CASE WHEN doc_id % 5 = 0 THEN 'D' WHEN doc_id % 5 = 1 THEN 'A' ELSE 'M' END AS status FROM documents WHERE source <> 'src2')
     SELECT path, CASE WHEN status = 'D' THEN 'deleted' WHEN doc_id % 2 = 0 THEN 'modified' ELSE 'new' END AS action FROM c WHERE path LIKE '%.py'""")

@@ -249,3 +249,48 @@ def test_cells_against_all_vectors(spark, tmp_path):
     plan = own.vectors().filter(F.col("cell").isin([3, 4]))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [cell" in plan and {r.vec_id for r in own.search(one, 1, probes=1).collect()} == {50}
     assert own.build(vectors.limit(0)) == 0 and own.search(asked).count() == 0 and own.search(asked, exact=True).count() == 0
+
+
+def test_index_versions_are_merged_and_only_full_buckets_rewritten(spark, tmp_path):
+    from tessera.operators import index
+
+    own = index.VectorIndex(spark, str(tmp_path / "i"), index.HashingEmbedder(8), buckets=8, most_versions=100)
+    paths = [f"f{k}.py" for k in range(60)]
+    made = lambda names, said: index.embedded(spark.createDataFrame([(n, 1, 2, f"{said} {n}?") for n in names], "rel_path string, start_line int, end_line int, question string"), own.embedder)
+    gone = lambda names: spark.createDataFrame([(n,) for n in names], "path string")
+    held = lambda: sorted((r.file_path, r.question) for r in own.rows().collect())
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in (tmp_path / "i" / "rows").rglob("*.parquet")}
+    assert own.rows().count() == 0 and own.replace(made(paths, "a")) == 60
+    expected = {n: {f"a {n}?"} for n in paths}
+    for step in range(4):
+        some, other = paths[step::7], paths[step::9]
+        before = files()
+        own.upsert(made(some, f"b{step}"))
+        own.delete_files(gone(other), made(other[:2], f"c{step}"))
+        assert before.items() <= files().items()  # nothing written before is touched
+        for n in some:
+            expected[n].add(f"b{step} {n}?")
+        for k, n in enumerate(other):
+            expected[n] = {f"c{step} {n}?"} if k < 2 else set()
+    every = sorted((n, q) for n, qs in expected.items() for q in qs)
+    assert held() == every
+    own.delete_files(gone(["f1.py"]))
+    own.upsert(made(["f1.py"], "d"))
+    expected["f1.py"] = {"d f1.py?"}
+    every = sorted((n, q) for n, qs in expected.items() for q in qs)
+    versions = own._read("rows", index.SCHEMA, own._state()).select("bucket", "seq").union(own._read("removed", "file_path string", own._state()).select("bucket", "seq"))
+    most = max(r.n for r in versions.groupBy("bucket").agg(F.count_distinct("seq").alias("n")).collect()) - 1
+    before = files()
+    full = own.compact(most)
+    assert held() == every and full and set(full) < set(range(8))
+    kept = {p for p in before if int(p.split("bucket=")[1].split("/")[0]) not in full}
+    assert kept and all(files().get(p) == before[p] for p in kept)
+    new = set(files()) - set(before)
+    assert {int(p.split("bucket=")[1].split("/")[0]) for p in new} == set(full)
+    # what a run that was cut off has left is replaced by the next write
+    version = own.meta()["version"] + 1
+    own._bucketed(made(["lost.py"], "x").select(*index.COLUMNS), [0] * 8).write.partitionBy("bucket").parquet(str(tmp_path / f"i/rows/seq={version}"))
+    assert held() == every
+    own.delete_files(gone(["none.py"]))
+    assert held() == every and own.compact(0) == list(range(8)) and held() == every
+    assert {p.name for p in (tmp_path / "i/rows").iterdir()} >= {f"seq={own.meta()['version']}"} and len(list((tmp_path / "i/rows").iterdir())) <= 2
