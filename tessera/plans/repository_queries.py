@@ -160,6 +160,38 @@ def note_extra_fields(spark, sf_dir):
     return found.select("path", F.md5("content").alias("note_md5"))
 
 
+def _snapshot(spark, sf_dir, second: bool) -> DataFrame:
+    """Scripts that import the document with the next id, with the document's whole text as a comment.
+
+    The first snapshot has no Spanish files and its French ones import the next but one; the second lacks one source.
+    """
+    path = F.concat("lang", F.lit("/"), "source", F.lit("/d"), number())
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", path.alias("path"), F.translate("text", "'\"`*/", "").alias("text"))
+    step = F.lit(1) if second else F.when(F.col("lang") == "fr", 2).otherwise(1)
+    other = docs.select(F.col("doc_id").alias("next"), F.col("path").alias("other"))
+    rows = docs.withColumn("next", F.col("doc_id") + step).join(other, "next", "left")
+    said = F.concat(F.coalesce(F.concat(F.lit("import a from '../../"), "other", F.lit("'\n")), F.lit("")), F.lit("/* "), "text", F.lit(" */\n"))
+    return rows.filter("source <> 'src2'" if second else "lang <> 'es'").select(F.concat("path", F.lit(".js")).alias("rel_path"), said.alias("text"))
+
+
+@query("""
+    WITH f AS (SELECT doc_id, lang, lang || '/' || source AS folder, lang || '/' || source || '/d' || doc_id || '.js' AS path FROM documents WHERE source <> 'src2')
+    SELECT 'import' AS kind, f.path AS src, g.path AS dst, NULL::BIGINT AS pos FROM f JOIN f AS g ON g.doc_id = f.doc_id + 1
+    UNION ALL SELECT 'child', folder, path, row_number() OVER (PARTITION BY folder ORDER BY path) FROM f
+    UNION ALL SELECT 'child', lang, folder, row_number() OVER (PARTITION BY lang ORDER BY folder) FROM (SELECT DISTINCT lang, folder FROM f)""")
+def graph_upkeep(spark, sf_dir):
+    """The graph of a first snapshot of the documents, brought up to a second one by the change set between them."""
+    from ..operators import changes, languages
+    from ..operators import graph_upkeep as upkeep
+
+    first, second = (_snapshot(spark, sf_dir, x) for x in (False, True))
+    digests = lambda rows: rows.select(F.col("rel_path").alias("path"), F.md5("text").alias("digest"))
+    before = upkeep.build(languages.supported(first), first).settled()
+    after = upkeep.advance(before, changes.change_set(digests(first), digests(second)), languages.supported(second))
+    edges = after.edges.select(F.lit("import").alias("kind"), "src", "dst", F.lit(None).cast("long").alias("pos"))
+    return edges.unionByName(after.children.select(F.lit("child").alias("kind"), "src", "dst", "pos"))
+
+
 # --- sources, chunks and cost ----------------------------------------------------------------------
 
 

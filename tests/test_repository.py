@@ -294,3 +294,42 @@ def test_index_versions_are_merged_and_only_full_buckets_rewritten(spark, tmp_pa
     own.delete_files(gone(["none.py"]))
     assert held() == every and own.compact(0) == list(range(8)) and held() == every
     assert {p.name for p in (tmp_path / "i/rows").iterdir()} >= {f"seq={own.meta()['version']}"} and len(list((tmp_path / "i/rows").iterdir())) <= 2
+
+
+def test_graph_kept_by_change_sets_equals_a_full_build(spark):
+    import random
+
+    from tessera.operators import changes, graph_upkeep
+
+    rng = random.Random(4)
+    folders = ["a", "a/b", "a/b/c", "d", "", "e/f"]
+    names = [f"{f}/{n}".lstrip("/") for f in folders for n in ("x.js", "y.ts", "z.py", "index.js", "m.go")]
+
+    def text(path):
+        up = "../" * path.count("/")
+        if path.endswith(".py"):
+            return "".join(f"from {rng.choice(['a', 'a.b', 'e.f', 'd'])}.{rng.choice('xyz')} import q\n" for _ in range(2))
+        return "".join(f"import k from './{up}{rng.choice(folders)}{rng.choice(['', '/x', '/y', '/none'])}'\n" for _ in range(3))
+
+    def tables(repo):
+        df = spark.createDataFrame(sorted(repo.items()), "rel_path string, text string")
+        return languages.supported(df), df.select("rel_path"), df.select(F.col("rel_path").alias("path"), F.md5("text").alias("digest"))
+
+    def listed(g):
+        rows = lambda df: sorted(map(tuple, df.collect()))
+        return [rows(g.paths), rows(g.folders), rows(g.edges.select("src", "dst", "pos")), rows(g.children), rows(g.wanted.select("src", "pos", "raw"))]
+
+    repo = {n: text(n) for n in rng.sample(names, 16)}
+    files, every, before = tables(repo)
+    kept = graph_upkeep.build(files, every).settled()
+    all_nodes = graph.nodes(files.withColumn("parts", F.split("rel_path", "/")), *[spark.createDataFrame([], "path string, summary string")] * 2)
+    assert sorted(map(tuple, graph.child_edges(all_nodes).select("src", "dst", "dst_type", "pos").collect())) == listed(kept)[3]
+    for _ in range(2):
+        for n in rng.sample(sorted(repo), 4):
+            del repo[n]
+        repo |= {n: text(n) for n in rng.sample(names, 6)}
+        files, every, now = tables(repo)
+        kept = graph_upkeep.advance(kept, changes.change_set(before, now), files).settled()
+        before = now
+        assert listed(kept) == listed(graph_upkeep.build(files, every))
+    assert listed(graph_upkeep.advance(kept, changes.change_set(now, now), files)) == listed(kept)
