@@ -18,6 +18,11 @@ SYNC_LOG_HEADING = "## 🔄 Sync Log"
 _WHITE = r"(?U)\s"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used in lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """All white space off both ends, not spaces only."""
     return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
@@ -31,6 +36,11 @@ def lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def split_lines(text: Column) -> Column:
+    """Lines however they end: by any line or paragraph separator, not by a newline only."""
+    return F.split(text, r"\r\n|[\n\x0B\f\r\x1C-\x1E\u0085\u2028\u2029]")
+
+
 def head(text: Column, n: int = SUMMARY_INPUT) -> Column:
     return F.substring(text, 1, n)
 
@@ -56,7 +66,7 @@ def marker(line: Column, markers: Sequence[str] = MARKERS) -> Column:
 
 def questions(reply: Column, ending: str = "?", least: int = LEAST_QUESTION) -> Column:
     """Stripped lines that end with ``ending`` and have more than ``least`` characters."""
-    return F.filter(F.transform(lines(reply), strip), lambda x: x.endswith(ending) & (F.length(x) > least))
+    return F.filter(F.transform(split_lines(reply), strip), lambda x: x.endswith(ending) & (F.length(x) > least))
 
 
 def conflict(reply: Column) -> Column:
@@ -98,6 +108,34 @@ def list_field(note: Column, key: str) -> Column:
     return F.coalesce(items, F.array().cast("array<string>"))
 
 
+def front_matter_map(note: Column) -> Column:
+    """All fields of the front matter, map<string, array<string>>: a scalar is a list of one; empty without front matter.
+
+    A line with ``: `` or a colon at its end begins a field; lines like ``  - x`` up to the next field are items of one
+    without a value of its own; other lines count for nothing. Of fields with one name the last stands. Takes
+    time in proportion to the lines, but for a sort of the fields.
+    """
+    item = lambda x: x.startswith("  - ")
+
+    def starts(every: Column) -> Column:
+        return F.filter(F.transform(every, lambda x, i: F.when(~item(x) & (x.contains(": ") | x.endswith(":")), i)), lambda i: i.isNotNull())
+
+    def field(every: Column, begins: Column, at: Column, nth: Column) -> Column:
+        line = F.get(every, at)
+        value = strip(F.when(line.contains(": "), F.substring(line, F.locate(": ", line) + 2, F.lit(1 << 30))).otherwise(""))
+        after = F.coalesce(F.get(begins, nth + 1), F.size(every))
+        items = F.transform(F.filter(F.slice(every, at + 2, after - at - 1), item), lambda x: F.substring(strip(x), 3, 1 << 30))
+        name = F.regexp_replace(strip(F.substring_index(line, ": ", 1)), ":+$", "")
+        return F.struct(name.alias("name"), at.alias("at"), F.when(value == "", items).otherwise(F.array(value)).alias("values"))
+
+    def last(found: Column) -> Column:
+        kept = F.filter(found, lambda x, i: ~F.get(found, i + 1)["name"].eqNullSafe(x["name"]))
+        return F.map_from_entries(F.transform(kept, lambda x: F.struct(x["name"], x["values"])))
+
+    every = F.filter(split_lines(F.coalesce(strip(front_matter(note)), F.lit(""))), lambda x: x.rlike(r"(?U)\S"))
+    return let(every, lambda e: let(starts(e), lambda s: let(F.array_sort(F.transform(s, lambda at, nth: field(e, s, at, nth))), last)))
+
+
 def wikilinks(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\[\[([^\]]+)\]\]"), 1)
 

@@ -99,6 +99,20 @@ def frontmatter_parse(spark, sf_dir):
     return _noted(spark, sf_dir).select("doc_id", T.scalar_field(note, "type").alias("node_type"), T.scalar_field(note, "path").alias("path"), T.scalar_field(note, "lang").alias("lang"), F.array_join(T.list_field(note, "links"), "|").alias("links"), F.array_join(T.wikilinks(note), "|").alias("wikilinks"))
 
 
+@query("""
+    WITH n AS (SELECT doc_id, source, lang, regexp_replace(regexp_extract(text, '[^\\s]+'), ':', '', 'g') AS word FROM documents)
+    SELECT doc_id, 'type' AS name, 'note' AS found FROM n UNION ALL SELECT doc_id, 'x-' || lang, source || ': ' || doc_id || '|' FROM n UNION ALL SELECT doc_id, 'items', 'a: ' || source || '|' || doc_id FROM n
+    UNION ALL SELECT doc_id, 'empty', '' FROM n UNION ALL SELECT doc_id, 'first-' || word, word FROM n WHERE word <> ''""")
+def frontmatter_map(spark, sf_dir):
+    """Fields with names not known beforehand, one of them named by the text's first word, repeated and empty ones."""
+    word = F.replace(F.regexp_extract("text", r"\S+", 0), F.lit(":"), F.lit(""))
+    named = F.when(word != "", F.concat(F.lit("first-"), word, F.lit(": "), word, F.lit("\n"))).otherwise("")
+    number = F.col("doc_id").cast("string")
+    head = F.concat(F.lit("---\ntype: file\nitems: early\n  - lost\nx-"), "lang", F.lit(": "), "source", F.lit(": "), number, F.lit("|\nitems:\n\n  - a: "), "source", F.lit("\nno field\n  - "), number, F.lit("\nempty: \n"), named, F.lit("type: note\n---\n"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.front_matter_map(F.concat(head, "text")).alias("fields"))
+    return rows.select("doc_id", F.explode("fields").alias("name", "values")).select("doc_id", "name", F.array_join("values", "|").alias("found"))
+
+
 @query(f"""WITH {_NOTED_SQL},
     l AS (SELECT doc_id, regexp_replace(unnest(string_split(substring(note, strpos(note, chr(10) || '---') + 4), chr(10))), '^\\s+|\\s+$', '', 'g') AS line, unnest(generate_series(1, len(string_split(substring(note, strpos(note, chr(10) || '---') + 4), chr(10))))) AS i FROM n),
     h AS (SELECT doc_id, min(i) FILTER (WHERE starts_with(line, '##')) AS h1, list(i ORDER BY i) FILTER (WHERE starts_with(line, '##')) AS hs FROM l GROUP BY doc_id),

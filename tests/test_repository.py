@@ -333,3 +333,22 @@ def test_graph_kept_by_change_sets_equals_a_full_build(spark):
         before = now
         assert listed(kept) == listed(graph_upkeep.build(files, every))
     assert listed(graph_upkeep.advance(kept, changes.change_set(now, now), files)) == listed(kept)
+
+
+def test_front_matter_of_any_fields(spark):
+    notes_ = {
+        "---\ntype: file\nlinks:\n  - a\n  - b: c\nx y: \n  - 1\n---\nbody: no": {"type": ["file"], "links": ["a", "b: c"], "x y": ["1"]},
+        "---\na: 1\n  - lost\na:\n  - 2\nnothing\n  - 3\n---": {"a": ["2", "3"]},
+        "---\r\na: 1\r\nb::\u2028  - 2\n---": {"a": ["1"], "b": ["2"]},
+        "---\n  - x\nurl: http://a: b:\n:\n---": {"url": ["http://a: b:"], "": []},
+        "no front": {}, "---\nopen: 1\n": {}, "---\n---": {}, "": {},
+    }
+    long = "---\n" + "".join(f"k{i % 700}: {i}\n" for i in range(20_000)) + "items:\n" + "".join(f"  - {i}\n" for i in range(20_000)) + "---\n"
+    rows = [*notes_, None, long]
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, note string").select("id", T.front_matter_map(F.col("note")).alias("m"))
+    found = {r.id: r.m for r in df.collect()}
+    assert [found[k] for k in range(len(notes_))] == list(notes_.values()) and found[len(notes_)] == {}
+    last = found[len(rows) - 1]
+    assert len(last) == 701 and last["k5"] == ["19605"] and last["items"][-1] == "19999"
+    reply = spark.createDataFrame([("What is this one?\rAnd what is that?\u2028no\nshort?",)], "r string").select(T.questions(F.col("r")).alias("q")).first().q
+    assert reply == ["What is this one?", "And what is that?"]
