@@ -11,7 +11,9 @@ belong to one task attempt and vanish with it; a lost executor only means a retr
 Defined cases: a null text counts as empty, and empty texts are equal to one another; a
 null id sorts after every id, so it stays only if no copy has an id; of several rows with
 the smallest id exactly one stays; an empty table gives an empty result; extra columns
-don't matter to ``exact_groups`` and are carried by ``exact_dedup``.
+don't matter to ``exact_groups`` and are carried by ``exact_dedup``; bytes that aren't UTF-8
+stay as they are, in texts and in further string columns. The tables tell contents with one
+SHA-256 digest apart, but ``exact_groups`` leads rows to their groups by that digest: there it decides.
 """
 
 from __future__ import annotations
@@ -140,6 +142,20 @@ def _id(value: int | None) -> int:
     return NO_ID if value is None else value
 
 
+def _raw(column: pa.Array) -> pa.Array:
+    """A string column as bytes, any other as it is."""
+    if pa.types.is_string(column.type):
+        return column.view(pa.binary())
+    return column.view(pa.large_binary()) if pa.types.is_large_string(column.type) else column
+
+
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    """The reverse: strings are made of bytes, which need not be UTF-8."""
+    if pa.types.is_string(kind):
+        return pa.array(values, pa.binary()).view(kind)
+    return pa.array(values, pa.large_binary()).view(kind) if pa.types.is_large_string(kind) else pa.array(values, kind)
+
+
 def _local(chunk_bytes: int, carry: bool):
     """Rows of (id, text, other columns) to one record for each distinct content of a chunk.
 
@@ -159,7 +175,7 @@ def _local(chunk_bytes: int, carry: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table()
         for batch in batches:
-            others = list(zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)) if carry else None
+            others = list(zip(*(_raw(c).to_pylist() for c in batch.columns[2:]), strict=True)) if carry else None
             nulls = batch.column(1).is_null().to_pylist() if carry else None
             for k, (row_id, text) in enumerate(zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True)):
                 content = normalise(text)
@@ -198,7 +214,7 @@ def _merge(budget: int):
 
 def _survivors(budget: int, schema: pa.Schema, id_col: str, text_col: str, rows: int = 2000):
     def batch(found: list[dict]) -> pa.RecordBatch:
-        return pa.record_batch([pa.array([x[f.name] for x in found], f.type) for f in schema], schema=schema)
+        return pa.record_batch([_column([x[f.name] for x in found], f.type) for f in schema], schema=schema)
 
     names = [f.name for f in schema if f.name not in (id_col, text_col)]
 
@@ -208,7 +224,7 @@ def _survivors(budget: int, schema: pa.Schema, id_col: str, text_col: str, rows:
             for _, content, row_id, _, payload in table.rows():
                 packed, raw = pickle.loads(payload)
                 others, null = pickle.loads(packed)
-                text = None if null else (content if raw is None else raw).decode("utf-8", "replace")
+                text = None if null else (content if raw is None else raw)
                 found.append(dict(zip(names, others, strict=True)) | {text_col: text, id_col: None if row_id == NO_ID else row_id})
                 if len(found) >= rows:
                     yield batch(found)
@@ -219,10 +235,18 @@ def _survivors(budget: int, schema: pa.Schema, id_col: str, text_col: str, rows:
     return run
 
 
+#: Parts that rows with one id (null, say) are dealt out in.
+_PARTS = 64
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's digest, and a part by its place in the task's input, which a retry reads in the same order."""
+    at = 0
     for batch in batches:
         found = pa.array([hashlib.sha256(normalise(t)).digest() for t in texts(batch.column(1))], pa.binary())
-        yield pa.record_batch([batch.column(0), found], names=["doc_id", "digest"])
+        parts = pa.array([(at + k) % _PARTS for k in range(batch.num_rows)], pa.int32())
+        at += batch.num_rows
+        yield pa.record_batch([batch.column(0), found, parts], names=["doc_id", "digest", "part"])
 
 
 def exact_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", budget: int = 32 << 20, chunk_bytes: int = 16 << 20) -> DataFrame:
@@ -233,14 +257,16 @@ def exact_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         .repartition("digest")
         .mapInArrow(lean(_merge(budget)), "digest binary, keep_id long, group_size long")
     )
-    # Dealt by id after the join, so that Spark may split a hot digest's rows among join tasks.
-    out = rows.mapInArrow(lean(_digests), "doc_id long, digest binary").join(groups, "digest").repartition("doc_id")
-    same = Window.partitionBy("doc_id", "digest").orderBy("keep_id")
+    # Dealt by id after the join, so that Spark may split a hot digest's rows among join tasks. Of rows with one id
+    # and text the first of each part is found, and then the first of these, so no id's rows meet in one task.
+    out = rows.mapInArrow(lean(_digests), "doc_id long, digest binary, part int").join(groups, "digest").repartition("doc_id", "part")
+    out = out.withColumn("first", F.row_number().over(Window.partitionBy("doc_id", "digest", "part").orderBy("keep_id")) == 1)
+    again = Window.partitionBy("doc_id", "digest", F.when(F.col("first"), -1).otherwise(F.col("part"))).orderBy("part")
     return out.select(
         "doc_id",
         "keep_id",
         "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.row_number().over(same) == 1)).alias("kept"),
+        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("first") & (F.row_number().over(again) == 1)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 

@@ -52,3 +52,27 @@ def test_rows_that_stay_keep_their_columns(spark):
     assert sorted([(r.doc_id, r.text, r.n) for r in kept.collect()], key=repr)[:2] == sorted([(1, "a  b", 1.5), (10, "x", 15.0)], key=repr)
     assert kept.count() == 8
     assert X.exact_dedup(df.limit(0)).count() == 0 and X.exact_groups(df.limit(0)).count() == 0
+
+
+def test_many_rows_without_an_id_are_spread_and_one_of_each_stays(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(0, 100_000, 1, 6).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 3 == 0, "same").otherwise(F.concat(F.lit("t"), (F.col("id") % 1000).cast("string"))).alias("text"))
+    df = df.union(spark.createDataFrame([(7, "t1"), (7, "t1"), (8, "t1")], "doc_id long, text string"))
+    out = X.exact_groups(df)
+    sums = out.groupBy("text_sha256").agg(F.sum(F.col("kept").cast("int")).alias("kept"), F.count(F.lit(1)).alias("n"), F.max("group_size").alias("size"), F.max("keep_id").alias("keep")).collect()
+    assert len(sums) == len({"same", *(f"t{i % 1000}" for i in range(100_000) if i % 3)}) and all(r.kept == 1 and r.n == r.size for r in sums)
+    assert {r.keep for r in sums} == {None, 7}
+    assert out.count() == 100_003
+
+
+def test_bytes_that_are_not_utf8_stay(spark):
+    from pyspark.sql import functions as F
+
+    raw = [b"\xff  a", b"\xff a", b"\xc3", b"\xef\xbf\xbd a"]
+    df = spark.createDataFrame([(k, bytearray(t), bytearray(b"\xfe" + t)) for k, t in enumerate(raw)], "doc_id long, a binary, b binary").select("doc_id", F.col("a").cast("string").alias("text"), F.col("b").cast("string").alias("lang"))
+    for options in ({}, {"budget": 10, "chunk_bytes": 5}):
+        rows = X.exact_dedup(df, **options).select("doc_id", F.col("text").cast("binary").alias("a"), F.col("lang").cast("binary").alias("b")).collect()
+        assert sorted((r.doc_id, bytes(r.a), bytes(r.b)) for r in rows) == [(k, raw[k], b"\xfe" + raw[k]) for k in (0, 2, 3)]
+    found = {r.doc_id: (r.keep_id, r.text_sha256) for r in X.exact_groups(df).collect()}
+    assert found[1] == found[0] == (0, hashlib.sha256(raw[1]).hexdigest()) and found[3][0] == 3
