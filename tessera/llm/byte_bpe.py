@@ -20,6 +20,7 @@ import struct
 from array import array
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 
 from .words import lean, pieces, strings
 
-_CACHED = 100_000  # pre-tokens that a worker remembers, of 64 characters at most
+_CACHED = 200_000  # pre-tokens that a worker remembers, of 64 characters at most
+_AT_ONCE = 1 << 20  # characters of a text whose pre-tokens are listed at once; of a longer one they are streamed
 _SHIFT = 0x100
 
 
@@ -81,33 +83,44 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         model, self.tokens = serialise(ranks)
-        self.ranks, self.find = ranks, regex.compile(pattern).finditer
+        self.ranks, found = ranks, regex.compile(pattern)
+        self.find, self.list = found.finditer, None if found.groups else found.findall
         self.ids_of = [ranks[t] for t in self.tokens]
         self.bytes_of = {ranks[t]: t for t in self.tokens}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.cache: dict[str, tuple[int, ...]] = {}
-
-    def pretoken(self, text: str) -> tuple[int, ...]:
-        raw = text.encode("utf-8", "surrogateescape")
-        whole = self.ranks.get(raw)
-        ids = (whole,) if whole is not None else tuple(self.ids_of[i] for i in self.model.encode(mapped(raw)))
-        if len(text) <= 64:
-            if len(self.cache) >= _CACHED:
-                self.cache.clear()
-            self.cache[text] = ids
-        return ids
+        self.cache: dict[str, bytes] = {}
+
+    def pretokens(self, texts: list[str]) -> dict[str, bytes]:
+        """The packed ids of pre-tokens, those that aren't vocabulary entries by one call of the library."""
+        raw = [t.encode("utf-8", "surrogateescape") for t in texts]
+        whole = [self.ranks.get(x) for x in raw]
+        split = iter(self.model.encode([mapped(x) for x, w in zip(raw, whole, strict=True) if w is None], num_threads=1))
+        ids_of = self.ids_of
+        found = {t: array("i", (w,) if w is not None else [ids_of[i] for i in next(split)]).tobytes() for t, w in zip(texts, whole, strict=True)}
+        short = {t: ids for t, ids in found.items() if len(t) <= 64}
+        if len(self.cache) + len(short) > _CACHED:
+            self.cache.clear()
+        self.cache.update(short)
+        return found
 
     def encode(self, text: str) -> list[int]:
-        return self.packed(text).tolist()
+        return np.frombuffer(self.packed(text), dtype=np.int32).tolist()
 
-    def packed(self, text: str) -> array:
+    def packed(self, text: str) -> bytes:
         """The ids of a text, four bytes each."""
-        cache, out = self.cache, array("i")
-        for m in self.find(text):
-            pretoken = m[0]
-            ids = cache.get(pretoken)
-            out.extend(self.pretoken(pretoken) if ids is None else ids)
-        return out
+        if self.list and len(text) <= _AT_ONCE:
+            return self._joined(self.list(text))
+        out, rest = bytearray(), (m[0] for m in self.find(text))
+        while some := list(islice(rest, 1 << 16)):
+            out += self._joined(some)
+        return bytes(out)
+
+    def _joined(self, tokens: list[str]) -> bytes:
+        parts = list(map(self.cache.get, tokens))
+        if None in parts:
+            new = self.pretokens(list(dict.fromkeys(t for t, ids in zip(tokens, parts, strict=True) if ids is None)))
+            parts = [new[t] if ids is None else ids for t, ids in zip(tokens, parts, strict=True)]
+        return b"".join(parts)
 
     def decode(self, ids: Sequence[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -132,10 +145,10 @@ def encode(df: DataFrame, *, vocabulary: str, pattern: str | None = None, id_col
             column = batch.column(1)
             for first, last in pieces(column, 1 << 19):
                 ids = [own.packed(t or "") for t in strings(column[first:last], "surrogateescape")]
-                n = np.array([len(x) for x in ids], dtype=np.int64)
-                flat = np.frombuffer(b"".join(x.tobytes() for x in ids), dtype=np.int32)
+                n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+                flat = np.frombuffer(b"".join(ids), dtype=np.int32)
                 offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                decoded = pa.array([own.decode(x) for x in ids], pa.binary())
+                decoded = pa.array([own.decode(np.frombuffer(x, dtype=np.int32).tolist()) for x in ids], pa.binary())
                 yield pa.record_batch([batch.column(0)[first:last], pa.array(n), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), decoded], schema=schema)
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, n_tokens long, ids array<int>, decoded binary")

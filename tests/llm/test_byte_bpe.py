@@ -34,3 +34,15 @@ def test_dataframe_with_nulls_clashing_columns_and_no_rows(spark):
     out = {(r.doc_id, r.n_tokens, bytes(r.decoded)) for r in byte_bpe.encode(df, vocabulary=VOCABULARY).collect()}
     assert (2, 0, b"") in out and (3, 0, b"") in out and any(i == 1 and d == b"Hello world" for i, _, d in out)
     assert byte_bpe.encode(df.limit(0), vocabulary=VOCABULARY).count() == 0
+
+
+def test_long_texts_equal_the_library():
+    """A megabyte without a space, of one letter, of ordinary words, and beyond what is listed at once."""
+    import random
+
+    own, other, rng = byte_bpe.codec(VOCABULARY), reference(), random.Random(3)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 9)))
+    for text in ("".join(rng.choice("etaoinshrdluéü") for _ in range(1_000_000)), "a" * 1_000_000, " ".join(word() for _ in range(180_000)), "\n".join(word() for _ in range(250_000))):
+        ids = own.encode(text)
+        assert ids == other.encode_ordinary(text)
+        assert own.decode(ids) == text.encode()
