@@ -54,6 +54,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & F.col("kept")).alias("kept"), "failures")
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy does by itself, from the ledger of all documents."""
+    return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents")), quality_rules.POLICIES["web-1"])
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"), vocabulary=VOCABULARY).select(
         "doc_id",
@@ -90,6 +95,7 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_fill_middle": op11_fill_middle,
     "op12_license_scan": op12_license_scan,
+    "rule_ablations": rule_ablations,
 }
 
 _MEASURES_SQL = r"""
@@ -117,6 +123,16 @@ def _rules_sql() -> str:
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & {base}) <> 0 AS base_failed, (failures & {mask}) = 0 AS kept, failures FROM b"""
 
 
+def _ablations_sql() -> str:
+    policy = quality_rules.POLICIES["web-1"]
+    bits = " + ".join(f"CASE WHEN {rule} THEN {quality_rules.BIT[name]} ELSE 0 END" for name, rule in quality_rules.RULES)
+    rules = ", ".join(f"('{name}', {quality_rules.BIT[name]}::BIGINT)" for name in policy.rules)
+    return f"""{_MEASURES_SQL},
+        b AS (SELECT ({bits})::BIGINT & {policy.mask} AS bits FROM m)
+        SELECT rule, count(*) AS n_docs, count(*) FILTER (WHERE bits & bit <> 0) AS n_failed, count(*) FILTER (WHERE bits = bit) AS n_failed_alone, count(*) FILTER (WHERE bits & ~bit = 0) AS n_kept_without
+        FROM b, (VALUES {rules}) AS r(rule, bit) GROUP BY rule"""
+
+
 def _licenses_sql() -> str:
     of = license_scan.templates()
     listed = ", ".join(f"({n}, '{label}', {base}, {k}, {gap}, {len(words) - k + 1}, {words!r})" for n, label, base, k, gap, words in of)
@@ -163,4 +179,5 @@ ORACLES = {
         SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
             sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p""",
     "op12_license_scan": _licenses_sql(),
+    "rule_ablations": _ablations_sql(),
 }

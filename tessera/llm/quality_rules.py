@@ -97,14 +97,14 @@ def apply_policy(rows: DataFrame, policy: Policy) -> DataFrame:
 def ablations(rows: DataFrame, policy: Policy) -> DataFrame:
     """For each rule of the policy: documents that fail it, that fail it alone, and that stay without it.
 
-    One aggregation over at most 2^rules masked values, then a join with the bounded rule list.
+    One aggregation over at most 2^rules masked values, each of which then gets a row for each rule of the policy.
     """
-    spark = rows.sparkSession
     masks = rows.groupBy(F.col("failures").bitwiseAND(F.lit(policy.mask)).alias("bits")).agg(F.count(F.lit(1)).alias("n"))
-    rules = spark.createDataFrame([(r, BIT[r]) for r in policy.rules], "rule string, bit long")
+    rules = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(BIT[r]).cast("long").alias("bit")) for r in policy.rules])
     total = F.sum("n")
     return (
-        masks.join(F.broadcast(rules))
+        masks.select("bits", "n", F.explode(rules).alias("r"))
+        .select("bits", "n", "r.rule", "r.bit")
         .groupBy("rule")
         .agg(
             total.alias("n_docs"),
