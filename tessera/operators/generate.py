@@ -14,12 +14,14 @@ from collections.abc import Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as T
 from . import lookups
+from .lineage import checkpoint
 
 ATTEMPTS = 3
 PAUSES = (1.0, 2.0)
@@ -89,44 +91,88 @@ def call(generator: TextGenerator, prompts: Sequence[str], sleep=time.sleep) ->
     raise AssertionError
 
 
-def answers(rows: DataFrame, prompt: Column, generator: TextGenerator, name: str = "reply") -> DataFrame:
-    """``rows`` with the generator's answers; as many tasks as it takes calls at once.
+class AnswerStore:
+    """Answers that were given already, in Parquet: a prompt is asked once for each provider and version.
 
-    Answers may differ between calls, so callers write the result down before using it twice.
+    What isn't known yet is asked in rounds of as many tasks as the provider takes calls at once, each of at most
+    ``per_task`` prompts, and every round is appended before the next begins. So a run that is cut off has lost one
+    round at most, a lost task asks its own prompts again, and tasks don't grow with the number of prompts.
     """
 
+    SCHEMA = "key string, reply string"
+
+    def __init__(self, spark: SparkSession, path: str, version: str = "1", per_task: int = 256):
+        self.spark, self.path, self.version, self.per_task = spark, path.rstrip("/"), version, per_task
+
+    def _folder(self, generator: TextGenerator) -> str:
+        name = re.sub(r"[^A-Za-z0-9.-]+", "-", getattr(generator, "name", type(generator).__name__))
+        return f"{self.path}/provider={name}-{self.version}"
+
+    def known(self, generator: TextGenerator) -> DataFrame:
+        try:
+            return self.spark.read.schema(self.SCHEMA).parquet(self._folder(generator)).dropDuplicates(["key"])
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], self.SCHEMA)
+
+    def answered(self, rows: DataFrame, prompt: Column, generator: TextGenerator, name: str) -> DataFrame:
+        """``rows`` with their answers; those that aren't stored yet are asked first."""
+        keyed = rows.withColumn("_key", F.sha2(prompt.cast("binary"), 256))
+        missing = keyed.withColumn("_prompt", prompt).groupBy("_key").agg(F.first("_prompt").alias("_prompt")).join(self.known(generator).select(F.col("key").alias("_key")), "_key", "left_anti")
+        missing = checkpoint(missing)
+        at_once = max(1, generator.concurrency)
+        rounds = -(-missing.count() // (at_once * self.per_task))
+        place = F.pmod(F.xxhash64("_key"), F.lit(max(1, rounds)))
+        for k in range(rounds):
+            asked = missing.filter(place == k).repartition(at_once, "_key")
+            asked.select(F.col("_key").alias("key"), _asked(generator)("_prompt").alias("reply")).write.mode("append").parquet(self._folder(generator))
+        return keyed.join(self.known(generator).select(F.col("key").alias("_key"), F.col("reply").alias(name)), "_key").drop("_key")
+
+
+def _asked(generator: TextGenerator):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in batches:
             yield pd.Series(call(generator, part.tolist()) if len(part) else [], dtype=object)
 
-    asked = F.pandas_udf(run, "string").asNondeterministic()
-    return rows.repartition(generator.concurrency).withColumn(name, asked(prompt))
+    return F.pandas_udf(run, "string").asNondeterministic()
+
+
+def answers(rows: DataFrame, prompt: Column, generator: TextGenerator, name: str = "reply", store: AnswerStore | None = None) -> DataFrame:
+    """``rows`` with the generator's answers, from ``store`` as far as it knows them.
+
+    Without a store there are as many tasks as the provider takes calls at once, and answers may differ between calls,
+    so callers write the result down before using it twice.
+    """
+    if store is not None:
+        return store.answered(rows, prompt, generator, name)
+    return rows.repartition(generator.concurrency).withColumn(name, _asked(generator)(prompt))
 
 
-def file_summaries(files: DataFrame, generator: TextGenerator) -> DataFrame:
+def file_summaries(files: DataFrame, generator: TextGenerator, store: AnswerStore | None = None) -> DataFrame:
     """(path, summary) of files (rel_path, text) that aren't blank; the first 12,000 characters count."""
     readable = files.filter(F.col("text").isNotNull() & ~T.is_blank(F.col("text")))
     prompt = F.concat(F.lit("SUMMARISE the purpose of the file "), "rel_path", F.lit(" for someone new to the project.\n===\n"), T.head(F.col("text")))
-    return answers(readable.select("rel_path", "text"), prompt, generator, "summary").select(F.col("rel_path").alias("path"), "summary")
+    return answers(readable.select("rel_path", "text"), prompt, generator, "summary", store).select(F.col("rel_path").alias("path"), "summary")
 
 
-def directory_summaries(summaries: DataFrame, generator: TextGenerator) -> DataFrame:
+def directory_summaries(summaries: DataFrame, generator: TextGenerator, store: AnswerStore | None = None) -> DataFrame:
     """(path, summary) of directories from the summaries of their own files; the root is left out."""
     rows = summaries.withColumn("folder", P.parent(F.col("path"))).filter("folder <> '.'")
     grouped = lookups.joined_summaries(rows, "folder", "path", "summary")
     prompt = F.concat(F.lit("SUMMARISE the directory "), "folder", F.lit(" from its files.\n===\n"), "text")
-    return answers(grouped, prompt, generator, "summary").select(F.col("folder").alias("path"), "summary")
+    return answers(grouped, prompt, generator, "summary", store).select(F.col("folder").alias("path"), "summary")
 
 
-def chunk_questions(chunks: DataFrame, generator: TextGenerator) -> DataFrame:
+def chunk_questions(chunks: DataFrame, generator: TextGenerator, store: AnswerStore | None = None) -> DataFrame:
     """Chunks (rel_path, start_line, end_line, text) with one row for each question that a chunk answers."""
     prompt = F.concat(F.lit("QUESTIONS that this code answers, one a line.\n===\n"), "text")
-    replied = answers(chunks.filter(~T.is_blank(F.col("text"))), prompt, generator)
+    replied = answers(chunks.filter(~T.is_blank(F.col("text"))), prompt, generator, store=store)
     return replied.select("rel_path", "start_line", "end_line", F.explode(T.questions(F.col("reply"))).alias("question"))
 
 
-def judged(rows: DataFrame, generator: TextGenerator) -> DataFrame:
+def judged(rows: DataFrame, generator: TextGenerator, store: AnswerStore | None = None) -> DataFrame:
     """Rows (path, old, new) with ``conflict`` and ``reason``."""
     prompt = F.concat(F.lit("JUDGE whether the new text contradicts the old one.\n===\n"), "old", F.lit("\n---new---\n"), "new")
-    replied = answers(rows, prompt, generator)
+    replied = answers(rows, prompt, generator, store=store)
     return replied.withColumn("conflict", T.conflict(F.col("reply"))).withColumn("reason", T.reason(F.col("reply"))).drop("reply")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions import text as T
 from . import changes
-from .generate import TextGenerator, judged
+from .generate import AnswerStore, TextGenerator, judged
 from .languages import languages
 
 
@@ -33,11 +33,11 @@ def plan(changed: DataFrame, known: DataFrame, ignored: tuple[str, ...] = ()) ->
     return Plan(changes.new_paths(present, known), changes.modified_paths(present, known), rows.filter("status = 'D'").select("path"))
 
 
-def rewritten(old_notes: DataFrame, new_notes: DataFrame, generator: TextGenerator, date: str, sha: str) -> DataFrame:
+def rewritten(old_notes: DataFrame, new_notes: DataFrame, generator: TextGenerator, date: str, sha: str, store: AnswerStore | None = None) -> DataFrame:
     """(path, content, conflict): for modified files the new note if it contradicts the old one, else the
     old note; either way with a line in its log. Earlier lines of the log are kept."""
     both = new_notes.select("path", F.col("content").alias("new")).join(old_notes.select("path", F.col("content").alias("old")), "path")
-    found = judged(both, generator)
+    found = judged(both, generator, store)
     log = F.regexp_extract("old", rf"(?s)(\n{T.SYNC_LOG_HEADING}\n.*)$", 1)
     note = F.when(F.col("conflict"), F.concat("new", log)).otherwise(F.col("old"))
     verdict = F.when(F.col("conflict"), F.concat(F.lit("rewritten ("), "reason", F.lit(")"))).otherwise("still accurate")

@@ -52,6 +52,7 @@ def main(args: list[str] | None = None) -> int:
     ingest.add_argument("--index", default="index")
     ingest.add_argument("--dry-run", action="store_true")
     ingest.add_argument("--reuse", action="store_true", help="take stored summaries")
+    ingest.add_argument("--explanations", help="take the summaries of this JSON file")
     ingest.add_argument("--no-text", action="store_true", help="notes without generated summaries")
     ingest.add_argument("--frontmatter", nargs="*", default=[], help="key=value pairs")
     ingest.add_argument("--frontmatter-json", help="a JSON object of further front matter")
@@ -76,7 +77,7 @@ def main(args: list[str] | None = None) -> int:
     elif own.dry_run:
         print(engine.dry_run(own.repo))
     else:
-        print(engine.ingest(own.repo, extra=pairs(own.frontmatter) | json_object(own.frontmatter_json), reuse=own.reuse, generate_text=not own.no_text))
+        print(engine.ingest(own.repo, extra=pairs(own.frontmatter) | json_object(own.frontmatter_json), reuse=own.reuse, generate_text=not own.no_text, explanations=own.explanations))
     return 0
 
 

@@ -76,6 +76,10 @@ class Engine:
     def index(self) -> VectorIndex:
         return VectorIndex(self.spark, self.scope.get("index_path"), self.embedder)
 
+    def answers(self) -> generate.AnswerStore:
+        """Where the generator's answers are kept, so that no prompt is asked twice."""
+        return generate.AnswerStore(self.spark, f"{self.scope.get('index_path')}/answers")
+
     def stored_notes(self) -> DataFrame:
         """The notes of the last ingest or upkeep."""
         path = self.scope.get("index_path")
@@ -118,10 +122,10 @@ class Engine:
         row = files.agg(F.count(F.lit(1)).alias("files"), F.count_distinct(F.when(F.col("parent") != ".", F.col("parent"))).alias("dirs")).first()
         return {"files": row.files, "directories": row.dirs, "calls": row.files + row.dirs}
 
-    def ingest(self, source: str | None = None, *, extra: Mapping[str, object] | None = None, reuse: bool = False, generate_text: bool = True) -> dict[str, int]:
+    def ingest(self, source: str | None = None, *, extra: Mapping[str, object] | None = None, reuse: bool = False, generate_text: bool = True, explanations: str | None = None) -> dict[str, int]:
         """Summaries, graph, notes and index of a folder or a remote address.
 
-        ``reuse`` takes stored summaries; ``generate_text`` off makes notes without any.
+        ``reuse`` takes stored summaries, ``explanations`` those of a JSON file; ``generate_text`` off makes notes without any.
         """
         source = source or self.scope.get("repo_root")
         temporary = None
@@ -132,12 +136,14 @@ class Engine:
             guard(source)
             if generate_text and not self.generator.available():
                 raise RuntimeError("the text generator is not available")
-            if reuse and os.path.exists(self._summaries_path()):
+            if explanations:
+                _, by_file, by_dir = summaries.read(explanations)
+            elif reuse and os.path.exists(self._summaries_path()):
                 _, by_file, by_dir = summaries.read(self._summaries_path())
             elif generate_text:
-                made = generate.file_summaries(self.files(source), self.generator).persist(StorageLevel.MEMORY_AND_DISK)
+                made = generate.file_summaries(self.files(source), self.generator, self.answers()).persist(StorageLevel.MEMORY_AND_DISK)
                 by_file = {r.path: r.summary for r in made.collect()}
-                by_dir = {r.path: r.summary for r in generate.directory_summaries(made, self.generator).collect()}
+                by_dir = {r.path: r.summary for r in generate.directory_summaries(made, self.generator, self.answers()).collect()}
                 made.unpersist()
             else:
                 by_file, by_dir = {}, {}
@@ -163,7 +169,7 @@ class Engine:
                 f.write("\n".join(r.message for r in warned))
         questions = 0
         if index:
-            rows = embedded(generate.chunk_questions(self.chunks(root), self.generator), self.embedder)
+            rows = embedded(generate.chunk_questions(self.chunks(root), self.generator, self.answers()), self.embedder)
             questions = (self.index().replace if clear else self.index().upsert)(rows)
         summaries.write(self._summaries_path(), git.head(root), by_file, by_dir)
         return {"notes": self.stored_notes().count(), "warnings": len(warned), "questions": questions}
@@ -251,25 +257,25 @@ class Engine:
             return render.plan(new, modified, deleted)
         touched = self.spark.createDataFrame([(x,) for x in new + modified], "rel_path string")
         files = self.files(root).join(F.broadcast(touched), "rel_path").persist(StorageLevel.MEMORY_AND_DISK)
-        made = {r.path: r.summary for r in generate.file_summaries(files, self.generator).collect()}
+        made = {r.path: r.summary for r in generate.file_summaries(files, self.generator, self.answers()).collect()}
         by_file = {k: v for k, v in by_file.items() if k not in deleted} | made
         folders = sorted({os.path.dirname(p) for p in new + modified + deleted} - {""})
         own = summaries.table(self.spark, by_file, {}).select("path", "summary")
         inside = own.filter(P.parent(F.col("path")).isin(folders)) if folders else own.limit(0)
-        by_dir = {k: v for k, v in by_dir.items() if k not in folders} | {r.path: r.summary for r in generate.directory_summaries(inside, self.generator).collect()}
+        by_dir = {k: v for k, v in by_dir.items() if k not in folders} | {r.path: r.summary for r in generate.directory_summaries(inside, self.generator, self.answers()).collect()}
 
         known = summaries.table(self.spark, by_file, by_dir)
         fresh = self.notes(known.filter("kind = 'file'").select("path", "summary"), known.filter("kind = 'directory'").select("path", "summary"), extra, root).persist(StorageLevel.MEMORY_AND_DISK)
         ids = lambda names: self.spark.createDataFrame([(os.path.splitext(x)[0],) for x in names], "node_path string")
         renamed = lambda rows: rows.select(F.col("node_path").alias("path"), "content")
         old = self.stored_notes()
-        judged = sync.rewritten(renamed(old.join(ids(modified), "node_path", "left_semi")), renamed(fresh.join(ids(modified), "node_path", "left_semi")), self.generator, self.today, now).persist(StorageLevel.MEMORY_AND_DISK)
+        judged = sync.rewritten(renamed(old.join(ids(modified), "node_path", "left_semi")), renamed(fresh.join(ids(modified), "node_path", "left_semi")), self.generator, self.today, now, self.answers()).persist(StorageLevel.MEMORY_AND_DISK)
         n_conflicts = judged.filter("conflict").count()
         logged = judged.select("path", "content").unionByName(sync.added(renamed(fresh.join(ids(new), "node_path", "left_semi")), self.today, now))
         unchanged = old.join(fresh.select("node_path"), "node_path", "left_semi").filter(T.scalar_field(F.col("content"), "type") == "file").join(ids(new + modified), "node_path", "left_anti").select(F.col("node_path").alias("path"), "content")
         own_text = logged.unionByName(unchanged).withColumnsRenamed({"path": "node_path", "content": "own"})
         self._store_notes(fresh.join(own_text, "node_path", "left").select("node_path", "note_path", F.coalesce("own", "content").alias("content")))
-        questions = embedded(generate.chunk_questions(chunks.non_blank(chunks.chunks(files)), self.generator), self.embedder)
+        questions = embedded(generate.chunk_questions(chunks.non_blank(chunks.chunks(files)), self.generator, self.answers()), self.embedder)
         self.index().delete_files(self.spark.createDataFrame([(x,) for x in new + modified + deleted], "path string"), questions)
         summaries.write(self._summaries_path(), now, by_file, by_dir)
         for rows in (files, fresh, judged):

@@ -195,3 +195,44 @@ def test_todos_keep_every_hit_in_order():
 
     text = render.todos(["b.py", "a.py"], [R(file_path="a.py", line_number=3, tag="TODO", text="x")], [])
     assert text.index("### b.py") < text.index("### a.py") and "- no markers" in text and "line 3 [TODO] x" in text
+
+
+def test_a_prompt_is_asked_once(spark, tmp_path):
+    """Over two runs, with repeated prompts, in rounds of few tasks, and from where a run was cut off."""
+    from pyspark.sql import functions as F
+
+    class Counting:
+        concurrency, name = 2, "counting"
+
+        def __init__(self, calls, broken=None):
+            self.calls, self.broken = calls, broken
+
+        def available(self):
+            return True
+
+        def generate(self, prompts):
+            import uuid
+
+            if self.broken and any(self.broken in p for p in prompts):
+                raise OSError("down")
+            (self.calls / uuid.uuid4().hex).write_text("\n".join(prompts))
+            return [f"answer to {p}" for p in prompts]
+
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    asked = lambda: [p for f in calls.iterdir() for p in f.read_text().split("\n")]
+    store = generate.AnswerStore(spark, str(tmp_path / "answers"), per_task=5)
+    rows = spark.range(60).select("id", (F.col("id") % 30).cast("string").alias("p"))
+    with pytest.raises(Exception, match="3 times"):
+        generate.answers(rows, F.concat(F.lit("q"), "p"), Counting(calls, "q7"), store=store)
+    before = len(asked())
+    for _ in range(2):
+        out = generate.answers(rows, F.concat(F.lit("q"), "p"), Counting(calls), store=store).collect()
+        assert len(out) == 60 and all(r.reply == f"answer to q{r.p}" for r in out)
+    assert set(asked()) == {f"q{k}" for k in range(30)} and len(asked()) <= 30 + before
+    known = store.known(Counting(calls)).count()
+    more = rows.union(spark.createDataFrame([(99, "new")], "id long, p string"))
+    n = len(asked())
+    assert generate.answers(more, F.concat(F.lit("q"), "p"), Counting(calls), store=store).count() == 61
+    assert known == 30 and asked().count("qnew") == 1 and len(asked()) == n + 1
+    assert generate.AnswerStore(spark, str(tmp_path / "answers"), version="2").known(Counting(calls)).count() == 0
