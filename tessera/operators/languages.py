@@ -65,6 +65,10 @@ def languages(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(_registered.values()), schema)
 
 
+def suffixes() -> list[str]:
+    return list(_registered)
+
+
 def is_supported(suffix: str) -> bool:
     return suffix in _registered
 

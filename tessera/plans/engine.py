@@ -21,12 +21,12 @@ from ..functions import paths as P
 from ..functions import text as T
 from ..operators import chunks, cost, generate, graph, imports, lookups, markers, notes, sync, traverse
 from ..operators.index import Embedder, HashingEmbedder, VectorIndex, embedded
-from ..operators.languages import supported
+from ..operators.languages import suffixes, supported
 from ..operators.search import MAX_DISTANCE
 from ..operators.urls import REMOTE
 from ..scope import Scope, guard, resolve
 from ..sources import git, summaries
-from ..sources.tree import IGNORED, lenient_text, source_files
+from ..sources.tree import IGNORED, lenient_text, source_files, source_paths
 from . import render
 
 NOTES = "node_path string, note_path string, content string"
@@ -45,10 +45,11 @@ class Engine:
 
     def files(self, root: str | None = None) -> DataFrame:
         """Supported files of the repository with language, importer and chunker."""
-        return supported(source_files(self.spark, root or self.scope.get("repo_root")))
+        return supported(source_files(self.spark, root or self.scope.get("repo_root"), suffixes=suffixes()))
 
     def everything(self, root: str | None = None) -> DataFrame:
-        return source_files(self.spark, root or self.scope.get("repo_root")).select("rel_path")
+        """All paths of the repository; no file is opened."""
+        return source_paths(self.spark, root or self.scope.get("repo_root")).select("rel_path")
 
     def imports(self, root: str | None = None) -> tuple[DataFrame, DataFrame]:
         """Import edges (src, dst, pos) and warnings (rel_path, pos, message)."""
@@ -204,9 +205,10 @@ class Engine:
         Lines are scanned as bytes, so files that aren't UTF-8 count, too.
         """
         names = list(dict.fromkeys(r.file_path for r in self.search(query, n_files).collect()))  # at most n_files
-        root = self.scope.get("repo_root")
+        root = self.scope.get("repo_root").rstrip("/")
+        own = [x.removeprefix(root + "/") for x in names]  # no other file is opened
         wanted = self.spark.createDataFrame([(x,) for x in names], "file_path string").withColumn("full", P.absolute(F.col("file_path"), root))
-        texts = source_files(self.spark, root).withColumn("full", P.absolute(F.col("rel_path"), root)).join(F.broadcast(wanted), "full").select("file_path", lenient_text("content").alias("text"))
+        texts = source_files(self.spark, root, only=own).withColumn("full", P.absolute(F.col("rel_path"), root)).join(F.broadcast(wanted), "full").select("file_path", lenient_text("content").alias("text"))
         found = markers.scan(texts).orderBy("file_path", "line_number").collect()
         return render.todos(names, found, git.commits(self.spark, root, names, n_commits).orderBy("file_path", "ord").collect())
 

@@ -352,3 +352,21 @@ def test_front_matter_of_any_fields(spark):
     assert len(last) == 701 and last["k5"] == ["19605"] and last["items"][-1] == "19999"
     reply = spark.createDataFrame([("What is this one?\rAnd what is that?\u2028no\nshort?",)], "r string").select(T.questions(F.col("r")).alias("q")).first().q
     assert reply == ["What is this one?", "And what is that?"]
+
+
+def test_files_that_are_not_needed_are_not_opened(spark, tmp_path):
+    """A file of 3 GB (without blocks) can be listed but not read into a row."""
+    from tessera.operators.languages import suffixes
+    from tessera.sources.tree import source_paths, suffix
+
+    root = make(tmp_path, {"a.py": "x = 1\n", "b/c.js": "y", "b/d.bin": "", ".env": "", "node_modules/e.py": "", "b/f.": ""})
+    with open(tmp_path / "b/d.bin", "r+b") as f:
+        f.truncate(3 << 30)
+    assert {(r.rel_path, r.n_bytes) for r in source_paths(spark, root).collect()} == {("a.py", 6), ("b/c.js", 1), ("b/d.bin", 3 << 30), (".env", 0), ("b/f.", 0)}
+    assert {r.rel_path for r in source_files(spark, root, suffixes=suffixes()).collect()} == {"a.py", "b/c.js"}
+    only = source_files(spark, root, only=["b/c.js", "none.py", "../x", "node_modules/e.py", "/a.py", "b", "a.py", "a.py"]).collect()
+    assert {(r.rel_path, r.text) for r in only} == {("a.py", "x = 1\n"), ("b/c.js", "y")} and len(only) == 2
+    assert source_files(spark, root, only=[]).count() == 0
+    names = ["a.py", "x/.py", "x/.a.py", "a.", "a", "a.b/c", "a.tar.gz"]
+    found = spark.createDataFrame([(n,) for n in names], "p string").select("p", P.suffix(F.col("p")).alias("s")).collect()
+    assert {r.p: r.s for r in found} == {n: suffix(n) for n in names}
