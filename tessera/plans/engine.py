@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as T
-from ..operators import chunks, cost, generate, graph, imports, lookups, markers, notes, sync, traverse
+from ..operators import changes, chunks, cost, generate, graph, imports, lookups, markers, notes, sync, traverse
 from ..operators.index import Embedder, HashingEmbedder, VectorIndex, embedded
 from ..operators.languages import suffixes, supported
 from ..operators.search import MAX_DISTANCE
@@ -93,14 +93,15 @@ class Engine:
         return int(open(path).read()) if os.path.exists(path) else -1
 
     def _store_notes(self, rows: DataFrame) -> None:
-        """A new version of the notes, then the pointer; files below the note folder follow."""
+        """A new version of the notes, then the pointer; files below the note folder follow as far as they differ."""
         path, number = self.scope.get("index_path"), self._state("notes") + 1
+        before = self.stored_notes() if number else self.spark.createDataFrame([], NOTES)
         rows.select("node_path", "note_path", "content").write.mode("overwrite").parquet(f"{path}/notes-{number}")
         with open(f"{path}/notes.version.new", "w") as f:
             f.write(str(number))
         os.replace(f"{path}/notes.version.new", f"{path}/notes.version")
         shutil.rmtree(f"{path}/notes-{number - 2}", ignore_errors=True)
-        export_notes(self.stored_notes(), self.scope.get("vault_root"))
+        export_notes(self.stored_notes(), before, self.scope.get("vault_root"))
 
     def _summaries_path(self) -> str:
         return f"{self.scope.get('vault_root').rstrip('/')}.summaries.json"
@@ -285,20 +286,26 @@ class Engine:
         return f"{len(modified)} modified ({n_conflicts} rewritten), {len(new)} new, {len(deleted)} deleted; now at {now[: T.SHORT_SHA]}."
 
 
-def export_notes(rows: DataFrame, folder: str) -> None:
-    """One markdown file for each note below a folder that executors can write; files of notes that are gone are removed."""
+def export_notes(rows: DataFrame, before: DataFrame, folder: str) -> None:
+    """One markdown file for each note below a folder that executors can write.
+
+    Written are notes that differ from the version before and files that are missing; files of notes that are gone
+    are removed. Other files are left alone.
+    """
+    digests = lambda notes: notes.select("note_path", F.md5("content").alias("digest"))
+    differs = changes.change_set(digests(before), digests(rows), "note_path")
+    now = rows.join(differs, "note_path", "left").select("note_path", "content", F.col("status").isNotNull().alias("changed"))
+    gone = differs.filter("status = 'D'").select("note_path", F.lit(None).cast("string").alias("content"), F.lit(True).alias("changed"))
 
     def write(part) -> None:
         for r in part:
             path = os.path.join(folder, r.note_path)
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            with open(path, "w", encoding="utf-8") as f:
-                f.write(r.content)
-
-    rows.select("note_path", "content").foreachPartition(write)
-    present = {r.note_path for r in rows.select("note_path").toLocalIterator()}
-    for base, _, names in os.walk(folder):
-        for name in names:
-            rel = os.path.relpath(os.path.join(base, name), folder).replace(os.sep, "/")
-            if rel.endswith(".md") and rel not in present:
-                os.remove(os.path.join(base, name))
+            if r.content is None:
+                if os.path.exists(path):
+                    os.remove(path)
+            elif r.changed or not os.path.exists(path):
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "w", encoding="utf-8") as f:
+                    f.write(r.content)
+
+    now.union(gone).foreachPartition(write)

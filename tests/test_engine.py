@@ -48,6 +48,12 @@ def test_ingest_questions_and_upkeep(engine):
     before = own.index().rows().count()
     own.ingest(reuse=True)
     assert own.index().rows().count() == before  # writing the same again changes nothing
+    (tmp_path / "vault/app/billing.md").unlink()
+    written = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "vault").rglob("*.md")}
+    files = written()
+    own.ingest(reuse=True)
+    again = written()
+    assert files.items() <= again.items() and set(again) - set(files) == {tmp_path / "vault/app/billing.md"}  # only what is missing
 
     hits = own.search("What does charge do and where is it used?").collect()
     assert hits[0].file_path == "app/billing.py" and hits[0].confidence == "high" and hits[0].distance < 1e-6
