@@ -96,7 +96,9 @@ class AnswerStore:
 
     What isn't known yet is asked in rounds of as many tasks as the provider takes calls at once, each of at most
     ``per_task`` prompts, and every round is appended before the next begins. So a run that is cut off has lost one
-    round at most, a lost task asks its own prompts again, and tasks don't grow with the number of prompts.
+    round at most, a lost task asks its own prompts again, and tasks don't grow with the number of prompts. Where the
+    provider fails, its task asks no further, what has been answered is kept, and the error says how much that is; the
+    next run asks for the rest only.
     """
 
     SCHEMA = "key string, reply string"
@@ -122,14 +124,44 @@ class AnswerStore:
         missing = keyed.withColumn("_prompt", prompt).groupBy("_key").agg(F.first("_prompt").alias("_prompt")).join(self.known(generator).select(F.col("key").alias("_key")), "_key", "left_anti")
         missing = checkpoint(missing)
         at_once = max(1, generator.concurrency)
-        rounds = -(-missing.count() // (at_once * self.per_task))
+        n = missing.count()
+        rounds = -(-n // (at_once * self.per_task))
         place = F.pmod(F.xxhash64("_key"), F.lit(max(1, rounds)))
         for k in range(rounds):
             asked = missing.filter(place == k).repartition(at_once, "_key")
-            asked.select(F.col("_key").alias("key"), _asked(generator)("_prompt").alias("reply")).write.mode("append").parquet(self._folder(generator))
+            replied = checkpoint(asked.select(F.col("_key").alias("key"), _asked_each(generator)("_prompt").alias("r")).select("key", "r.*"))
+            replied.filter("error IS NULL").select("key", "reply").write.mode("append").parquet(self._folder(generator))
+            failed = replied.filter("error IS NOT NULL").agg(F.min("error")).first()[0]
+            if failed:
+                done = missing.join(self.known(generator), F.col("_key") == F.col("key"), "left_semi").count()
+                raise RuntimeError(f"{done} of {n} new prompts are answered and kept, a rerun asks for the rest only: {failed}")
         return keyed.join(self.known(generator).select(F.col("key").alias("_key"), F.col("reply").alias(name)), "_key").drop("_key")
 
 
+def _asked_each(generator: TextGenerator):
+    """Answers as far as they come: after a failure a task asks no further."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        failed = None
+        for part in batches:
+            prompts, replies = part.tolist(), []
+            try:
+                replies = call(generator, prompts) if prompts and not failed else []
+            except RuntimeError as e:
+                failed = str(e)
+                try:  # one by one up to the first that fails
+                    for prompt in prompts if len(prompts) > 1 else []:
+                        replies += call(generator, [prompt])
+                except RuntimeError as one:
+                    failed = str(one)
+                else:
+                    failed = None if len(replies) == len(prompts) else failed
+            rest = len(prompts) - len(replies)
+            yield pd.DataFrame({"reply": replies + [None] * rest, "error": [None] * len(replies) + [failed] * rest})
+
+    return F.pandas_udf(run, "reply string, error string").asNondeterministic()
+
+
 def _asked(generator: TextGenerator):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in batches:

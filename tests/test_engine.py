@@ -229,8 +229,10 @@ def test_a_prompt_is_asked_once(spark, tmp_path):
     asked = lambda: [p for f in calls.iterdir() for p in f.read_text().split("\n")]
     store = generate.AnswerStore(spark, str(tmp_path / "answers"), per_task=5)
     rows = spark.range(60).select("id", (F.col("id") % 30).cast("string").alias("p"))
-    with pytest.raises(Exception, match="3 times"):
+    with pytest.raises(RuntimeError, match="of 30 new prompts are answered and kept.*3 times"):
         generate.answers(rows, F.concat(F.lit("q"), "p"), Counting(calls, "q7"), store=store)
+    kept = store.known(Counting(calls)).count()
+    assert kept == len(set(asked())) < 30
     before = len(asked())
     for _ in range(2):
         out = generate.answers(rows, F.concat(F.lit("q"), "p"), Counting(calls), store=store).collect()
@@ -242,3 +244,33 @@ def test_a_prompt_is_asked_once(spark, tmp_path):
     assert generate.answers(more, F.concat(F.lit("q"), "p"), Counting(calls), store=store).count() == 61
     assert known == 30 and asked().count("qnew") == 1 and len(asked()) == n + 1
     assert generate.AnswerStore(spark, str(tmp_path / "answers"), version="2").known(Counting(calls)).count() == 0
+
+
+def test_a_failure_at_the_third_file_leaves_two_done(spark, tmp_path):
+    class Third:
+        concurrency, name = 1, "third"
+
+        def __init__(self, calls, broken):
+            self.calls, self.broken = calls, broken
+
+        def available(self):
+            return True
+
+        def generate(self, prompts):
+            import uuid
+
+            if self.broken and len(list(self.calls.iterdir())) + len(prompts) > 2:
+                raise OSError("quota")
+            for p in prompts:
+                (self.calls / uuid.uuid4().hex).write_text(p)
+            return [p.upper() for p in prompts]
+
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    files = spark.createDataFrame([(f"f{k}.py", f"text {k}") for k in range(5)], "rel_path string, text string")
+    store = generate.AnswerStore(spark, str(tmp_path / "answers"))
+    with pytest.raises(RuntimeError, match="^2 of 5 new prompts are answered and kept.*quota"):
+        generate.file_summaries(files, Third(calls, True), store)
+    assert store.known(Third(calls, True)).count() == len(list(calls.iterdir())) == 2
+    made = generate.file_summaries(files, Third(calls, False), store)
+    assert made.count() == 5 and len(list(calls.iterdir())) == 5 and made.filter("summary LIKE 'SUMMARISE%'").count() == 5
