@@ -1,4 +1,4 @@
-"""Chunks of source files: definitions where a parser knows them, else the whole file."""
+"""Chunks of source files: definitions where a parser or patterns know them, else the whole file."""
 
 from __future__ import annotations
 
@@ -12,8 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .definitions import definitions
 from .python_source import CHUNKS, chunk_column
 
+#: Chunkers that begin so name a language of ``definitions``.
+DEFINITIONS = "defs_"
+
 # Lines that begin a chunk.
 HEADERS = {
     "braces_js": r"""
@@ -71,16 +75,25 @@ def _braces_column(kind: str):
     return F.pandas_udf(run, CHUNKS)
 
 
+def _definitions_column():
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for kinds, texts in parts:
+            yield pd.Series([[{"start_line": a, "end_line": b, "text": t} for a, b, t in definitions(kind.removeprefix(DEFINITIONS), x)] for kind, x in zip(kinds, texts, strict=True)], dtype=object)
+
+    return F.pandas_udf(run, CHUNKS)
+
+
 def chunks(files: DataFrame) -> DataFrame:
     """(rel_path, chunk_no, start_line, end_line, text) of files (rel_path, chunker, text); 1-based, inclusive.
 
-    Only the files that need a parser go through Python; whole-file chunks stay in the JVM. A file
+    Only the files that need a parser or patterns go through Python; whole-file chunks stay in the JVM. A file
     that isn't UTF-8 has none.
     """
     readable = files.filter(F.col("text").isNotNull())
     whole = readable.filter("chunker = 'whole'").select("rel_path", F.lit(0).alias("chunk_no"), F.lit(1).alias("start_line"), T.line_count(F.col("text")).alias("end_line"), "text")
     parsed = [readable.filter("chunker = 'python'").select("rel_path", F.posexplode(chunk_column("text")).alias("chunk_no", "c"))]
     parsed += [readable.filter(F.col("chunker") == kind).select("rel_path", F.posexplode(_braces_column(kind)("text")).alias("chunk_no", "c")) for kind in HEADERS]
+    parsed.append(readable.filter(F.col("chunker").startswith(DEFINITIONS)).select("rel_path", F.posexplode(_definitions_column()("chunker", "text")).alias("chunk_no", "c")))
     for rows in parsed:
         whole = whole.unionByName(rows.select("rel_path", "chunk_no", "c.start_line", "c.end_line", "c.text"))
     return whole

@@ -17,30 +17,30 @@ LANGUAGES = [
     (".tsx", "typescript", "javascript", "braces_js"),
     (".mjs", "javascript", "javascript", "braces_js"),
     (".go", "go", "go", "braces_go"),
-    (".java", "java", "jvm", "whole"),
-    (".kt", "kotlin", "jvm", "whole"),
-    (".scala", "scala", "jvm", "whole"),
-    (".cs", "csharp", "csharp", "whole"),
+    (".java", "java", "jvm", "defs_java"),
+    (".kt", "kotlin", "jvm", "defs_kotlin"),
+    (".scala", "scala", "jvm", "defs_scala"),
+    (".cs", "csharp", "csharp", "defs_csharp"),
     (".dart", "dart", "dart", "whole"),
-    (".hs", "haskell", "haskell", "whole"),
+    (".hs", "haskell", "haskell", "defs_haskell"),
     (".lhs", "haskell", "haskell", "whole"),
-    (".ex", "elixir", "elixir", "whole"),
-    (".exs", "elixir", "elixir", "whole"),
-    (".lua", "lua", "lua", "whole"),
-    (".sh", "shell", "shell", "whole"),
-    (".bash", "shell", "shell", "whole"),
+    (".ex", "elixir", "elixir", "defs_elixir"),
+    (".exs", "elixir", "elixir", "defs_elixir"),
+    (".lua", "lua", "lua", "defs_lua"),
+    (".sh", "shell", "shell", "defs_shell"),
+    (".bash", "shell", "shell", "defs_shell"),
     (".r", "r", "r", "whole"),
     (".R", "r", "r", "whole"),
-    (".rb", "ruby", "ruby", "whole"),
-    (".rs", "rust", "rust", "whole"),
-    (".php", "php", "php", "whole"),
-    (".c", "c", "c", "whole"),
-    (".h", "c", "c", "whole"),
-    (".cpp", "cpp", "c", "whole"),
-    (".cc", "cpp", "c", "whole"),
-    (".cxx", "cpp", "c", "whole"),
-    (".hpp", "cpp", "c", "whole"),
-    (".hh", "cpp", "c", "whole"),
+    (".rb", "ruby", "ruby", "defs_ruby"),
+    (".rs", "rust", "rust", "defs_rust"),
+    (".php", "php", "php", "defs_php"),
+    (".c", "c", "c", "defs_c"),
+    (".h", "c", "c", "defs_c"),
+    (".cpp", "cpp", "c", "defs_cpp"),
+    (".cc", "cpp", "c", "defs_cpp"),
+    (".cxx", "cpp", "c", "defs_cpp"),
+    (".hpp", "cpp", "c", "defs_cpp"),
+    (".hh", "cpp", "c", "defs_cpp"),
     (".md", "markdown", "none", "whole"),
     (".json", "json", "none", "whole"),
     (".yaml", "yaml", "none", "whole"),

@@ -221,6 +221,59 @@ def go_chunks(spark, sf_dir):
     return chunks.chunks(files).select(F.col("rel_path").cast("long").alias("doc_id"), "start_line", "end_line", F.md5("text").alias("text_md5"))
 
 
+#: A definition of each language around a document {t}: what stands before it, its head, its end, and one that
+#: is nested in it, from the line after the head. {d} is the document's id.
+DEFINITIONS = [
+    ("java", "package p;\n", "public class D{d} {", "}", "  public int run(int x) throws E { if (x > 0) { g(\"}\"); } return 1; }"),
+    ("csharp", "using S;\n", "internal struct D{d} {", "}", "  public D{d}(int x) : base(x) { f('}'); }"),
+    ("kotlin", "package p\n", "data class D{d}(val x: Int) {", "}", "  private fun run(x: Int): Int = x"),
+    ("scala", "import p.q\n", "trait D{d} {", "}", "  def run(x: Int): Int = { x }"),
+    ("rust", "use p;\n", "impl<'a> D{d}<'a> {", "}", "  pub fn run(&self) -> u8 { b'}' }"),
+    ("php", "<?php\n", "final class D{d} extends B {", "}", "  public static function run($x = array('{')) { return 1; }"),
+    ("cpp", "#include <a>\n", "class D{d} : public B {", "}", "  int run(int x) const { return x; }"),
+    ("c", "#include <a.h>\n", "static int d{d}(int x) {", "}", None),
+    ("shell", "#!/bin/sh\n", "d{d}() {", "}", None),
+    ("lua", "local x = 1\n", "function M.d{d}(x)", "end", "  local function run() if x then return 'end' end end"),
+    ("ruby", "require 'x'\n", "class D{d} < B", "end", "  def run(x) x.each do |y| y end end"),
+    ("elixir", "# do\n", "defmodule D{d} do", "end", "  defp run(x), do: x"),
+    ("haskell", "import P\n", "d{d} x = y", "  where z = 1", None),
+]
+
+
+def _comment(language: str) -> tuple[str, str]:
+    """What makes a comment of a text without these signs, at the beginning of an indented line."""
+    return {"lua": ("  --[[", "]]"), "ruby": ("  x = \"", "\""), "elixir": ("  @doc \"\"\"", "\"\"\""), "shell": ("  x='", "'"), "haskell": ("  {-", "-}")}.get(language, ("  /*", "*/"))
+
+
+_TEXT_SQL = """translate(text, '"''*/-[]{}\\', '')"""
+
+
+def _definitions_sql() -> str:
+    rows = ", ".join(f"({k}, {len(before.splitlines())}, {_sql(head)}, {_sql(end)}, {_sql(inner)}, {_sql(_comment(language)[0])}, {_sql(_comment(language)[1])})" for k, (language, before, head, end, inner) in enumerate(DEFINITIONS))
+    return f"""
+        WITH k(kind, n, head, ending, inside, opens, closes) AS (VALUES {rows}),
+        f AS (SELECT doc_id, n, replace(head, '{{d}}', doc_id::VARCHAR) AS head, ending, replace(inside, '{{d}}', doc_id::VARCHAR) AS inside, opens || {_TEXT_SQL} || closes AS body FROM documents JOIN k ON kind = doc_id % {len(DEFINITIONS)}),
+        w AS (SELECT *, head || chr(10) || CASE WHEN inside IS NULL THEN '' ELSE inside || chr(10) END || body || CASE WHEN ending = '' THEN '' ELSE chr(10) || ending END AS said FROM f)
+        SELECT doc_id, (n + 1)::INT AS start_line, (n + 1 + length(said) - length(replace(said, chr(10), '')))::INT AS end_line, md5(said) AS text_md5 FROM w
+        UNION ALL SELECT doc_id, (n + 2)::INT, (n + 2)::INT, md5(ltrim(inside)) FROM w WHERE inside IS NOT NULL"""
+
+
+@query(_definitions_sql())
+def definition_chunks(spark, sf_dir):
+    """Definitions of thirteen languages, nested ones too, around whole documents in comments and strings."""
+    from ..operators import chunks
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.translate("text", "\"'*/-[]{}\\", "").alias("body"))
+    said = F.lit(None).cast("string")
+    for k, (language, before, head, end, inner) in enumerate(DEFINITIONS):
+        opens, closes = _comment(language)
+        parts = [F.lit(before + head + "\n" + (inner + "\n" if inner else "")), F.concat(F.lit(opens), "body", F.lit(closes + ("\n" + end if end else "")))]
+        said = F.when(F.col("doc_id") % len(DEFINITIONS) == k, F.concat(F.replace(parts[0], F.lit("{d}"), number()), parts[1])).otherwise(said)
+    kind = F.get(F.array(*[F.lit(chunks.DEFINITIONS + d[0]) for d in DEFINITIONS]), (F.col("doc_id") % len(DEFINITIONS)).cast("int"))
+    files = docs.select(number().alias("rel_path"), kind.alias("chunker"), said.alias("text"))
+    return chunks.chunks(files).select(F.col("rel_path").cast("long").alias("doc_id"), "start_line", "end_line", F.md5("text").alias("text_md5"))
+
+
 @query("""
     SELECT suffix, count(*) AS n_files FROM (SELECT (['.py', '.go', '.md'])[doc_id % 3 + 1] AS suffix FROM documents) GROUP BY suffix""")
 def suffix_counts(spark, sf_dir):
