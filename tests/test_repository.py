@@ -111,9 +111,9 @@ def test_brace_chunks():
 
 
 def test_chunks_by_kind(spark, tmp_path):
-    root = make(tmp_path, {"a.py": "def f():\n    pass\n", "s.py": "x = 1\n", "b.go": "package b\nfunc F() {\n}\n", "c.rb": "def x\nend\n", "bad.js": b"\xff"})
+    root = make(tmp_path, {"a.py": "def f():\n    pass\n", "s.py": "x = 1\n", "b.go": "package b\nfunc F() {\n}\n", "c.rb": "def x\nend\n", "d.rb": "x = 1\nx\n", "bad.js": b"\xff"})
     rows = chunks.chunks(languages.supported(source_files(spark, root))).orderBy("rel_path", "chunk_no").collect()
-    assert [(r.rel_path, r.start_line, r.end_line) for r in rows] == [("a.py", 1, 2), ("b.go", 2, 3), ("c.rb", 1, 3)]
+    assert [(r.rel_path, r.start_line, r.end_line) for r in rows] == [("a.py", 1, 2), ("b.go", 2, 3), ("c.rb", 1, 2), ("d.rb", 1, 3)]
 
 
 def graph_of(spark, root, by_file=None, by_dir=None):
