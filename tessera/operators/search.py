@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import islice
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -104,6 +105,8 @@ def with_confidence(hits: DataFrame, most: float = MAX_DISTANCE) -> DataFrame:
 _TERM = r"[\p{L}\p{N}]+"
 #: Query terms are broadcast up to so many rows; beyond it they are joined by a shuffle.
 BROADCAST_TERMS = 200_000
+#: What one scoring task is to hold: pairs of a query and a text, and bytes of texts; and the most tasks that are asked for.
+TASK_PAIRS, TASK_BYTES, MOST_TASKS = 500_000, 8_000_000, 20_000
 
 
 def terms(text: str) -> Column:
@@ -124,7 +127,17 @@ def squares(found: Column) -> Column:
         n = F.when(state["term"] == term, state["n"]).otherwise(F.lit(0).cast("long"))
         return F.struct(term.alias("term"), (n + 1).alias("n"), (state["total"] + 2 * n + 1).alias("total"))
 
-    return F.aggregate(F.array_sort(found), start, step, lambda state: state["total"])
+    return F.aggregate(F.sort_array(found), start, step, lambda state: state["total"])
+
+
+def scoring_tasks(texts: DataFrame, text: str, n_queries: int) -> int:
+    """Into how many tasks the texts are dealt out, so that what one holds doesn't grow with the input.
+
+    Left to itself, Spark merges partitions by their size as written, but each text makes a row for each query.
+    """
+    n, size = texts.agg(F.count(F.lit(1)), F.sum(F.octet_length(text))).first()
+    wanted = max(ceil(n * n_queries / TASK_PAIRS), ceil((size or 0) / TASK_BYTES), texts.sparkSession.sparkContext.defaultParallelism)
+    return min(wanted, MOST_TASKS)
 
 
 def sparse_top_k(queries: DataFrame, texts: DataFrame, k: int = 5, *, query_key: str = "item_id", key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -132,18 +145,21 @@ def sparse_top_k(queries: DataFrame, texts: DataFrame, k: int = 5, *, query_key:
 
     A text's norm comes from its own row, in a projection of its own: beside the generator it would be
     computed again for each word. Only the occurrences of query terms are dealt out, by text, so terms are
-    counted, scored and cut to the best of each task without another exchange.
+    counted, scored and cut to the best of each task without another exchange. There are as many tasks as
+    the pairs need (``scoring_tasks``).
     """
     q = checkpoint(term_frequencies(queries, query_key, text))
     q_norm = q.groupBy(query_key).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("q_norm"))
     q = q.withColumnRenamed("tf", "q_tf").join(q_norm, query_key)
     few = q.count() <= BROADCAST_TERMS
+    parts = scoring_tasks(texts, text, q_norm.count())
     asked = q.select("term").distinct()
     normed = texts.select(F.col(key), terms(text).alias("terms")).select(key, "terms", F.sqrt(squares(F.col("terms"))).alias("d_norm"))
     each = normed.select(key, "d_norm", F.explode("terms").alias("term"))
-    matched = each.join(F.broadcast(asked) if few else asked, "term", "left_semi").repartition(key)
+    matched = each.join(F.broadcast(asked) if few else asked, "term", "left_semi").repartition(parts, key)
     d = matched.groupBy(key, "d_norm", "term").agg(F.count(F.lit(1)).alias("tf"))
-    scored = d.join(F.broadcast(q) if few else q, "term").groupBy(query_key, key).agg(F.sum(F.col("tf") * F.col("q_tf")).alias("dot"), F.first("d_norm").alias("d_norm"), F.first("q_norm").alias("q_norm"))
+    pairs = d.join(F.broadcast(q), "term") if few else d.join(q, "term").repartition(parts, key)
+    scored = pairs.groupBy(query_key, key).agg(F.sum(F.col("tf") * F.col("q_tf")).alias("dot"), F.first("d_norm").alias("d_norm"), F.first("q_norm").alias("q_norm"))
     scored = scored.withColumn("distance", F.round(1 - F.col("dot") / (F.col("q_norm") * F.col("d_norm")), 6))
     order = Window.partitionBy(query_key).orderBy("distance", key)
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(query_key, key, "distance", "rank")

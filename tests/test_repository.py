@@ -213,6 +213,23 @@ def test_sparse_search_takes_long_texts_in_linear_time(spark):
     assert found == [(2, 1, 0.0), (1, 2, round(1 - (n[1] + n[2]) / (2**0.5 * sum(x * x for x in n) ** 0.5), 6))]
 
 
+def test_sparse_search_scores_in_as_many_tasks_as_the_pairs_need(spark, monkeypatch):
+    from tessera.operators import search
+
+    texts = spark.createDataFrame([(k, f"w{k % 5} w{k % 3} x{k}") for k in range(60)], "doc_id long, text string")
+    asked = spark.createDataFrame([(k, f"w{k} w0") for k in range(4)], "item_id long, text string")
+    listed = lambda: sorted(map(tuple, search.sparse_top_k(asked, texts).collect()))
+    found = listed()
+    assert len(found) == 20
+    monkeypatch.setattr(search, "TASK_PAIRS", 10)
+    assert search.scoring_tasks(texts, "text", 4) == 24  # 60 texts, 4 queries
+    plan = search.sparse_top_k(asked, texts)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(doc_id[^)]*, 24\), REPARTITION_BY_NUM", plan)  # which Spark doesn't merge again
+    assert listed() == found
+    monkeypatch.setattr(search, "BROADCAST_TERMS", 0)
+    assert listed() == found
+
+
 def test_numbering_in_partitions(spark):
     from tessera.operators import ordering
 
