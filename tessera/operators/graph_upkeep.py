@@ -59,7 +59,7 @@ def build(files: DataFrame, everything: DataFrame) -> Graph:
     """The graph of supported files (rel_path, suffix, importer, text) among all paths (rel_path)."""
     paths = everything.select("rel_path").distinct()
     folders = lookups.directories(paths, "rel_path")
-    wanted = imports.wanted(files)
+    wanted = checkpoint(imports.wanted(files))  # texts are read once, for the names and the edges
     return Graph(paths, folders, wanted, imports.resolve(wanted, _listing(paths, folders)), _children(paths, folders))
 
 
@@ -83,7 +83,7 @@ def advance(graph: Graph, changed: DataFrame, files: DataFrame) -> Graph:
     # Imports: of changed files anew, and those with a candidate that has come or gone.
     texts = files.join(changed.filter("status <> 'D'").select(F.col("path").alias("rel_path")), "rel_path", "left_semi")
     stored = graph.wanted.join(changed.select(F.col("path").alias("src")), "src", "left_anti")
-    wanted = stored.unionByName(imports.wanted(texts))
+    wanted = stored.unionByName(checkpoint(imports.wanted(texts)))
     turned_names = added.union(deleted).select(F.col("rel_path").alias("candidate")).union(turned.select("path")).union(turned.select(F.concat("path", F.lit("/"))))
     touched = stored.select("src", F.explode("candidates").alias("candidate")).join(turned_names.distinct(), "candidate", "left_semi").select("src")
     stale = checkpoint(touched.union(changed.select("path")).distinct())

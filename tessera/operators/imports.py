@@ -100,10 +100,11 @@ def _names(rule: Rule) -> Column:
     if rule.inside:
         blocks = F.regexp_extract_all("text", F.lit(rule.inside), 1)
         return F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(b, F.lit(rule.pattern), 1)))
-    by_group = [F.regexp_extract_all("text", F.lit(rule.pattern), g) for g in range(1, rule.groups + 1)]
     if rule.groups == 1:
-        return by_group[0]
-    return F.zip_with(by_group[0], by_group[1], lambda a, b: F.when(F.coalesce(a, F.lit("")) != "", a).otherwise(b))
+        return F.regexp_extract_all("text", F.lit(rule.pattern), 1)
+    # The text is searched once; the group is found in each match, which must not depend on what stands around it.
+    group = lambda found, g: F.regexp_extract(found, rule.pattern, g)
+    return F.transform(F.regexp_extract_all("text", F.lit(rule.pattern), 0), lambda m: F.when(group(m, 1) != "", group(m, 1)).otherwise(group(m, 2)))
 
 
 _WANTED = "array<struct<pos:bigint,raw:string,label:string,candidates:array<string>>>"
@@ -127,29 +128,35 @@ def _rule_column(k: int, rule: Rule) -> Column:
 def wanted(files: DataFrame) -> DataFrame:
     """(src, pos, raw, label, candidates) of files (rel_path, suffix, importer, text).
 
-    One projection holds the rules of every importer, so a file's text is read once; only Python
-    files go through the parser.
+    One projection holds the rules of every importer, so the files are read once, and a text is searched once by
+    each rule of its importer; only the texts of Python files are handed to the parser.
     """
     column = F.array().cast(_WANTED)
     for importer in dict.fromkeys(rule.importer for rule in RULES):
         own = [_rule_column(k, rule) for k, rule in enumerate(RULES) if rule.importer == importer]
         column = F.when(F.col("importer") == importer, F.concat(*own) if len(own) > 1 else own[0]).otherwise(column)
-    readable = files.filter(F.col("text").isNotNull() & ~F.col("importer").isin("python", "none"))
-    rows = readable.select(F.col("rel_path").alias("src"), F.explode(column).alias("w")).select("src", "w.pos", "w.raw", "w.label", "w.candidates")
-    return rows.unionByName(_python_wanted(files))
+    column = F.when(F.col("importer") == "python", _python_column(F.col("parsed"))).otherwise(column)
+    readable = files.filter(F.col("text").isNotNull() & (F.col("importer") != "none"))
+    parsed = import_column(F.when(F.col("importer") == "python", F.col("text")))["imports"]
+    rows = readable.select("rel_path", "suffix", "importer", "text", parsed.alias("parsed"))
+    return rows.select(F.col("rel_path").alias("src"), F.explode(column).alias("w")).select("src", "w.pos", "w.raw", "w.label", "w.candidates")
 
 
-def _python_wanted(files: DataFrame) -> DataFrame:
-    """The same of Python files, from their syntax trees: absolute names from the root and then from
+def _python_column(parsed: Column) -> Column:
+    """The same of a Python file, from its syntax tree: absolute names from the root and then from
     the file's folder, relative ones from the folder that their dots name."""
-    rows = files.filter((F.col("importer") == "python") & F.col("text").isNotNull()).select("rel_path", F.posexplode(import_column("text")["imports"]).alias("at", "i"))
-    module, level, folder = F.col("i.module"), F.col("i.level"), P.parent(F.col("rel_path"))
-    tail = F.replace(module, F.lit("."), F.lit("/"))
-    up = F.concat(folder, F.repeat(F.lit("/.."), F.greatest(level - 1, F.lit(0))))
-    both = lambda base: [F.concat(base, F.lit("/"), tail, F.lit(".py")), F.concat(base, F.lit("/"), tail, F.lit("/__init__.py"))]
-    options = F.when(module == "", F.array().cast("array<string>")).when(level > 0, F.array(*both(up))).otherwise(F.array(*both(F.lit(".")), *both(folder)))
-    label = F.when(level > 0, F.lit("relative import"))
-    return rows.select(F.col("rel_path").alias("src"), F.col("at").cast("long").alias("pos"), F.concat(F.repeat(F.lit("."), level), module).alias("raw"), label.alias("label"), F.transform(options, P.normalise).alias("candidates"))
+    folder = P.parent(F.col("rel_path"))
+
+    def entry(found: Column, at: Column) -> Column:
+        module, level = found["module"], found["level"]
+        tail = F.replace(module, F.lit("."), F.lit("/"))
+        up = F.concat(folder, F.repeat(F.lit("/.."), F.greatest(level - 1, F.lit(0))))
+        both = lambda base: [F.concat(base, F.lit("/"), tail, F.lit(".py")), F.concat(base, F.lit("/"), tail, F.lit("/__init__.py"))]
+        options = F.when(module == "", F.array().cast("array<string>")).when(level > 0, F.array(*both(up))).otherwise(F.array(*both(F.lit(".")), *both(folder)))
+        label = F.when(level > 0, F.lit("relative import"))
+        return F.struct(at.cast("long").alias("pos"), F.concat(F.repeat(F.lit("."), level), module).alias("raw"), label.alias("label"), F.transform(options, P.normalise).alias("candidates"))
+
+    return F.transform(parsed, entry).cast(_WANTED)
 
 
 def _first_existing(rows: DataFrame, listing: DataFrame) -> DataFrame:

@@ -352,6 +352,22 @@ def test_graph_kept_by_change_sets_equals_a_full_build(spark):
     assert listed(graph_upkeep.advance(kept, changes.change_set(now, now), files)) == listed(kept)
 
 
+def test_imports_read_the_files_once_and_search_each_text_once(spark, tmp_path):
+    from tessera.operators import graph_upkeep
+
+    rows = [("a/x.js", "import k from './y'\n/* import export require */ export {m} from \"./z\"\nconst q = require( './w' )"), ("a/p.py", "from .q import r\nimport b.c"), ("a/y.js", None), ("n.md", "import 'x'")]
+    spark.createDataFrame(rows, "rel_path string, text string").coalesce(1).write.parquet(str(tmp_path / "files"))
+    files = languages.supported(spark.read.parquet(str(tmp_path / "files")))
+    wanted = imports.wanted(files)
+    found = sorted((r.src, r.pos, r.raw) for r in wanted.collect())
+    assert found == [("a/p.py", 0, ".q"), ("a/p.py", 1, "b.c"), ("a/x.js", 0, "./y"), ("a/x.js", 1, "./z"), ("a/x.js", 2, "./w")]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(wanted).count("parquet") == 1 and len(re.findall(r"regexp_extract_all\(text#\d+, [^,]*import\|export", plan(wanted))) == 1
+    kept = graph_upkeep.build(files, files.select("rel_path"))
+    assert "regexp_extract_all" not in plan(kept.edges)
+    assert sorted((r.src, r.dst) for r in kept.edges.collect()) == [("a/x.js", "a/y.js")]
+
+
 def test_front_matter_of_any_fields(spark):
     notes_ = {
         "---\ntype: file\nlinks:\n  - a\n  - b: c\nx y: \n  - 1\n---\nbody: no": {"type": ["file"], "links": ["a", "b: c"], "x y": ["1"]},
