@@ -1,4 +1,4 @@
-"""Cutting the lineage of small loop state, in the folder that the cluster shares."""
+"""Cutting the lineage of small loop state, in the folder that the cluster shares; bounds of Arrow batches."""
 
 from __future__ import annotations
 
@@ -18,3 +18,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder(spark))
     return df.checkpoint(eager=True)
+
+
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Bounds the Arrow batches of the session by ``most`` bytes, unless it has a bound of its own already.
+
+    Spark's default holds up to 64 MB of texts, of which a Python worker makes several copies.
+    """
+    if spark.conf.get(_BATCH) in ("67108864b", "64MB", "64m"):  # the default
+        spark.conf.set(_BATCH, most)

@@ -22,6 +22,7 @@ from ..functions import text as T
 from ..operators import changes, chunks, cost, generate, graph, imports, lookups, markers, notes, sync, traverse
 from ..operators.index import Embedder, HashingEmbedder, VectorIndex, embedded
 from ..operators.languages import suffixes, supported
+from ..operators.lineage import bound_batches
 from ..operators.search import MAX_DISTANCE
 from ..operators.urls import REMOTE
 from ..scope import Scope, guard, resolve
@@ -36,6 +37,7 @@ class Engine:
     """One repository's tables and the questions that they answer."""
 
     def __init__(self, spark: SparkSession, scope: Scope | None = None, generator: generate.TextGenerator | None = None, embedder: Embedder | None = None, today: str | None = None):
+        bound_batches(spark)
         self.spark, self.scope = spark, scope or Scope()
         self.generator = generator or generate.Extractive()
         self.embedder = embedder or HashingEmbedder()

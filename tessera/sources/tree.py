@@ -15,7 +15,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType
@@ -132,6 +132,12 @@ def source_paths(spark: SparkSession, root: str) -> DataFrame:
 
 
 @F.pandas_udf(StringType())
-def lenient_text(contents: pd.Series) -> pd.Series:
-    """Bytes as text with what isn't UTF-8 left out."""
+def _without_broken(contents: pd.Series) -> pd.Series:
     return contents.map(lambda b: b.decode("utf-8", "ignore") if b is not None else None)
+
+
+def lenient_text(content: Column | str) -> Column:
+    """Bytes as text with what isn't UTF-8 left out; only bytes that hold such go through Python."""
+    content = F.col(content) if isinstance(content, str) else content
+    text = T.strict_text(content)
+    return F.coalesce(text, _without_broken(F.when(text.isNull(), content)))

@@ -368,6 +368,14 @@ def test_imports_read_the_files_once_and_search_each_text_once(spark, tmp_path):
     assert sorted((r.src, r.dst) for r in kept.edges.collect()) == [("a/x.js", "a/y.js")]
 
 
+def test_only_broken_bytes_are_decoded_in_python(spark):
+    rows = [(1, "a\u00e9\ufffd".encode()), (2, b"a\xff\xe2\x82b\xed\xa0\x80c\xf0\x9f\x98"), (3, None), (4, b"")]
+    files = spark.createDataFrame(rows, "id int, content binary")
+    assert sorted(map(tuple, files.select("id", lenient_text("content")).collect())) == [(i, None if b is None else b.decode("utf-8", "ignore")) for i, b in rows]
+    broken = files.select(lenient_text("content"))._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"_without_broken\(CASE WHEN", broken)
+
+
 def test_front_matter_of_any_fields(spark):
     notes_ = {
         "---\ntype: file\nlinks:\n  - a\n  - b: c\nx y: \n  - 1\n---\nbody: no": {"type": ["file"], "links": ["a", "b: c"], "x y": ["1"]},
