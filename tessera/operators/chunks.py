@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .definitions import definitions
+from .lineage import bound_batches
 from .python_source import CHUNKS, chunk_column
 
 #: Chunkers that begin so name a language of ``definitions``.
@@ -89,6 +90,7 @@ def chunks(files: DataFrame) -> DataFrame:
     Only the files that need a parser or patterns go through Python; whole-file chunks stay in the JVM. A file
     that isn't UTF-8 has none.
     """
+    bound_batches(files.sparkSession)
     readable = files.filter(F.col("text").isNotNull())
     whole = readable.filter("chunker = 'whole'").select("rel_path", F.lit(0).alias("chunk_no"), F.lit(1).alias("start_line"), T.line_count(F.col("text")).alias("end_line"), "text")
     parsed = [readable.filter("chunker = 'python'").select("rel_path", F.posexplode(chunk_column("text")).alias("chunk_no", "c"))]

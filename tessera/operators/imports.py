@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from .lineage import bound_batches
 from .python_source import import_column
 
 Candidates = Callable[[Column, Column, Column], list[Column] | Column]
@@ -131,6 +132,7 @@ def wanted(files: DataFrame) -> DataFrame:
     One projection holds the rules of every importer, so the files are read once, and a text is searched once by
     each rule of its importer; only the texts of Python files are handed to the parser.
     """
+    bound_batches(files.sparkSession)
     column = F.array().cast(_WANTED)
     for importer in dict.fromkeys(rule.importer for rule in RULES):
         own = [_rule_column(k, rule) for k, rule in enumerate(RULES) if rule.importer == importer]
@@ -172,6 +174,7 @@ def resolve(rows: DataFrame, listing: DataFrame) -> DataFrame:
 
 def unresolved(rows: DataFrame, listing: DataFrame, files: DataFrame) -> DataFrame:
     """(rel_path, pos, message): names that must exist and don't, files that can't be read or parsed."""
+    bound_batches(files.sparkSession)
     missing = rows.filter(F.col("label").isNotNull()).join(_first_existing(rows, listing).select("src", "pos"), ["src", "pos"], "left_anti")
     said = missing.select(F.col("src").alias("rel_path"), "pos", F.format_string("Unresolved %s '%s' in %s", "label", "raw", "src").alias("message"))
     broken = files.filter((F.col("importer") != "none") & F.col("text").isNull()).select("rel_path", F.lit(-1).cast("long").alias("pos"), F.concat(F.lit("UnicodeDecodeError in "), "rel_path").alias("message"))

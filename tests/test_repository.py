@@ -376,6 +376,26 @@ def test_only_broken_bytes_are_decoded_in_python(spark):
     assert re.search(r"_without_broken\(CASE WHEN", broken)
 
 
+def test_texts_go_to_python_in_small_batches(spark):
+    from pyspark.sql.types import IntegerType
+    from tessera.operators.lineage import bound_batches
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.unset(name)
+        chunks.chunks(spark.createDataFrame([], "rel_path string, chunker string, text string"))
+        assert spark.conf.get(name) == "4m"
+        size = F.pandas_udf(lambda part: part.map(lambda _: len(part)), IntegerType())
+        long = spark.range(64).coalesce(1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+        assert long.agg(F.max(size("text"))).first()[0] <= 5
+        spark.conf.set(name, "1m")
+        bound_batches(spark)
+        assert spark.conf.get(name) == "1m"  # its own bound stays
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_front_matter_of_any_fields(spark):
     notes_ = {
         "---\ntype: file\nlinks:\n  - a\n  - b: c\nx y: \n  - 1\n---\nbody: no": {"type": ["file"], "links": ["a", "b: c"], "x y": ["1"]},
