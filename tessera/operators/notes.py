@@ -44,13 +44,17 @@ def _or(text: Column, other: str) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", other).otherwise(text)
 
 
-def file_notes(files: DataFrame, links: DataFrame, extra: Mapping[str, object] | None = None) -> DataFrame:
-    """(path, note_path, content) of files (path, summary) and import edges (src, pos, dst)."""
+def file_notes(files: DataFrame, links: DataFrame, extra: Mapping[str, object] | None = None, missing: str | None = NO_SUMMARY) -> DataFrame:
+    """(path, note_path, content) of files (path, summary) and import edges (src, pos, dst).
+
+    ``missing`` stands for an empty or null summary; with None summaries stay as they are, and a null one gives a null note.
+    """
     found = _listed(links, "src", P.without_suffix(F.col("dst"))).select(F.col("src").alias("path"), F.col("all.e").alias("links"))
     rows = files.join(found, "path", "left").withColumn("links", F.coalesce("links", F.array().cast("array<string>")))
+    summary = F.col("summary") if missing is None else _or(F.col("summary"), missing)
     content = F.concat(
         F.lit("---\ntype: file\npath: "), "path", F.lit("\nlinks:\n"), _or(_join(F.col("links"), "  - "), EMPTY_LIST), F.lit(extra_lines(extra) + "\n---\n\n## "), P.name(F.col("path")),
-        F.lit("\n\n"), _or(F.col("summary"), NO_SUMMARY), F.lit("\n\n## Connections\n"), _or(_join(F.col("links"), "- [[", "]]"), NO_LINKS), F.lit("\n"),
+        F.lit("\n\n"), summary, F.lit("\n\n## Connections\n"), _or(_join(F.col("links"), "- [[", "]]"), NO_LINKS), F.lit("\n"),
     )
     return rows.select("path", F.concat(P.without_suffix(F.col("path")), F.lit(".md")).alias("note_path"), content.alias("content"))
 

@@ -143,6 +143,23 @@ def test_notes_and_their_links(spark):
     assert [(r.src, r.dst) for r in found.orderBy("src", "pos").collect()] == [("INDEX", "a"), ("INDEX", "z"), ("a/x", "c/__init__"), ("a/x", "b"), ("d", "d/q"), ("d", "d/sub")]
 
 
+def test_notes_over_empty_and_null_texts_equal_their_sql(spark, tmp_path):
+    import duckdb
+    from tessera.plans import catalogue
+
+    texts = ["", None, " ", "\n", "whole\ntext", "---"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = {r.path: r.note_md5 for r in catalogue.QUERIES["note_extra_fields"](spark, str(tmp_path)).collect()}
+    assert found == dict(con.sql(catalogue.ORACLES["note_extra_fields"]).fetchall())
+    assert len(found) == len(texts) and [p for p, md5 in found.items() if md5 is None] == ["p1.py"]
+    no_links = spark.createDataFrame([], "src string, dst string, pos long")
+    written = notes.file_notes(docs.select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("summary")), no_links)
+    assert {r.path for r in written.collect() if notes.NO_SUMMARY in r.content} == {"0", "1"}  # a missing summary still has its sign
+
+
 def test_traversal_order_with_cycle_dangling_link_and_shared_child(spark):
     links = [("INDEX", 0, "b"), ("INDEX", 1, "a"), ("b", 0, "c"), ("a", 0, "c"), ("a", 1, "gone"), ("c", 0, "INDEX"), ("c", 1, "d")]
     edges = spark.createDataFrame(links, "src string, pos long, dst string")
